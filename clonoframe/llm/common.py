@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Characters that separate words in the contracts: space and U+0009 to U+000D.
@@ -101,19 +100,18 @@ BITS = 1 << 25
 _BLOCKS = 1024
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2**25 bits (4 MB, whatever the input) over the hashes of the only column of keys.
+def bitmap(keys: DataFrame, cell: Column | None = None) -> np.ndarray:
+    """A bitmap of 2**25 bits (4 MB, whatever the input) over the hashes of the only column of keys, or over `cell`.
 
     It lets a map-side pass skip rows whose key is certainly absent; an exact join follows.
     """
     per = BITS // _BLOCKS // 8
-    cell = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(BITS))
-    cells = keys.select(F.floor(cell / (BITS // _BLOCKS)).cast("int").alias("block"), F.pmod(cell, F.lit(BITS // _BLOCKS)).cast("int").alias("bit"))
+    cell = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(BITS)) if cell is None else cell
 
     def local(batches):
         bits = np.zeros(BITS, bool)
         for b in batches:
-            bits[b.column(0).to_numpy().astype(np.int64) * (BITS // _BLOCKS) + b.column(1).to_numpy()] = True
+            bits[b.column(0).to_numpy()] = True
         packed = np.packbits(bits)
         full = np.flatnonzero(packed.reshape(_BLOCKS, per).any(1))
         yield pa.RecordBatch.from_pydict({"block": pa.array(full, pa.int32()), "bits": pa.array([packed[i * per : (i + 1) * per].tobytes() for i in full], pa.binary())})
@@ -122,17 +120,13 @@ def bitmap(keys: DataFrame) -> np.ndarray:
         x = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, per)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(x).tobytes()], pa.binary())})
 
-    rows = cells.mapInArrow(local, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary").collect()
+    rows = keys.select(cell.cast("long").alias("cell")).mapInArrow(local, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary").collect()
     out = np.zeros((_BLOCKS, per), np.uint8)
     for r in rows:
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
-def long_field(name: str) -> T.StructField:
-    return T.StructField(name, T.LongType())
-
-
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Slices of the batch whose texts have about `limit` bytes at most (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
 from .common import table
+from .jaccard import near_duplicates
 from .mixing import mix_sources
 from .secrets import scan_secrets
 from .sharding import kd_shards
@@ -17,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -33,5 +38,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_mixing, op6_token_counts, op7_secrets, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op4_mixing, op6_token_counts, op7_secrets, op9_sharding)}
 ORACLE = {"op1_quality_rules": rules.ORACLE_SQL}

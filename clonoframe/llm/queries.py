@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
 from .common import table
+from .decontaminate import decontaminate
 from .jaccard import near_duplicates
+from .language import identify_held_out
 from .mixing import mix_sources
 from .secrets import scan_secrets
 from .sharding import kd_shards
@@ -26,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,5 +44,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op4_mixing, op6_token_counts, op7_secrets, op9_sharding)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op4_mixing, op5_decontamination, op6_token_counts, op7_secrets, op9_sharding, op10_language)}
 ORACLE = {"op1_quality_rules": rules.ORACLE_SQL}

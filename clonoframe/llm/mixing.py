@@ -61,6 +61,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", key: str = "doc_id", text: s
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    rows = scratch.write(rows, "sizes")  # the range exchange reads its input twice
     place = F.xxhash64(F.lit(seed), F.col("_key"))
     rows = ranked(rows, scratch, "rows", ["source"], [F.col("size"), place, F.col("_key")], "_rank")
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), scratch)

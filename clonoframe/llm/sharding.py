@@ -65,7 +65,7 @@ def _quantile_cuts(live: DataFrame, want: dict[int, float], bits: int) -> dict[i
 def _leaves(units: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     """units (with weight, d0..d2 in [0, 1), tie below 2**_TIE_BITS) -> with node, the number of its shard."""
     spark = units.sparkSession
-    nodes, state, level = {0: shards}, units.withColumn("node", F.lit(0)), 0
+    nodes, state, level = {0: shards}, scratch.write(units.withColumn("node", F.lit(0)), "level0"), 0
     while active := [k for k, n in nodes.items() if n > 1]:
         ends = state.filter(F.col("node").isin(active) if len(active) < 50 else F.lit(True)).groupBy("node").agg(F.sum("weight").alias("w"), *[f(d).alias(f"{x}_{d}") for d in _DIMS for x, f in (("lo", F.min), ("hi", F.max))]).collect()
         ends = {r["node"]: r for r in ends if r["node"] in set(active)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,11 +10,13 @@ from . import quality_rules as rules
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard import near_duplicates
+from .kneser_ney import classify
 from .language import identify_held_out
 from .mixing import mix_sources
 from .secrets import scan_secrets
 from .sharding import kd_shards
 from .token_counts import count_tokens
+from .wrappers import extract_pages
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -40,6 +47,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -48,5 +59,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op4_mixing, op5_decontamination, op6_token_counts, op7_secrets, op9_sharding, op10_language)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_ngram_jaccard, op3_kneser_ney, op4_mixing, op5_decontamination, op6_token_counts,
+        op7_secrets, op8_html_wrappers, op9_sharding, op10_language, pipeline,
+    )
+}
 ORACLE = {"op1_quality_rules": rules.ORACLE_SQL}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,24 @@ def _remove_all() -> None:
 atexit.register(_remove_all)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and broadcasts of finished jobs, which it does when the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of so many rows while the block runs jobs: rows that carry whole texts or sets stay small in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder and read back.
 
@@ -67,9 +87,10 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/clonoframe/{name}-{uuid.uuid4().hex}"
         _made.append((spark, self.base))
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = 1000) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        with small_batches(self.spark, rows):
+            df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -97,6 +118,13 @@ def ranked(df: DataFrame, scratch: Scratch, name: str, group: list[str], order:
 
 
 BITS = 1 << 25
+
+
+def held(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the bits are set in a packed bitmap."""
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 _BLOCKS = 1024
 
 
@@ -127,7 +155,7 @@ def bitmap(keys: DataFrame, cell: Column | None = None) -> np.ndarray:
     return out.reshape(-1)
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of the batch whose texts have about `limit` bytes at most (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)

@@ -42,7 +42,7 @@ WIDTH = 5
 NUM, DEN = 4, 5
 #: Centres of a list in each round of stars; rows of the lists that get a second round and more; the pairs for
 #: each new link above which the exact join follows at once.
-CENTRES, LONG, FEW = (1, 8, 64, 64), 12, 200
+CENTRES, LONG, FEW = (1, 16, 64), 12, 200
 _RANK_BITS = 6
 
 

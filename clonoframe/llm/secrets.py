@@ -35,7 +35,10 @@ ALLOWED = "|".join((
 ))
 
 _ARRAY = "array<struct<start:int,rank:int,end:int,kind:string>>"
-_NONE = F.array().cast(_ARRAY)
+
+
+def _nothing() -> Column:
+    return F.array().cast(_ARRAY)
 
 
 def spans(text: Column, pattern: str, kind: str, rank: int, least: int, group: int) -> Column:
@@ -48,7 +51,7 @@ def spans(text: Column, pattern: str, kind: str, rank: int, least: int, group: i
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     steps = F.zip_with(F.zip_with(F.split(text, pattern, -1), whole, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("n"))), F.transform(value, F.char_length), lambda s, v: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), _NONE.alias("some"), F.array().cast(f"array<{_ARRAY}>").alias("done"))
+    start = F.struct(F.lit(0).alias("at"), _nothing().alias("some"), F.array().cast(f"array<{_ARRAY}>").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
         at = acc["at"] + s["gap"]
@@ -93,7 +96,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.when(t.rlike(ASSIGN), t).alias("_ta"), F.when(t.contains("AKIA"), t).alias("_tk"),
         F.when(t.rlike(f"[0-9a-f]{{{HEX_LEAST},}}"), t).alias("_th"), F.when(t.rlike(RUN), t).alias("_tr"),
     )
-    none = lambda c: F.coalesce(c, _NONE)
+    none = lambda c: F.coalesce(c, _nothing())
     df = df.select(
         "_key", "_tr",
         none(spans(F.col("_ta"), ASSIGN, "assign", 0, 8, 1)).alias("_a"), none(spans(F.col("_tk"), ACCESS, "access", 1, 16, 0)).alias("_k"),

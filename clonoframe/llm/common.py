@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -155,6 +157,13 @@ def bitmap(keys: DataFrame, cell: Column | None = None) -> np.ndarray:
     return out.reshape(-1)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system at the end of a task: Spark keeps the Python worker for the next one."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of the batch whose texts have about `limit` bytes at most (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

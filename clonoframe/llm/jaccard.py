@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, Scratch, bitmap, chunks, held, release, small_batches
+from .common import BITS, Scratch, bitmap, chunks, held, release, small_batches, trim
 from .components import components
 from .tokens import Words, mix, windows
 
@@ -125,6 +125,8 @@ def frequencies(docs: DataFrame, text: str) -> Frequencies:
                     kept, n = [], 0
         if n:
             yield flush()
+        kept = []
+        trim()
 
     def merge(key, t):
         x = np.sort(np.concatenate([_unpacked(b) for b in t.column("v").to_pylist()]))
@@ -204,6 +206,7 @@ def _describe(docs: DataFrame, key: str, text: str, shared) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), *[pa.array(_signed(x), pa.int64()) for x in (f1, f2, g)], pa.array(token, pa.binary()), pa.array(place, pa.binary())],
                     names=["doc", "n", "f1", "f2", "grp", "prefix", "places"],
                 )
+        trim()
 
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "doc long, n long, f1 long, f2 long, grp long, prefix binary, places binary")
 
@@ -234,6 +237,7 @@ def _sets(docs: DataFrame, keys: DataFrame, key: str, text: str, shared) -> Data
             for part in chunks(batch, "t"):
                 made = [ordered_set(s, freq).tobytes() for s in shingle_sets(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["k", "s"])
+        trim()
 
     cell = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS)).cast("long")
     texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), cell.alias("c"))
@@ -259,6 +263,7 @@ def _verified(pairs: DataFrame, pool: DataFrame, scratch: Scratch, name: str) ->
                 ok[i] = both * DEN >= (len(p) + len(q) - both) * NUM
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["u", "v"])
+        trim()
 
     left = pairs.join(pool.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(pool.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BITS, Scratch, bitmap, chunks, held, small_batches
+from .common import BITS, Scratch, bitmap, chunks, held, trim
 from .tokens import LOWER, raw
 
 ORDER = 4
-#: Languages scored in one pass (10 MB each).
+#: Languages scored in one pass (5 MB each).
 LANGS = 16
 #: Bins of a bit per byte in the histograms of log-perplexity.
 BINS = 200
@@ -69,33 +69,41 @@ def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, off
 
 
-def gram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
+def gram_counts(docs: DataFrame, lang: str, text: str, scratch: Scratch) -> DataFrame:
     """lang (also POOLED), gram, n: counts over all rows, combined in each task."""
 
     def run(batches):
-        kept: dict[str, np.ndarray] = {}
+        kept: dict[str | None, np.ndarray] = {}
 
         def flush():
             for name, x in kept.items():
                 some = np.flatnonzero(x)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(x[some])], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(x[some].astype(np.int64))], names=["lang", "gram", "n"])
 
+        n = 0
         for batch in batches:
             for part in chunks(batch, "t"):
                 code, off = grams(part.column(1))
+                n += len(code)
+                if n > 1 << 30:
+                    yield from flush()
+                    kept.clear()
+                    n = len(code)
                 for i, name in enumerate(part.column(0).to_pylist()):
-                    own = code[off[i] : off[i + 1]]
-                    for v in (name, POOLED) if name is not None else (POOLED,):
-                        if v not in kept:
-                            if len(kept) >= LANGS:
-                                yield from flush()
-                                kept.clear()
-                            kept[v] = np.zeros(SIZE**ORDER, np.int64)
-                        np.add.at(kept[v], own, 1)
+                    if name not in kept:
+                        if len(kept) >= LANGS:
+                            yield from flush()
+                            kept.clear()
+                        kept[name] = np.zeros(SIZE**ORDER, np.int32)
+                    np.add.at(kept[name], code[off[i] : off[i + 1]], 1)
         yield from flush()
+        kept.clear()
+        trim()
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")).mapInArrow(run, "lang string, gram long, n long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = scratch.write(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts-by-lang")
+    pooled = rows.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
+    return rows.filter("lang is not null").union(pooled)
 
 
 def probabilities(counts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -147,7 +155,7 @@ def bits_table(rows: pa.Table) -> np.ndarray:
             dense = (w.reshape(-1, 1) * np.tile(dense.reshape(-1, SIZE), (SIZE, 1))).reshape(-1)
         at = k == j
         dense[gram[at]] = p[at]
-    return -np.log2(np.maximum(dense, 1e-12)).astype(np.float32)
+    return -np.log2(np.maximum(dense, 1e-12)).astype(np.float16)
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str, text: str, lang: str) -> DataFrame:
@@ -167,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str, text:
     cell = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS)).cast("long")
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), cell.alias("c"))
     rows = rows.mapInArrow(some, "k long, lang string, t string").join(trusted, "k", "left_semi")
-    return probabilities(scratch.write(gram_counts(rows, "lang", "t"), "counts"), scratch)
+    return probabilities(scratch.write(gram_counts(rows, "lang", "t", scratch), "counts"), scratch)
 
 
 def perplexities(docs: DataFrame, probs: DataFrame, key: str, text: str, lang: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -201,6 +209,7 @@ def perplexities(docs: DataFrame, probs: DataFrame, key: str, text: str, lang: s
                         t = table.get(v, table.get(POOLED)) if v is not None else table.get(POOLED)
                         bits.append(None if not n[j] else 0.0 if t is None else float(t[code[off[j] : off[j + 1]]].mean(dtype=np.float64)))
                     yield pa.RecordBatch.from_arrays([*some.columns[: len(fields)], pa.array(n), pa.array(bits, pa.float64())], names=[f.name for f in fields] + ["_bytes", "_bits"])
+            trim()
 
         rows = part.select(*[F.col(f.name) for f in fields], *([] if held_as == text else [F.col(text).alias(held_as)]))
         rows = rows.mapInArrow(run, f"{schema}, _bytes long, _bits double")

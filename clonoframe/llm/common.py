@@ -65,7 +65,7 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
+def small_batches(spark: SparkSession, rows: int = 256):
     """Arrow batches of so many rows while the block runs jobs: rows that carry whole texts or sets stay small in memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -89,7 +89,7 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/clonoframe/{name}-{uuid.uuid4().hex}"
         _made.append((spark, self.base))
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = 1000) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = 256) -> DataFrame:
         path = f"{self.base}/{name}"
         with small_batches(self.spark, rows):
             df.write.option("compression", codec).parquet(path)
@@ -164,7 +164,7 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 19):
     """Slices of the batch whose texts have about `limit` bytes at most (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)

@@ -80,7 +80,7 @@ class Frequencies:
         return held(self.shared, (s >> np.uint64(64 - self.SHARED_BITS)).astype(np.int64))
 
 def _packed(x: np.ndarray) -> bytes:
-    """Sorted 30-bit numbers as compressed differences, a byte plane at a time (about 2.5 bytes each)."""
+    """Sorted 30-bit numbers as compressed differences, a byte plane at a time (about 3 bytes each)."""
     d = np.diff(x.astype(np.uint32), prepend=np.uint32(0))
     planes = d.view(np.uint8).reshape(-1, 4).T.copy()
     return len(x).to_bytes(4, "little") + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
@@ -95,8 +95,8 @@ def _unpacked(b: bytes) -> np.ndarray:
 def frequencies(docs: DataFrame, text: str) -> Frequencies:
     """Counts every shingle of every document, by its leading bits.
 
-    A task sorts the hashes of a few million shingles and sends each range of them as one
-    compressed blob, so the shuffle takes about 2.5 bytes a shingle; the number of ranges
+    A task sorts the hashes of half a million shingles and sends each range of them as one
+    compressed blob, so the shuffle takes about 3 bytes a shingle; the number of ranges
     follows the input's size, so that what meets in a task stays small.
     """
     spark, low, cells, shared = docs.sparkSession, Frequencies.LOW, Frequencies.CELL_BITS, Frequencies.SHARED_BITS
@@ -120,7 +120,7 @@ def frequencies(docs: DataFrame, text: str) -> Frequencies:
                 kept.append(np.concatenate(made))
                 n += len(kept[-1])
                 del made
-                if n > 1_000_000:
+                if n > 500_000:
                     yield flush()
                     kept, n = [], 0
         if n:

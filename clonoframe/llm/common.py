@@ -139,10 +139,10 @@ def bitmap(keys: DataFrame, cell: Column | None = None) -> np.ndarray:
     cell = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(BITS)) if cell is None else cell
 
     def local(batches):
-        bits = np.zeros(BITS, bool)
+        packed = np.zeros(BITS // 8, np.uint8)
         for b in batches:
-            bits[b.column(0).to_numpy()] = True
-        packed = np.packbits(bits)
+            at = b.column(0).to_numpy()
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         full = np.flatnonzero(packed.reshape(_BLOCKS, per).any(1))
         yield pa.RecordBatch.from_pydict({"block": pa.array(full, pa.int32()), "bits": pa.array([packed[i * per : (i + 1) * per].tobytes() for i in full], pa.binary())})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release
 
 LARGEST_ROUNDS = 60
 
@@ -31,9 +31,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         small = s.select(F.col("v").alias("u"), F.col("m").alias("v")).union(s.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = scratch.write(small, f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
+        del both, large, s, small
         # Done when every node has one parent at most, and no parent has one.
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
+        release(scratch.spark)
     # The edges are now stars around each component's least node.
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()

@@ -310,6 +310,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lists = post.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
     post = post.join(lists, "token", "left_semi")
     post = scratch.write(post, "postings")
+    scratch.drop("postings-all")
+    del lists
+    release(spark)
 
     # Stars: each group with centres of its lists, each class with its group's first, until no more components meet.
     lead = groups.select("grp", "lead")
@@ -329,8 +332,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             inner = classes.join(lead, "grp").filter("rep <> lead")
             pairs = pairs.union(inner.select(F.col("rep").alias("a"), F.col("lead").alias("b"))).distinct()
         pairs = scratch.write(pairs, f"pairs-{i}")
+        release(spark)
         new = _verified(pairs, pool, scratch, f"star-{i}")
         links = new if links is None else links.union(new)
+        release(spark)
         comp = components(links, scratch, f"cc{i}")
         member = classes.join(comp, F.col("rep") == F.col("node"), "left").select("grp", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
         member = scratch.write(member, f"members-{i}")
@@ -357,7 +362,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     inside = member.join(split, "grp", "left_semi")
     inside = inside.select("grp", F.col("rep").alias("a"), F.col("comp").alias("ca")).join(inside.select("grp", F.col("rep").alias("b"), F.col("comp").alias("cb")), "grp").filter("ca < cb").select("a", "b")
     rest = scratch.write(rest.union(inside).distinct(), "pairs-rest")
+    del x, y, inside, split
+    scratch.drop("mixed", "postings", "apart")
+    release(spark)
     more = _verified(rest, pool, scratch, "rest")
+    scratch.drop("pool", "pairs-rest")
     release(spark)
     comp = components(links.union(more), scratch, "cc")
 

@@ -13,6 +13,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of one Arrow batch: rows that carry whole texts or sets must not add up.
+BATCH_BYTES = 2 << 20
+
+
+def _settle() -> None:
+    """In a Python worker: arrays go back to the system as soon as they are freed, and don't wait in an allocator's pools."""
+    if TaskContext.get() is not None and sys.platform == "linux":
+        m_mmap_threshold, m_arena_max = -3, -8
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(m_mmap_threshold, 1 << 20)
+            libc.mallopt(m_arena_max, 2)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_settle()
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, unless the session has a bound of its own.
+
+    It holds for the lazy plans too that the operators return.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -85,6 +115,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/clonoframe/{name}-{uuid.uuid4().hex}"
         _made.append((spark, self.base))

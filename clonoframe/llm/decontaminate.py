@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, small_batches
+from .common import Scratch, chunks, small_batches, trim
 from .tokens import NOT_ALNUM, Words
 
 WINDOW = 10
@@ -110,6 +110,7 @@ def _word_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> np.ndarr
                 total += np.bincount(at[v[at] == h], minlength=len(v))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"w": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
+        trim()
 
     out = np.zeros(len(vocabulary), np.int64)
     with small_batches(docs.sparkSession):
@@ -160,6 +161,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                         [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(sorted, names), pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))],
                         names=["key", "text_hash", "n_words", "n_hit", "items", "spans"],
                     )
+            trim()
 
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("text_hash"))
         return rows.mapInArrow(run, f"key {kind}, text_hash long, n_words long, n_hit long, items array<string>, spans array<long>")

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, Scratch, bitmap, held
+from .common import BITS, Scratch, bitmap, held, trim
 
 
 def _cell(key: str):
@@ -23,6 +23,7 @@ def _split(docs: DataFrame, key: str, bits) -> tuple[DataFrame, DataFrame]:
             for b in batches:
                 hit = held(bits.value, b.column(at).to_numpy())
                 yield pa.RecordBatch.from_arrays(b.filter(pa.array(hit == inside)).columns[:at], names=schema.names)
+            trim()
 
         return docs.withColumn("_cell", F.coalesce(_cell(key), F.lit(0))).mapInArrow(run, schema)
 

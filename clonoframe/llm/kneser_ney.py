@@ -1,14 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters folded to an alphabet of 40 symbols, of order 4, one model for
-each language and one of all trusted text for documents whose language has none. Counts of
-all trusted text are summed by (language, gram); every order's table is joined, sharded by
-language and gram, with the sums of its contexts and with the next lower order's table.
-A document's figure is its perplexity for a byte; a document above its language's limit is
-rejected. The limit comes from that language's quantiles over all documents.
+The model is over words, of order 3 (word_model), one model for each language and one of all
+trusted text for documents whose language has none; its grams grow with the trusted text, and
+it scores by joins on (language, gram) with sums for each document. Bytes between words and
+words that training hasn't seen are spelled by a model of order 4 over characters folded to
+an alphabet of 40 symbols, whose tables (40**4 numbers a language) are broadcast; languages
+are taken in blocks of LANGS, one pass over a block's documents each.
 
-The finished tables are bounded by 40**4 numbers a language, so they are broadcast for
-scoring; languages are taken in blocks of LANGS, one pass over a block's documents each.
+A document's figure is its perplexity for a byte; a document above its language's limit is
+rejected. The limit comes from that language's quantiles over the documents that the model
+was not trained on.
 
 Defined cases: null or empty text has no perplexity and is rejected; a null language, or one
 without trusted text, uses the pooled model and has limits of its own; without any trusted
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import word_model as wm
 from .common import BITS, Scratch, bitmap, chunks, held, trim
-from .tokens import LOWER, raw
+from .tokens import LOWER, mix, raw
 
 ORDER = 4
 #: Languages scored in one pass (5 MB each).
@@ -33,7 +35,8 @@ LANGS = 16
 #: Bins of a bit per byte in the histograms of log-perplexity.
 BINS = 200
 #: A limit lies SPREAD times the distance from the LOW quantile to the middle one above the middle one, and LEAST bits at least.
-LOW, MIDDLE, SPREAD, LEAST = 0.05, 0.5, 4.0, 0.4
+#: The low quantile is a quarter: copies of trained texts, which score far lower, are fewer than that.
+LOW, MIDDLE, SPREAD, LEAST = 0.25, 0.5, 4.0, 0.4
 #: Short texts vary more: SHORT over the root of their bytes is added to the limit.
 SHORT = 6.0
 POOLED = "\x00"
@@ -158,8 +161,9 @@ def bits_table(rows: pa.Table) -> np.ndarray:
     return -np.log2(np.maximum(dense, 1e-12)).astype(np.float16)
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str, text: str, lang: str) -> DataFrame:
-    """Probabilities from all documents that labels call good and not toxic.
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str, text: str, lang: str) -> tuple[DataFrame, DataFrame, dict[str, float], DataFrame]:
+    """From all documents that labels call good and not toxic: the spelling's probabilities, the
+    word model's keys, the bits of a word not seen by language, and the trusted keys.
 
     Texts of other documents are left out by a fixed-size bitmap of the trusted keys before
     the exact join, so only trusted text is shuffled.
@@ -174,52 +178,86 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str, text:
 
     cell = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS)).cast("long")
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), cell.alias("c"))
-    rows = rows.mapInArrow(some, "k long, lang string, t string").join(trusted, "k", "left_semi")
-    return probabilities(scratch.write(gram_counts(rows, "lang", "t", scratch), "counts"), scratch)
-
-
-def perplexities(docs: DataFrame, probs: DataFrame, key: str, text: str, lang: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: key, lang, keep..., _bytes, _bits (mean for a byte; null without text)."""
+    rows = scratch.write(rows.mapInArrow(some, "k long, lang string, t string").join(trusted, "k", "left_semi").select("lang", "t"), "text")
+    probs = scratch.write(probabilities(scratch.write(gram_counts(rows, "lang", "t", scratch), "counts"), scratch), "probabilities")
+    own = [r[0] for r in rows.filter("lang is not null").select("lang").distinct().collect()]
+    alone = docs.filter(~F.coalesce(F.col(lang).cast("string").isin(own), F.lit(False))).limit(1).count()
+    words, unseen = wm.model(wm.counts(rows, POOLED if alone else None), scratch)
+    scratch.drop("text", "words3", "words2", "words1", "contexts2", "contexts3", "wordp1", "wordp2", "wordp3")
+    return probs, words, unseen, trusted
+
+
+def perplexities(docs: DataFrame, trained: tuple, key: str, text: str, lang: str) -> DataFrame:
+    """Per row: key, lang, _hash (of its text), _bytes, _bits (mean for a byte; null without text)."""
+    probs, words, unseen, _ = trained
     spark = docs.sparkSession
     langs = sorted(r[0] for r in probs.filter("k = 1").select("lang").distinct().collect())
     own = [v for v in langs if v != POOLED]
-    blocks = [own[i : i + LANGS - 1] for i in range(0, len(own), LANGS - 1)] or [[]]
-    fields = [docs.schema[c] for c in (key, lang, *keep)]
-    held_as = text if text in keep else "_text"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    parts = [own[i : i + LANGS - 1] for i in range(0, len(own), LANGS - 1)] or [[]]
+    kind = docs.schema[key].dataType.simpleString()
+    fields = f"key: {kind}, lang: string, hash: bigint, bytes: bigint, d: int, base: double"
     out = None
-    for i, block in enumerate(blocks):
+    for i, names in enumerate(parts):
         part = docs
-        if len(blocks) > 1:
-            here = F.coalesce(F.col(lang).cast("string").isin(block), F.lit(False))
+        if len(parts) > 1:
+            here = F.coalesce(F.col(lang).cast("string").isin(names), F.lit(False))
             part = docs.filter(here if i else here | ~F.coalesce(F.col(lang).cast("string").isin(own), F.lit(False)))
         table = {}
-        for v in [*block, *[v for v in langs if v == POOLED]]:
+        for v in [*names, *[v for v in langs if v == POOLED]]:
             table[v] = bits_table(probs.filter(F.col("lang") == v).select("k", "gram", "p", "back").toArrow())
         shared = spark.sparkContext.broadcast(table)
 
         def run(batches, shared=shared):
             table = shared.value
-            for batch in batches:
-                for some in chunks(batch, held_as):
-                    code, off = grams(some.column(held_as))
-                    n = np.diff(off)
-                    bits: list = []
-                    for j, v in enumerate(some.column(1).cast(pa.string()).to_pylist()):
-                        t = table.get(v, table.get(POOLED)) if v is not None else table.get(POOLED)
-                        bits.append(None if not n[j] else 0.0 if t is None else float(t[code[off[j] : off[j + 1]]].mean(dtype=np.float64)))
-                    yield pa.RecordBatch.from_arrays([*some.columns[: len(fields)], pa.array(n), pa.array(bits, pa.float64())], names=[f.name for f in fields] + ["_bytes", "_bits"])
+            for seq, t in enumerate(wm.blocks(batches, "_text")):
+                of = [v if v in table else POOLED for v in t.column("_lang").to_pylist()]
+                col = wm._column(t, "_text")
+                spelt, size = [np.zeros(1)], []
+                at = 0
+                batch = pa.RecordBatch.from_arrays([col], names=["t"])
+                for some in chunks(batch, "t"):
+                    code, off = grams(some.column(0))
+                    size.append(np.diff(off))
+                    for j in range(some.num_rows):
+                        c = code[off[j] : off[j + 1]]
+                        spelt.append(table[of[at + j]][c].astype(np.float64) if table else np.zeros(len(c)))
+                    at += some.num_rows
+                bits, size = np.cumsum(np.concatenate(spelt)), np.concatenate(size)
+                number = wm.block_number(seq)
+                rows, n = wm.entries(t, "_text", np.array([wm.salt(v) for v in of], np.uint64), bits, number)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                base = bits[ends[1:]] - bits[ends[:-1]] + n * np.array([unseen.get(v, 0.0) for v in of])
+                docs = pa.StructArray.from_arrays([wm._column(t, "_key"), wm._column(t, "_lang"), wm._column(t, "_hash"), pa.array(size), pa.array(np.arange(len(size)), pa.int32()), pa.array(base)], names=["key", "lang", "hash", "bytes", "d", "base"])
+                lone = mix(np.arange(len(size), dtype=np.uint64) + np.uint64(number << 16)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(lone), pa.array(np.full(len(size), number)), pa.nulls(len(size), pa.binary()), docs], names=["key", "block", "who", "doc"])
+                for j in range(0, rows.num_rows, 1 << 16):
+                    x = rows.slice(j, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, docs.type)], names=["key", "block", "who", "doc"])
             trim()
 
-        rows = part.select(*[F.col(f.name) for f in fields], *([] if held_as == text else [F.col(text).alias(held_as)]))
-        rows = rows.mapInArrow(run, f"{schema}, _bytes long, _bits double")
+        def assemble(number, t):
+            total = wm.assembled(t, None)
+            d = pa.concat_arrays(t.column("doc").drop_null().chunks).flatten()
+            size = d[3].to_numpy()
+            mean = (d[5].to_numpy() - total[d[4].to_numpy()]) / np.maximum(size, 1)
+            return pa.table({"key": d[0], "lang": d[1], "hash": d[2], "bytes": d[3], "bits": pa.array(mean, pa.float64(), mask=size == 0)})
+
+        rows = part.select(F.col(key).alias("_key"), F.col(lang).cast("string").alias("_lang"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("_text"))
+        rows = rows.mapInArrow(run, f"key long, block long, who binary, doc struct<{fields}>")
+        # Rows of documents have keys of their own, so that they are dealt evenly: they match nothing and pass.
+        rows = rows.join(words, "key", "left").filter("gain is not null or doc is not null").select("block", F.when(F.col("doc").isNull(), F.col("who")).alias("who"), F.when(F.col("doc").isNull(), F.col("gain")).alias("gain"), "back", "doc")
+        rows = rows.mapInArrow(wm.gather, f"block long, sums binary, doc struct<{fields}>")
+        rows = rows.groupBy("block").applyInArrow(assemble, f"key {kind}, lang string, hash long, bytes long, bits double")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.select(F.col("key").alias(key), F.col("lang").alias(lang), F.col("hash").alias("_hash"), F.col("bytes").alias("_bytes"), F.col("bits").alias("_bits"))
 
 
-def limits(scored: DataFrame, lang: str) -> DataFrame:
-    """_l, _limit: by language, from a histogram of bits over all documents with text (quantiles to one bin)."""
-    h = scored.filter(F.col("_bits").isNotNull()).groupBy(F.col(lang).cast("string").alias("_l"), F.floor(F.col("_bits") * BINS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def limits(scored: DataFrame, trusted: DataFrame, key: str, lang: str) -> DataFrame:
+    """_l, _limit: by language, from a histogram of bits over the documents with text that the
+    model was not trained on, or all of a language that has no others (quantiles to one bin)."""
+    new = scored.filter(F.col("_bits").isNotNull()).join(trusted.withColumn("_old", F.lit(True)), F.col(key).cast("long") == F.col("k"), "left")
+    h = new.groupBy(F.col(lang).cast("string").alias("_l"), F.floor(F.col("_bits") * BINS).alias("b")).agg(F.count(F.lit(1)).alias("every"), F.count(F.when(F.col("_old").isNull(), 1)).alias("n"))
+    h = h.withColumn("n", F.when(F.sum("n").over(Window.partitionBy("_l")) > 0, F.col("n")).otherwise(F.col("every")))
     w = Window.partitionBy("_l").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("upto", F.sum("n").over(w)).withColumn("of", F.sum("n").over(Window.partitionBy("_l")))
     at = lambda q: (F.min(F.when(F.col("upto") >= F.col("of") * q, F.col("b"))) + 0.5) / BINS
@@ -227,28 +265,26 @@ def limits(scored: DataFrame, lang: str) -> DataFrame:
     return h.groupBy("_l").agg((mid + F.greatest(F.lit(LEAST), SPREAD * (mid - low))).alias("_limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per row: key, n_bytes, perplexity (for a byte), threshold (its language's), kept."""
+def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """Per row: key, lang, _hash, _bytes, _bits, _limit, _kept."""
     scratch = Scratch(docs.sparkSession, "quality")
-    probs = scratch.write(train(docs, labels, scratch, key, text, lang), "probabilities")
-    rows = perplexities(docs.select(F.col(key), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")), probs, key, "text", "lang")
-    rows = scratch.write(rows, "scored")
-    rows = _judged(rows, "lang", scratch)
-    return rows.select(key, F.col("_bytes").alias("n_bytes"), F.pow(F.lit(2.0), "_bits").alias("perplexity"), F.pow(F.lit(2.0), "_limit").alias("threshold"), F.col("_kept").alias("kept"))
-
-
-def _judged(rows: DataFrame, lang: str, scratch: Scratch, of: DataFrame | None = None) -> DataFrame:
-    """Adds _limit and _kept; of: what the limits are taken from, if not rows."""
-    cut = scratch.write(limits(rows if of is None else of, lang), "limits")
-    rows = rows.join(cut, F.col(lang).cast("string").eqNullSafe(F.col("_l")), "left")
+    trained = train(docs, labels, scratch, key, text, lang)
+    rows = scratch.write(perplexities(docs, trained, key, text, lang), "scored", rows=16384)
+    scratch.drop("words")
+    cut = scratch.write(limits(rows, trained[3], key, lang), "limits")
+    rows = rows.join(F.broadcast(cut), F.col(lang).cast("string").eqNullSafe(F.col("_l")), "left")
     kept = F.col("_bits").isNotNull() & (F.col("_bits") <= F.col("_limit") + SHORT / F.sqrt("_bytes"))
     return rows.withColumn("_kept", F.coalesce(kept, F.lit(False)))
 
 
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Per row: key, n_bytes, perplexity (for a byte), threshold (its language's), kept."""
+    rows = _judged(docs, labels, key, text, lang)
+    return rows.select(key, F.col("_bytes").alias("n_bytes"), F.pow(F.lit(2.0), "_bits").alias("perplexity"), F.pow(F.lit(2.0), "_limit").alias("threshold"), F.col("_kept").alias("kept"))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that classify() keeps, with all their columns; one more scoring pass, no shuffle of texts."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    probs = scratch.write(train(docs, labels, scratch, key, text, lang), "probabilities")
-    scored = perplexities(docs, probs, key, text, lang, tuple(c for c in docs.columns if c not in (key, lang)))
-    bits = scratch.write(scored.select(lang, "_bits"), "bits")
-    return _judged(scored, lang, scratch, bits).filter("_kept").select(*docs.columns)
+    """The documents that classify() keeps, with all their columns, by a join with the rejected ones (same key, language and text: same figure)."""
+    bad = _judged(docs, labels, key, text, lang).filter("not _kept").select(F.col(key).alias("_k"), F.col(lang).cast("string").alias("_l2"), F.col("_hash").alias("_h")).distinct()
+    same = F.xxhash64(F.col(text)).eqNullSafe(F.col("_h")) & F.col(key).eqNullSafe(F.col("_k")) & F.col(lang).cast("string").eqNullSafe(F.col("_l2"))
+    return docs.join(bad, same, "left_anti").select(*docs.columns)

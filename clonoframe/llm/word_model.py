@@ -1,0 +1,229 @@
+"""Interpolated modified Kneser-Ney model of words, order 3, and the sums that it gives each document.
+
+Words are runs of ASCII digits and letters and of bytes from 0x80, in lower case, as 64-bit
+hashes; grams of one language have keys of their own. The tables grow with the trusted text
+and are never gathered: counts, contexts and scoring are joins on the key.
+
+The log-probability of a text is a sum over keys. With p(k) = own(k) + back(context) p(k-1),
+each position has the bits of its word by order 1, plus log2 back of its contexts, plus, for
+each order whose gram was seen, GAIN = log2 p(k) - log2 p(k-1) - log2 back. So a document's
+figure is a sum of (times as gram) GAIN + (times as context) BACK over the keys that it shares
+with the model, by an inner match. A word that was not seen costs the weight left for such
+words and the bits of its spelling, which come from the character model.
+
+The rows of a block of documents that have one key are one row, with the documents' numbers
+in the block and their counts.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch, trim
+from .tokens import NOT_ALNUM, Words, mix
+
+ORDER = 3
+#: Bytes of text, and documents, of a block.
+BLOCK, DOCS = 4 << 20, 1 << 16
+_A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+#: Stands for the words before a text's first one.
+_START = np.uint64(0x8EBC6AF09C88C6E3)
+_ENTRY = np.dtype([("d", "<u2"), ("n", "<u4"), ("m", "<u4"), ("c", "<f4")])
+_SUM = np.dtype([("d", "<u2"), ("s", "<f8")])
+
+
+def salt(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little"))
+
+
+class Grams:
+    """Of each word of a block: doc, its number; last, one and two words before it (hashes, w, p, q); keys g1, g2, g3 and of its contexts c2, c3."""
+
+    def __init__(self, col: pa.Array, salts: np.ndarray):
+        self.words = x = Words(col, NOT_ALNUM, lower=True)
+        w = x.hashes()
+        per = np.diff(x.first)
+        self.doc = np.repeat(np.arange(len(per)), per)
+        at = np.arange(len(w)) - np.repeat(x.first[:-1], per)
+        p, q = np.full(len(w), _START), np.full(len(w), _START)
+        p[1:] = np.where(at[1:] >= 1, w[:-1], _START)
+        q[2:] = np.where(at[2:] >= 2, w[:-2], _START)
+        s = salts[self.doc]
+        self.end = at == np.repeat(per, per) - 1
+        self.begin = at == 0
+        self.g1, self.c2 = mix(w + s), mix(p + s)
+        self.g2, self.c3 = mix(p * _A + w * _B + s), mix(q * _A + p * _B + s)
+        self.g3 = mix(q * _C + p * _A + w * _B + s)
+
+
+def _sum_by(order: np.ndarray, first: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x[order], first) if len(order) else x[:0]
+
+
+def blocks(batches, column: str):
+    """Tables of about BLOCK bytes of text and fewer than DOCS rows."""
+    held, size, rows = [], 0, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCS // 2):
+            part = batch.slice(at, DOCS // 2)
+            n = part.column(column).get_total_buffer_size()
+            if held and (size + n > BLOCK or rows + part.num_rows >= DOCS):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size, rows = [], 0, 0
+            held.append(part)
+            size, rows = size + n, rows + part.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(t: pa.Table, name: str) -> pa.Array:
+    c = t.column(name)
+    return c.chunk(0) if c.num_chunks else pa.array([], c.type)
+
+
+def counts(docs: DataFrame, pooled: str | None) -> DataFrame:
+    """lang, gram, ctx, short, mid, last, n of the highest order, over all rows of docs (lang, t); pooled: a name for the sums over all languages."""
+
+    def run(batches):
+        for t in blocks(batches, "t"):
+            names = _column(t, "lang").to_pylist()
+            for name in (False, True):
+                if name and pooled is None:
+                    continue
+                of = [pooled if name else v for v in names]
+                some = [i for i, v in enumerate(of) if v is not None]
+                if not some:
+                    continue
+                known = sorted({of[i] for i in some})
+                number = {v: i for i, v in enumerate(known)}
+                which = np.array([number[of[i]] for i in some])
+                g = Grams(_column(t, "t").take(pa.array(some)), np.array([salt(v) for v in known], np.uint64)[which])
+                if not len(g.g3):
+                    continue
+                _, at, n = np.unique(g.g3, return_index=True, return_counts=True)
+                lang = pa.DictionaryArray.from_arrays(pa.array(which[g.doc[at]], pa.int32()), pa.array(known)).cast(pa.string())
+                cols = [pa.array(x[at].view(np.int64)) for x in (g.g3, g.c3, g.g2, g.c2, g.g1)]
+                yield pa.RecordBatch.from_arrays([lang, *cols, pa.array(n.astype(np.int64))], names=["lang", "gram", "ctx", "short", "mid", "last", "n"])
+        trim()
+
+    rows = docs.mapInArrow(run, "lang string, gram long, ctx long, short long, mid long, last long, n long")
+    return rows.groupBy("lang", "gram").agg(*[F.max(c).alias(c) for c in ("ctx", "short", "mid", "last")], F.sum("n").alias("n"))
+
+
+def model(top: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
+    """key, gain, back (both in bits, 0 where the key was no gram or no context), and the bits of a word not seen, by language.
+
+    Order 3 counts the text, order 2 and 1 different left neighbours.
+    """
+    t3 = scratch.write(top, "words3", rows=16384)
+    t2 = scratch.write(t3.groupBy("lang", F.col("short").alias("gram")).agg(F.max("mid").alias("ctx"), F.max("last").alias("short"), F.count(F.lit(1)).alias("n")), "words2", rows=16384)
+    t1 = scratch.write(t2.groupBy("lang", F.col("short").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "words1", rows=16384)
+    lower, out, unseen = None, [], {}
+    for k, t in enumerate((t1, t2, t3), 1):
+        of = lambda j: F.sum((F.col("n") == j).cast("double"))
+        d = t.groupBy("lang").agg(*[of(j).alias(f"n{j}") for j in range(1, 5)])
+        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
+        step = lambda j: F.greatest(F.lit(0.05), F.least(F.lit(j - 0.05), F.coalesce(F.lit(float(j)) - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}")), F.lit(0.5))))  # noqa: B023, E731
+        d = F.broadcast(d.select("lang", *[step(j).alias(f"d{j}") for j in (1, 2, 3)]))
+        t = t.join(d, "lang").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
+        on = "lang" if k == 1 else "ctx"
+        sums = t.groupBy(on).agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("w"))
+        if k == 1:
+            sums = scratch.write(sums, "unseen")
+            unseen = {r["lang"]: -float(np.log2(r["w"])) for r in sums.collect()}
+            t = t.join(F.broadcast(sums), on).withColumn("p", (F.col("n") - F.col("cut")) / F.col("total"))
+            # Its word's share against the weight of words not seen, whose spelling is taken back as well.
+            t = t.withColumn("gain", F.log2(F.col("p") / F.col("w")))
+        else:
+            sums = scratch.write(sums, f"contexts{k}", rows=16384)
+            t = t.join(sums, on).join(lower.select(F.col("gram").alias("short"), F.col("p").alias("under")), "short")
+            t = t.withColumn("own", (F.col("n") - F.col("cut")) / F.col("total")).withColumn("p", F.col("own") + F.col("w") * F.col("under"))
+            t = t.withColumn("gain", F.log2(F.col("p") / (F.col("w") * F.col("under"))))
+            out.append(sums.select(F.col("ctx").alias("key"), F.lit(0.0).alias("gain"), F.log2("w").alias("back")))
+        lower = scratch.write(t.select("gram", "p", "gain"), f"wordp{k}", rows=16384)
+        out.append(lower.select(F.col("gram").alias("key"), "gain", F.lit(0.0).alias("back")))
+    rows = out[0]
+    for t in out[1:]:
+        rows = rows.union(t)
+    return scratch.write(rows.groupBy("key").agg(F.sum("gain").alias("gain"), F.sum("back").alias("back")), "words", rows=16384), unseen
+
+
+def entries(t: pa.Table, column: str, salts: np.ndarray, bits: np.ndarray, block: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """key, block, who of a block's documents (bits: the character model's, summed over the bytes before each), and the number of words of each."""
+    g = Grams(_column(t, column), salts)
+    first = np.unique(g.doc, return_index=True)[1]
+    spelt = (bits[g.words.end] - bits[g.words.start]).astype(np.float64)
+    one, zero = np.ones(len(g.doc), np.int64), np.zeros(len(g.doc), np.int64)
+    more = 1 - g.end.astype(np.int64)
+    key = np.concatenate([g.g1, g.g2, g.g3, g.c2[first], g.c3[first]])
+    doc = np.concatenate([g.doc, g.doc, g.doc, g.doc[first], g.doc[first]])
+    n = np.concatenate([one, one, one, zero[first], zero[first]])
+    m = np.concatenate([more, more, zero, one[first], one[first]])
+    c = np.concatenate([spelt, zero, zero, zero[first], zero[first]])
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    at = np.flatnonzero(new)
+    who = np.zeros(len(at), _ENTRY)
+    who["d"], who["n"], who["m"], who["c"] = d[at], _sum_by(order, at, n), _sum_by(order, at, m), _sum_by(order, at, c)
+    k = k[at]
+    keys = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
+    ends = (np.append(keys, len(k)) * _ENTRY.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(who.tobytes())])
+    rows = pa.RecordBatch.from_arrays([pa.array(k[keys].view(np.int64)), pa.array(np.full(len(keys), block)), packed], names=["key", "block", "who"])
+    return rows, np.diff(g.words.first)
+
+
+def block_number(seq: int) -> int:
+    return (TaskContext.get().partitionId() << 20) | seq
+
+
+def gather(batches):
+    """Sums over matched rows (block, who, gain, back, doc) in a task; rows of documents pass."""
+    held: list = []
+    size = 0
+
+    def flush():
+        code, s = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        codes, at = np.unique(code, return_inverse=True)
+        held[:] = [(codes, np.bincount(at, s, len(codes)))]
+
+    for batch in batches:
+        doc = batch.column(4)
+        passed = batch.filter(doc.is_valid())
+        if passed.num_rows:
+            yield pa.RecordBatch.from_arrays([passed.column(0), pa.nulls(passed.num_rows, pa.binary()), passed.column(4)], names=["block", "sums", "doc"])
+        rows = batch.filter(batch.column(2).is_valid())
+        if not rows.num_rows:
+            continue
+        who = rows.column(1).to_pylist()
+        per = np.array([len(x) for x in who]) // _ENTRY.itemsize
+        e = np.frombuffer(b"".join(who), _ENTRY)
+        block, gain, back = (np.repeat(rows.column(i).to_numpy(), per) for i in (0, 2, 3))
+        held.append(((block << 16) | e["d"].astype(np.int64), e["n"] * gain + e["m"] * back + e["c"]))
+        size += len(e)
+        if size > 1 << 20:
+            flush()
+            size = 0
+    if held:
+        flush()
+        code, s = held[0]
+        starts = np.flatnonzero(np.concatenate([[True], (code[1:] >> 16) != (code[:-1] >> 16)]))
+        for i, j in zip(starts, [*starts[1:], len(code)], strict=True):
+            out = np.zeros(j - i, _SUM)
+            out["d"], out["s"] = code[i:j] & 0xFFFF, s[i:j]
+            yield pa.RecordBatch.from_pydict({"block": [int(code[i] >> 16)], "sums": pa.array([out.tobytes()], pa.binary()), "doc": pa.nulls(1, doc.type)})
+    trim()
+
+
+def assembled(t: pa.Table, kind: pa.DataType) -> np.ndarray:
+    """The sum of each of a block's documents, by its number."""
+    x = np.frombuffer(b"".join(v for v in t.column("sums").to_pylist() if v is not None), _SUM)
+    return np.bincount(x["d"], x["s"], DOCS) if len(x) else np.zeros(DOCS)

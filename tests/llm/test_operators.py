@@ -114,6 +114,58 @@ def test_quality_classifier(spark, docs, none):
     assert classify(none, labels).count() == 0 and classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_quality_classifier_reads_words(spark):
+    r = random.Random(7)
+    good = lambda: " ".join(f"{a} {b}" for a, b in (r.choice([(f"{x}ation", f"cont{y}") for x, y in (("red", "sea"), ("blue", "sky"), ("green", "leaf"), ("black", "coal"))]) for _ in range(60)))
+    rows = [(i, good(), "en") for i in range(60)] + [(100 + i, " ".join(f"{a} {b}" for a, b in zip(t.split()[::2], r.sample(t.split()[1::2], 60))), "en") for i, t in enumerate(good() for _ in range(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")).collect()}
+    assert max(got[i]["perplexity"] for i in range(40, 60)) < min(got[100 + i]["perplexity"] for i in range(3)) / 1.15
+    assert all(got[i]["kept"] for i in range(60))
+
+
+def test_word_model_against_brute_force(spark):
+    """A text's sum by joins is its log-probability by the recursion."""
+    from clonoframe.llm import word_model as wm
+
+    text = "a b c a b d a b c e b c"
+    docs = spark.createDataFrame([("en", text)], "lang string, t string")
+    words, unseen = wm.model(wm.counts(docs, None), Scratch(spark, "test"))
+    table = {x["key"]: (x["gain"], x["back"]) for x in words.collect()}
+    w = ["^", "^", *text.split()]
+    n3 = Counter(zip(w, w[1:], w[2:]))
+    n2 = Counter(g[1:] for g in n3)
+    n1 = Counter(g[1:] for g in n2)
+
+    def cuts(n):
+        c = Counter(n.values())
+        y = c[1] / (c[1] + 2 * c[2])
+        return [max(0.05, min(j - 0.05, j - (j + 1) * y * c[j + 1] / c[j] if c[j] else 0.5)) for j in (1, 2, 3)]
+
+    def prob(g):
+        n = {1: n1, 2: n2, 3: n3}[len(g)]
+        d = cuts(n)
+        cut = lambda v: d[min(v, 3) - 1]
+        of = [v for k, v in n.items() if k[:-1] == g[:-1]]
+        under = prob(g[1:]) if len(g) > 1 else 0.0
+        if not of:
+            return under
+        return (max(0, n[g] - cut(n[g])) if n[g] else 0) / sum(of) + sum(map(cut, of)) / sum(of) * under
+
+    import numpy as np
+    import pyarrow as pa
+
+    for other in (text, "b c a b c", "d e a"):
+        t = pa.table({"t": pa.array([other])})
+        rows, count = wm.entries(t, "t", np.array([wm.salt("en")], np.uint64), np.zeros(len(other) + 1), 0)
+        got = -unseen["en"] * count[0]
+        for k, who in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
+            e = np.frombuffer(who, wm._ENTRY)[0]
+            if k in table:
+                got += int(e["n"]) * table[k][0] + int(e["m"]) * table[k][1]
+        v = ["^", "^", *other.split()]
+        assert abs(got - sum(np.log2(prob(g)) for g in zip(v, v[1:], v[2:]))) < 1e-6
+
 def test_mixing(docs, none):
     got = mix_sources(docs).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mix_sources(docs).collect()), key=repr)

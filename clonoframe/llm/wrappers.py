@@ -8,7 +8,8 @@ they are built in each task and merged afterwards: a hot host costs one small ro
 
 The wrapper tells the region that holds the text slots of the article; a page's blocks inside
 it are its text, without subtrees that are navigation, notices, adverts, forms or comments,
-and without blocks outside repeated groups whose text is the same on all of many pages.
+and without blocks outside repeated groups, in the region or not, whose text is the same on
+all pages that have them, if those are AGREE different pages or more (copies of a page count once).
 
 Defined cases: null or empty html gives an empty text; a page without a usable host has a
 wrapper of its own; a page that its wrapper doesn't fit is read by itself; unclosed and
@@ -19,6 +20,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as _html
 import json
 import re
@@ -40,7 +42,7 @@ _BOILER_NAME = re.compile(
 )
 #: Elements that a start tag of the same kind closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Pages that must agree before an equal text outside repeated groups counts as part of the template.
+#: Different pages that must agree before an equal text outside repeated groups counts as part of the template.
 AGREE = 5
 #: Longest wrapper kept, in blocks; what lies beyond is read page by page.
 LONGEST = 400
@@ -111,9 +113,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
 def stream(page_blocks: list) -> list[list]:
     """The folded stream of a page: [path, text or None for a slot, repeated, optional, pages, characters outside boilerplate].
 
-    Runs of one path, and of two or three alternating paths, fold into repeated groups.
+    Runs of one path, and of two or three alternating paths, fold into repeated groups. Pages
+    are hashes of all blocks of a page, AGREE of them at most.
     """
-    items = [["/".join(p), t, False, False, 1, 0 if b else len(t)] for p, t, b in page_blocks]
+    page = int.from_bytes(hashlib.blake2b(repr(page_blocks).encode("utf-8", "replace"), digest_size=6).digest(), "little")
+    items = [["/".join(p), t, False, False, [page], 0 if b else len(t)] for p, t, b in page_blocks]
     for period in (1, 2, 3):
         out: list = []
         for x in items:
@@ -137,17 +141,27 @@ def align(wrapper: list[list], other: list[list]) -> list[list]:
     for op, i, j, k, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if op == "equal":
             for x, y in zip(wrapper[i:j], other[k:n], strict=True):
-                out.append([x[0], x[1] if x[1] == y[1] else None, x[2] or y[2], x[3] or y[3], x[4] + y[4], x[5] + y[5]])
+                out.append([x[0], x[1] if x[1] == y[1] else None, x[2] or y[2], x[3] or y[3], sorted({*x[4], *y[4]})[:AGREE], x[5] + y[5]])
         else:
             out += [[*x[:3], True, *x[4:]] for x in (*wrapper[i:j], *other[k:n])]
     return out[:LONGEST]
 
 
+def constant(x: list) -> bool:
+    """Whether a wrapper's block is part of the template: one text on enough different pages, outside repeated groups."""
+    return x[1] is not None and not x[2] and len(x[4]) >= AGREE
+
+
+def decided(wrapper: list[list]) -> tuple[str, set]:
+    """What a wrapper says of its pages: the region, and the template's blocks (path, text)."""
+    return region(wrapper), {(x[0], x[1]) for x in wrapper if constant(x)}
+
+
 def region(wrapper: list[list]) -> str:
     """The path of the element whose text slots hold the article: an article or main element if it has most of
     the text slots' characters in such elements, or else the deepest element with most of all characters."""
     size: Counter = Counter()
-    for path, _, _, _, _, n in wrapper:
+    for path, n in ((x[0], x[5]) for x in wrapper if not constant(x)):
         parts = path.split("/")
         for i in range(len(parts)):
             size["/".join(parts[: i + 1])] += n
@@ -159,18 +173,15 @@ def region(wrapper: list[list]) -> str:
     return max(deep, key=lambda p: (p.count("/"), size[p]), default="")
 
 
-def extract(page: str, wrapper: list[list] | None) -> str:
-    """The main text of a page by a wrapper (None: by the page itself)."""
+def extract(page: str, of: tuple[str, set] | None) -> str:
+    """The main text of a page by what its wrapper decided (None: by the page itself)."""
     own = blocks(page)
     if not own:
         return ""
-    for w in (wrapper, None):
-        w = w or stream(own)
-        top = region(w)
-        fixed = {(x[0], x[1]) for x in w if x[1] is not None and not x[2] and x[4] >= AGREE and not x[0].startswith(top)}
+    for top, fixed in (of, decided(stream(own))) if of else (decided(stream(own)),):
         # Headers and asides inside the article's element are boilerplate as well; the article's own ones aren't above it.
         inside = [t for p, t, b in own if ("/".join(p) + "/").startswith(top + "/") and not b and ("/".join(p), t) not in fixed]
-        if inside or wrapper is None:
+        if inside:
             return "\n".join(inside)
     return ""
 
@@ -202,7 +213,8 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
         w: list = []
         for x in sorted(t.column("wrapper").to_pylist()):
             w = align(w, json.loads(x))
-        return pa.table({"_of": pa.array([key[0].as_py()]), "wrapper": pa.array([json.dumps(w)])})
+        top, fixed = decided(w)
+        return pa.table({"_of": pa.array([key[0].as_py()]), "wrapper": pa.array([json.dumps([top, sorted(fixed)])])})
 
     found = rows.select("_host", "_html").mapInArrow(infer, "_host string, wrapper string").groupBy("_host").applyInArrow(merge, "_of string, wrapper string")
     found = scratch.write(found, "wrappers")
@@ -216,7 +228,8 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
                     if w is not None and w not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[w] = json.loads(w)
+                        top, fixed = json.loads(w)
+                        known[w] = top, {(p, t) for p, t in fixed}
                     out.append(extract(page or "", known.get(w)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["_key", "_url", "text", "n_chars"])
 

@@ -240,6 +240,23 @@ def test_wrappers(spark):
     assert len(got) == 12 and all(t == want[i] and n == len(t) for i, _, t, n in got)
 
 
+def pages_text(spark, rows):
+    """The text by page of rows (host, html)."""
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(rows)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(extract_pages(df).collect(), key=lambda r: r["page_id"])]
+
+
+def test_wrappers_decide_without_names(spark):
+    plain = lambda i: f"<body><div class=x1><div class=x2>Start Help</div><div class=x3><h1>Head {i}</h1><p>Text {i}</p><div class=q>Buy our lamp</div><p>More {i}</p></div></div></body>"
+    named = lambda i: f"<body><article><h1>Head {i}</h1><p>Text {i}</p><div class=q>Buy our lamp</div><p>More {i}</p></article><div>Start Help</div></body>"
+    rows = [("plain.example", plain(i)) for i in range(8)] + [("named.example", named(i)) for i in range(8)] + [("copies.example", named(7))] * 8 + [("few.example", named(i)) for i in range(2)]
+    got = pages_text(spark, rows)
+    want = [f"Head {i}\nText {i}\nMore {i}" for i in range(8)]
+    assert got[:16] == want * 2
+    assert got[16:24] == ["Head 7\nText 7\nBuy our lamp\nMore 7"] * 8
+    assert got[24:] == [f"Head {i}\nText {i}\nBuy our lamp\nMore {i}" for i in range(2)]
+
+
 def test_sharding(docs, none):
     got = kd_shards(docs, shards=4).collect()
     assert len(got) == docs.count()

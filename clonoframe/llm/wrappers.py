@@ -37,15 +37,15 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 BOILER = frozenset("nav header footer aside form button menu dialog fieldset head".split())
-_BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|replies|reply|disqus|respond|sidebar|side|widget\w*|menu\w*|nav\w*|breadcrumbs?|pager|pagination|toolbar|topbar|masthead|header|footer|foot|copyright|legal|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip|toc|complementary|navigation|contentinfo)(?:$|[\s_\d-])"
-)
+_NAMES = r"(?:ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|replies|reply|disqus|respond|sidebar|side|widget\w*|menu\w*|nav\w*|breadcrumbs?|pager|pagination|toolbar|topbar|masthead|header|footer|foot|copyright|legal|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip|toc|complementary|navigation|contentinfo)"
+#: Whole class, id or role tokens: one listed name or several (cookie-banner, side_menu2), but not has-sidebar or layout-nav.
+_BOILER_NAME = re.compile(rf"{_NAMES}(?:[_-]{_NAMES})*[_\d-]*")
 #: Elements that a start tag of the same kind closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Different pages that must agree before an equal text outside repeated groups counts as part of the template.
 AGREE = 5
-#: Longest wrapper kept, in blocks; what lies beyond is read page by page.
-LONGEST = 400
+#: A wrapper with more blocks than this folds again, as a page does; nothing of it is cut.
+LONG = 400
 _BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -102,7 +102,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             continue
         names = " ".join(v.strip("\"'").lower() for _, v in _ATTR.findall(m[3] or ""))
         inside = any(t == "article" for t, _, _ in stack)
-        boiler = tag in BOILER and not (tag == "header" and inside) or bool(names and _BOILER_NAME.search(names)) and tag not in ("body", "html", "main", "article")
+        boiler = tag in BOILER and not (tag == "header" and inside) or any(map(_BOILER_NAME.fullmatch, names.split())) and tag not in ("body", "html", "main", "article")
         stack.append((tag, f"{tag}.{names.split()[0]}" if names else tag, boiler))
     if at < len(page):
         text.append(page[at:])
@@ -117,7 +117,10 @@ def stream(page_blocks: list) -> list[list]:
     are hashes of all blocks of a page, AGREE of them at most.
     """
     page = int.from_bytes(hashlib.blake2b(repr(page_blocks).encode("utf-8", "replace"), digest_size=6).digest(), "little")
-    items = [["/".join(p), t, False, False, [page], 0 if b else len(t)] for p, t, b in page_blocks]
+    return fold([["/".join(p), t, False, False, [page], 0 if b else len(t)] for p, t, b in page_blocks])
+
+
+def fold(items: list[list]) -> list[list]:
     for period in (1, 2, 3):
         out: list = []
         for x in items:
@@ -125,11 +128,12 @@ def stream(page_blocks: list) -> list[list]:
             while len(out) >= 2 * period and all(out[-i][0] == out[-i - period][0] for i in range(1, period + 1)):
                 for i in range(period, 0, -1):
                     a, b = out[-i - period], out[-i]
+                    a[4] = sorted({*a[4], *b[4]})[:AGREE]
                     a[5] += b[5]
-                    a[1], a[2] = None, True
+                    a[1], a[2], a[3] = None, True, a[3] and b[3]
                 del out[-period:]
         items = out
-    return items[:LONGEST]
+    return items
 
 
 def align(wrapper: list[list], other: list[list]) -> list[list]:
@@ -144,7 +148,7 @@ def align(wrapper: list[list], other: list[list]) -> list[list]:
                 out.append([x[0], x[1] if x[1] == y[1] else None, x[2] or y[2], x[3] or y[3], sorted({*x[4], *y[4]})[:AGREE], x[5] + y[5]])
         else:
             out += [[*x[:3], True, *x[4:]] for x in (*wrapper[i:j], *other[k:n])]
-    return out[:LONGEST]
+    return fold(out) if len(out) > LONG else out
 
 
 def constant(x: list) -> bool:
@@ -158,19 +162,21 @@ def decided(wrapper: list[list]) -> tuple[str, set]:
 
 
 def region(wrapper: list[list]) -> str:
-    """The path of the element whose text slots hold the article: an article or main element if it has most of
-    the text slots' characters in such elements, or else the deepest element with most of all characters."""
+    """The path of the element that holds the article: an article or main element if it has most of the
+    text slots' characters, or else the lowest element around all text slots (none: the empty path)."""
+    slots = [(x[0].split("/"), x[5]) for x in wrapper if x[5] and not constant(x)]
     size: Counter = Counter()
-    for path, n in ((x[0], x[5]) for x in wrapper if not constant(x)):
-        parts = path.split("/")
-        for i in range(len(parts)):
-            size["/".join(parts[: i + 1])] += n
-    named = {p: n for p, n in size.items() if n and p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main")}
-    if named:
-        return max(named, key=lambda p: (named[p], p.count("/"), p))
-    total = max(size.values(), default=0)
-    deep = [p for p, n in size.items() if n and 2 * n >= total and p.rsplit("/", 1)[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3")]
-    return max(deep, key=lambda p: (p.count("/"), size[p]), default="")
+    for parts, n in slots:
+        for i, label in enumerate(parts):
+            if label.split(".")[0] in ("article", "main"):
+                size["/".join(parts[: i + 1])] += n
+    total = sum(n for _, n in slots)
+    if named := [p for p, n in size.items() if 2 * n >= total]:
+        return max(named, key=lambda p: (size[p], p.count("/"), p))
+    top = slots[0][0] if slots else []
+    for parts, _ in slots:
+        top = top[: next((i for i, (a, b) in enumerate(zip(top, parts)) if a != b), min(len(top), len(parts)))]
+    return "/".join(top)
 
 
 def extract(page: str, of: tuple[str, set] | None) -> str:
@@ -180,7 +186,7 @@ def extract(page: str, of: tuple[str, set] | None) -> str:
         return ""
     for top, fixed in (of, decided(stream(own))) if of else (decided(stream(own)),):
         # Headers and asides inside the article's element are boilerplate as well; the article's own ones aren't above it.
-        inside = [t for p, t, b in own if ("/".join(p) + "/").startswith(top + "/") and not b and ("/".join(p), t) not in fixed]
+        inside = [t for p, t, b in own if (not top or ("/".join(p) + "/").startswith(top + "/")) and not b and ("/".join(p), t) not in fixed]
         if inside:
             return "\n".join(inside)
     return ""

@@ -257,6 +257,19 @@ def test_wrappers_decide_without_names(spark):
     assert got[24:] == [f"Head {i}\nText {i}\nBuy our lamp\nMore {i}" for i in range(2)]
 
 
+def test_wrappers_keep_whole_articles(spark):
+    pages = [
+        ("<body><div class=post><h1>T</h1><p>intro</p><section><p>a long section of text</p></section></div></body>", "T\nintro\na long section of text"),
+        ("<h1>T</h1><p>a</p><p>b</p>", "T\na\nb"),
+        ("<body><article class=teaser><p>see</p></article><div id=content><h1>T</h1><p>a long text</p></div></body>", "see\nT\na long text"),
+        ("<body><div class='content has-sidebar'><h1>T</h1><p>a</p></div><div class='cookie-banner'>ok?</div></body>", "T\na"),
+        ("<body><div class=layout-nav><p>a</p><ul><li>b<li>c</ul></div><div class=footer2>x</div></body>", "a\nb\nc"),
+        ("<body>" + "".join(f"<div class=c{i}><p>part {i}</p></div>" for i in range(500)) + "</body>", "\n".join(f"part {i}" for i in range(500))),
+    ]
+    got = pages_text(spark, [(f"h{i}.example", x) for i, (x, _) in enumerate(pages)])
+    assert got == [want for _, want in pages]
+
+
 def test_sharding(docs, none):
     got = kd_shards(docs, shards=4).collect()
     assert len(got) == docs.count()

@@ -83,7 +83,7 @@ def build_lineage(df: DataFrame, clone: str = "clone_id", key: str = "sequence_i
         root = pdf[germline].iat[0].replace("-", "N").replace(".", "N")
         seqs, names = [root, *pdf["s"]], ["Germline", *pdf[key].astype(str)]
         if len(seqs) < 3 or len({len(s) for s in seqs}) > 1:
-            return pd.DataFrame({"tree_id": [], "from_v": [], "to_v": [], "weight": []})
+            return pd.DataFrame({"tree_id": [], "from_v": [], "to_v": [], "weight": []}).astype({"tree_id": object, "from_v": object, "to_v": object})
         edges = parsimony(seqs)
         parent = {v: p for p, v in edges}
         _, sets = _cost(parent, {i: _masks(s) for i, s in enumerate(seqs)})

@@ -171,7 +171,7 @@ query("table_edges_indirect", None, "trees")(lambda d: topology.table_edges(d, _
 query("permute_labels", None, "trees")(lambda d: topology.permute_labels(_LABELS(d), 5, seed=1))
 query("test_edges", None, "trees")(lambda d: topology.test_edges(d, _LABELS(d), nperm=50, seed=1))
 query("test_mrca", None, "trees")(lambda d: topology.test_mrca(d, _LABELS(d), nperm=50, seed=1))
-query("build_lineage", None, "aligned")(lambda d: lineage.build_lineage(d.filter("clone_id % 10 = 3")))
+query("build_lineage", None, "aligned")(lambda d: lineage.build_lineage(d))
 query("newick", None, "trees")(lambda d: newick.edges(d.groupBy("tree_id").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "to_v", F.col("weight").cast("string")))), ","), F.lit(")Germline;")).alias("newick"))))
 
 # What the plots show.

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from clonoframe import fixtures
 from clonoframe.functions import aminoacids, genes, sequences
 from clonoframe.operators import lineage
 from clonoframe.operators import sequences as seqs
@@ -86,5 +87,13 @@ def test_against_sql(spark, duck, name):
     assert x == sorted(map(repr, b.fetchall()))
 
 
+def test_lineages_of_all_clones(spark, duck):
+    got = {r[0] for r in catalog.QUERIES["build_lineage"](spark, SF).select("tree_id").distinct().collect()}
+    sql = f"SELECT CAST(clone_id AS VARCHAR) FROM ({fixtures.ALIGNED}) x GROUP BY 1 HAVING count(DISTINCT translate(sequence_alignment, '-.', 'NN')) > 1"
+    assert got == {r[0] for r in duck.execute(sql).fetchall()}
+    small = spark.createDataFrame([(1, 1, "ACGT", "ACGA"), (2, 2, "ACGT", "ACGA"), (2, 3, "AAAA", "ACGA")], "clone_id long, sequence_id long, sequence_alignment string, germline_alignment string")
+    assert {r["tree_id"] for r in lineage.build_lineage(small).collect()} == {"2"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

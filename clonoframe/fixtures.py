@@ -10,10 +10,10 @@ CLONES = """SELECT event_id AS sequence_id, event_type AS sample_id, CASE WHEN e
  THEN 100+event_id%211 ELSE 1000+event_id%4001 END AS clone_id FROM events"""
 ALIGNED = """SELECT event_id AS sequence_id, user_id AS clone_id, concat(substr(t,1,CAST(event_id%28 AS INT)), substr('ACGTN-.',CAST(1+event_id%7 AS INT),1),
  substr(t,CAST(2+event_id%28 AS INT))) AS sequence_alignment, t AS germline_alignment FROM (SELECT event_id,user_id,
- translate(substr(md5(CAST(user_id AS STRING)),1,30),'0123456789abcdef','ACGTACGTACGTACGT') t FROM events WHERE event_id<1500) x"""
+ translate(substr(md5(CAST(user_id AS STRING)),1,30),'0123456789abcdef','ACGTACGTACGTACGT') t FROM events) x"""
 TREES = """SELECT tree_id, CASE WHEN rn=1 THEN 'Germline' ELSE concat('S',CAST(CAST(floor(rn/2) AS INT) AS STRING)) END AS from_v,
  concat('S',CAST(rn AS STRING)) AS to_v, CAST(1+event_id%5 AS DOUBLE) AS weight, sample_id FROM (SELECT user_id%50 AS tree_id, event_id,
- event_type AS sample_id, row_number() OVER (PARTITION BY user_id%50 ORDER BY event_id) rn FROM events WHERE event_id<2000) x"""
+ event_type AS sample_id, row_number() OVER (PARTITION BY user_id%50 ORDER BY event_id) rn FROM events) x"""
 
 
 def view(spark, sf_dir: str, sql: str):

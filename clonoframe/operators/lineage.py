@@ -102,4 +102,6 @@ def build_lineage(df: DataFrame, clone: str = "clone_id", key: str = "sequence_i
         w = [float((settle(p) != settle(v)).sum()) for p, v in edges]
         return pd.DataFrame({"tree_id": str(pdf[clone].iat[0]), "from_v": [label(p) for p, _ in edges], "to_v": [label(v) for _, v in edges], "weight": w})
 
-    return df.groupBy(clone).applyInPandas(one, "tree_id string, from_v string, to_v string, weight double")
+    # A number of partitions of its own: small clones take long, and few bytes would be put into one task.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, clone).groupBy(clone).applyInPandas(one, "tree_id string, from_v string, to_v string, weight double")

@@ -95,5 +95,13 @@ def test_lineages_of_all_clones(spark, duck):
     assert {r["tree_id"] for r in lineage.build_lineage(small).collect()} == {"2"}
 
 
+BIG = "/root/testdata/sf0.01"
+
+
+def test_views_have_all_events(spark):
+    n = spark.read.parquet(f"{BIG}/events.parquet").count()
+    assert n > 2000 and [fixtures.view(spark, BIG, v).count() for v in (fixtures.ALIGNED, fixtures.TREES)] == [n, n]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

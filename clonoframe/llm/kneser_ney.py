@@ -1,290 +1,475 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over words, of order 3 (word_model), one model for each language and one of all
-trusted text for documents whose language has none; its grams grow with the trusted text, and
-it scores by joins on (language, gram) with sums for each document. Bytes between words and
-words that training hasn't seen are spelled by a model of order 4 over characters folded to
-an alphabet of 40 symbols, whose tables (40**4 numbers a language) are broadcast; languages
-are taken in blocks of LANGS, one pass over a block's documents each.
-
-A document's figure is its perplexity for a byte; a document above its language's limit is
-rejected. The limit comes from that language's quantiles over the documents that the model
-was not trained on.
+The model is over characters (Unicode code points, as they are), of order 5: one for each
+language, and one of all trusted text for documents whose language has none. Its tables grow
+with the trusted text and are never gathered: counts, discounts and interpolation are joins and
+aggregates on (language, gram), and scoring is a join on the gram's key, sharded by it.
+
+Scoring reads the documents once. They travel as compressed blocks of about BLOCK bytes of
+text, dealt evenly. A block asks for each gram that it holds once, however often it occurs, so
+that frequent grams cost no more than rare ones; the answers come back to the block, which sums
+them over each text's positions.
+
+A document's figure is its perplexity for a character. Every FOLD-th trusted document, by a
+hash of its key, is held out of the training. A document is rejected if it is above two limits
+of its language, both of which are the same high quantile (QUANTILE) over the documents held
+out: that of the perplexity, and that of the distance from the middle times the root of the
+length, as the figures of short texts vary more.
 
 Defined cases: null or empty text has no perplexity and is rejected; a null language, or one
-without trusted text, uses the pooled model and has limits of its own; without any trusted
-text all documents with text stay; repeated rows count one by one; an empty table gives no
-rows; extra columns are ignored.
+without trusted text, uses the model and the limits of all trusted text; a language with fewer
+than FEW documents held out takes the wider of its own and the common limits; without any document held
+out all documents with text stay; the label of a key that is given twice is the worse one;
+repeated rows count one by one; an empty table gives no rows; extra columns are ignored, or kept
+as they are by keep_good, whatever their names. A quantile is that of the least bin that
+reaches it, so ties fall on the accepted side.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from . import word_model as wm
-from .common import BITS, Scratch, bitmap, chunks, held, trim
-from .tokens import LOWER, mix, raw
-
-ORDER = 4
-#: Languages scored in one pass (5 MB each).
-LANGS = 16
-#: Bins of a bit per byte in the histograms of log-perplexity.
-BINS = 200
-#: A limit lies SPREAD times the distance from the LOW quantile to the middle one above the middle one, and LEAST bits at least.
-#: The low quantile is a quarter: copies of trained texts, which score far lower, are fewer than that.
-LOW, MIDDLE, SPREAD, LEAST = 0.25, 0.5, 4.0, 0.4
-#: Short texts vary more: SHORT over the root of their bytes is added to the limit.
-SHORT = 6.0
+from .common import BITS, Scratch, bitmap, chunks, held, release, trim
+from .tokens import mix, raw
+
+ORDER = 5
+#: Stands before a text's first character.
+START = 2
+#: All characters that there may be: the base of the interpolation is one of so many.
+UNIVERSE = 0x110000
+#: Bytes of text of a block, and of a piece of it that is hashed at once.
+BLOCK, PIECE = 16 << 20, 1 << 20
+#: Every so many-th trusted document is held out; the quantile of the limits; documents held out that make a language's limits its own.
+FOLD, QUANTILE, FEW = 5, 0.99, 50
+#: Bins of a bit in the histograms that the quantiles are taken from: of perplexities, and of distances times the root of the length.
+BINS, WIDE_BINS = 1000, 20
 POOLED = "\x00"
+KEY_BITS = 48
+_STEP = [np.uint64(int(x) | 1) for x in np.random.default_rng(5).integers(1 << 61, 1 << 63, ORDER, dtype=np.uint64)]
 
 
-def _alphabet() -> np.ndarray:
-    """Symbols of bytes: a-z, space, digit, full stop, comma, line end, marks, other ASCII, and bytes from 0x80 by their remainder to 7."""
-    out = np.full(256, 32, np.int64)
-    out[0x61:0x7B] = np.arange(26)
-    out[[0x20, 0x09]] = 26
-    out[0x30:0x3A] = 27
-    out[0x2E], out[0x2C] = 28, 29
-    out[[0x0A, 0x0D]] = 30
-    out[list(b"#*$%&|<>")] = 31
-    out[0x80:] = 33 + np.arange(0x80) % 7
-    return out
-
+def salt(name: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "little"))
 
-SYMBOL = _alphabet()
-SIZE = 40
 
-
-def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the ORDER-grams that end at each byte of each text (line ends before its start), and the texts' offsets."""
+def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each after ORDER - 1 starts, and the number of characters of each text."""
     data, off = raw(col)
-    n, pad = len(off) - 1, ORDER - 1
-    sym = np.full(len(data) + pad * n, 30, np.int64)
-    at = np.arange(len(data)) + pad * (np.repeat(np.arange(n), np.diff(off)) + 1)
-    sym[at] = SYMBOL[LOWER[data]]
-    code = np.zeros(len(data), np.int64)
-    for k in range(ORDER):
-        code = code * SIZE + sym[at - pad + k]
-    return code, off
-
-
-def gram_counts(docs: DataFrame, lang: str, text: str, scratch: Scratch) -> DataFrame:
-    """lang (also POOLED), gram, n: counts over all rows, combined in each task."""
+    s = data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace")
+    points = np.frombuffer(s, np.uint32)
+    first = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=first[1:])
+    size = np.diff(first[off])
+    if len(points) != first[-1]:  # bytes that are no UTF-8
+        each = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
+        points, size = np.frombuffer("".join(each).encode("utf-32-le", "replace"), np.uint32), np.array([len(x) for x in each], np.int64)
+    out = np.full(len(points) + (ORDER - 1) * len(size), START, np.uint32)
+    out[_places(size)] = points
+    return out, size
+
+
+def _places(size: np.ndarray) -> np.ndarray:
+    """Where the characters of the texts are among symbols() of them."""
+    return np.arange(size.sum()) + (ORDER - 1) * (np.repeat(np.arange(len(size)), size) + 1)
+
+
+class Grams:
+    """The different grams of the highest order of some texts: mark (64 bits), points [n, ORDER], salts; of each position, which of them it ends (at)."""
+
+    def __init__(self, col: pa.Array, salts: np.ndarray):
+        s, self.size = symbols(col)
+        place = _places(self.size)
+        m = mix(s.astype(np.uint64) + np.uint64(1))
+        total = np.zeros(len(s), np.uint64)
+        for k in range(ORDER):
+            total[k:] += m[: len(m) - k] * _STEP[k]
+        salted = np.repeat(salts, self.size)
+        codes = pa.array(mix(total[place] + salted)).dictionary_encode()
+        self.mark, self.at = codes.dictionary.to_numpy(), codes.indices.to_numpy()
+        first = np.zeros(len(self.mark), np.int64)
+        first[self.at[::-1]] = np.arange(len(self.at))[::-1]
+        self.points = s[place[first][:, None] + np.arange(1 - ORDER, 1)] if len(first) else np.zeros((0, ORDER), np.uint32)
+        self.salts = salted[first]
+
+
+def gram_key(points: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Keys of KEY_BITS bits of the grams in the rows of points (any order, 0 included)."""
+    total = salts + np.uint64(points.shape[1])
+    for k in range(points.shape[1]):
+        total = total + mix(points[:, points.shape[1] - 1 - k].astype(np.uint64) + np.uint64(1)) * _STEP[k]
+    return mix(total) >> np.uint64(64 - KEY_BITS)
+
+
+def gram_keys(points: np.ndarray, salts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For grams of the highest order: keys of their endings by order from 1, and of the contexts of these."""
+    return [gram_key(points[:, ORDER - k :], salts) for k in range(1, ORDER + 1)], [gram_key(points[:, ORDER - k : ORDER - 1], salts) for k in range(1, ORDER + 1)]
+
+
+def merged(parts: list[Grams]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """mark (sorted), points and salts of the different grams of several pieces."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.uint64)
+    mark, at = np.unique(np.concatenate([g.mark for g in parts]), return_index=True)
+    return mark, np.concatenate([g.points for g in parts])[at], np.concatenate([g.salts for g in parts])[at]
+
+
+def _strings(points: np.ndarray) -> pa.Array:
+    """The rows of points as strings."""
+    wide = 1 + (points > 0x7F).astype(np.int32) + (points > 0x7FF) + (points > 0xFFFF)
+    ends = np.concatenate([[0], np.cumsum(wide.sum(1))]).astype(np.int32)
+    data = points.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.string(), len(points), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """lang, gram, n over all rows (lang, t): a task counts before it shuffles."""
 
     def run(batches):
-        kept: dict[str | None, np.ndarray] = {}
+        kept: list = []
+        names: dict[str | None, int] = {}
+        size = 0
 
         def flush():
-            for name, x in kept.items():
-                some = np.flatnonzero(x)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(x[some].astype(np.int64))], names=["lang", "gram", "n"])
+            mark, at = np.unique(np.concatenate([x[0] for x in kept]), return_inverse=True)
+            first = np.zeros(len(mark), np.int64)
+            first[at[::-1]] = np.arange(len(at))[::-1]
+            n = np.bincount(at, np.concatenate([x[1] for x in kept]), len(mark)).astype(np.int64)
+            return mark, n, np.concatenate([x[2] for x in kept])[first], np.concatenate([x[3] for x in kept])[first]
+
+        def out():
+            _, n, points, which = flush()
+            known = pa.array(list(names), pa.string())
+            for a in range(0, len(n), 1 << 16):
+                lang = pa.DictionaryArray.from_arrays(pa.array(which[a : a + (1 << 16)], pa.int32()), known).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([lang, _strings(points[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], names=["lang", "gram", "n"])
 
-        n = 0
         for batch in batches:
-            for part in chunks(batch, "t"):
-                code, off = grams(part.column(1))
-                n += len(code)
-                if n > 1 << 30:
-                    yield from flush()
-                    kept.clear()
-                    n = len(code)
-                for i, name in enumerate(part.column(0).to_pylist()):
-                    if name not in kept:
-                        if len(kept) >= LANGS:
-                            yield from flush()
-                            kept.clear()
-                        kept[name] = np.zeros(SIZE**ORDER, np.int32)
-                    np.add.at(kept[name], code[off[i] : off[i + 1]], 1)
-        yield from flush()
-        kept.clear()
+            for part in chunks(batch, "t", PIECE):
+                of = np.array([names.setdefault(v, len(names)) for v in part.column(0).to_pylist()], np.uint64)
+                g = Grams(part.column(1), mix(of + np.uint64(1)))
+                back = dict(zip(mix(np.unique(of) + np.uint64(1)).tolist(), np.unique(of).tolist(), strict=True))
+                kept.append((g.mark, np.bincount(g.at, minlength=len(g.mark)), g.points, np.array([back[v] for v in g.salts.tolist()], np.int32)))
+                size += len(g.mark)
+                if size > 1 << 20:
+                    kept = [flush()]
+                    size = len(kept[0][0])
+                    if size > 1 << 19:
+                        yield from out()
+                        kept, size = [], 0
+        if kept:
+            yield from out()
         trim()
 
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")).mapInArrow(run, "lang string, gram long, n long")
-    rows = scratch.write(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts-by-lang")
-    pooled = rows.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    return rows.filter("lang is not null").union(pooled)
+    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def probabilities(counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """lang, k (order), gram, p (probability of a seen gram's last symbol) and, for contexts, back (the weight of the lower order).
+    """lang, gram (of any order), p (of a seen gram's last character, in bits below 0), back (of a context: what the shorter gram's p is lowered by, in bits).
 
-    Order k's counts are those of the text for the highest order, and numbers of different
-    left neighbours below. Each order is two joins, on (lang, context) and on (lang, shorter gram).
+    Order ORDER has the counts of the text, lower orders the numbers of different left
+    neighbours. Each order is two joins, on (lang, context) and on (lang, shorter gram).
     """
     tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = scratch.write(tables[k + 1].groupBy("lang", (F.col("gram") % SIZE**k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"order{k}")
+        tables[k] = scratch.write(tables[k + 1].groupBy("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"order{k}", rows=16384)
     lower, out = None, []
     for k in range(1, ORDER + 1):
-        t = tables[k].withColumn("ctx", F.floor(F.col("gram") / SIZE).cast("long"))
+        t = tables[k].withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})"))
         of = lambda j: F.sum((F.col("n") == j).cast("double"))
         d = t.groupBy("lang").agg(*[of(j).alias(f"n{j}") for j in range(1, 5)])
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-        step = lambda j: F.greatest(F.lit(0.0), F.least(F.lit(j - 0.05), F.coalesce(F.lit(float(j)) - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}")), F.lit(0.5))))  # noqa: B023, E731
+        step = lambda j: F.greatest(F.lit(0.05), F.least(F.lit(j - 0.05), F.coalesce(F.lit(float(j)) - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}")), F.lit(0.5))))  # noqa: B023, E731
         d = d.select("lang", *[step(j).alias(f"d{j}") for j in (1, 2, 3)])
         t = t.join(d, "lang").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         sums = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
         t = t.join(sums, ["lang", "ctx"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
         if lower is None:
-            t = t.withColumn("p", F.col("own") + F.col("back") / SIZE)
+            t = t.withColumn("p", F.col("own") + F.col("back") / UNIVERSE)
         else:
             shorter = lower.select("lang", F.col("gram").alias("short"), F.col("p").alias("under"))
-            t = t.withColumn("short", F.col("gram") % SIZE ** (k - 1)).join(shorter, ["lang", "short"]).withColumn("p", F.col("own") + F.col("back") * F.col("under"))
-        lower = scratch.write(t.select("lang", "gram", "ctx", "p", "back"), f"p{k}")
-        out.append(lower.select("lang", F.lit(k).alias("k"), "gram", "p", F.lit(None).cast("double").alias("back")))
-        out.append(lower.select("lang", F.lit(-k).alias("k"), F.col("ctx").alias("gram"), F.lit(None).cast("double").alias("p"), "back").distinct())
-    result = out[0]
+            t = t.withColumn("short", F.expr(f"substring(gram, 2, {k - 1})")).join(shorter, ["lang", "short"]).withColumn("p", F.col("own") + F.col("back") * F.col("under"))
+        lower = scratch.write(t.select("lang", "gram", "ctx", "p", "back"), f"p{k}", rows=16384)
+        none = F.lit(None).cast("double")
+        out.append(lower.select("lang", "gram", F.log2("p").alias("p"), none.alias("back")))
+        out.append(lower.groupBy("lang", F.col("ctx").alias("gram")).agg(none.alias("p"), F.log2(F.first("back")).alias("back")))
+    rows = out[0]
     for t in out[1:]:
-        result = result.union(t)
-    return result
-
-
-def bits_table(rows: pa.Table) -> np.ndarray:
-    """Dense table of bits for every gram of the highest order, from one language's probabilities (seen grams and back-off weights)."""
-    k, gram, p, back = (rows[c].to_numpy() for c in ("k", "gram", "p", "back"))
-    dense = np.full(SIZE, 1.0 / SIZE)
-    for j in range(1, ORDER + 1):
-        if j == 1:
-            w = back[k == -1]
-            dense = dense * (w[0] if len(w) else 1.0)
-        else:
-            w = np.ones(SIZE ** (j - 1))
-            at = k == -j
-            w[gram[at]] = back[at]
-            dense = (w.reshape(-1, 1) * np.tile(dense.reshape(-1, SIZE), (SIZE, 1))).reshape(-1)
-        at = k == j
-        dense[gram[at]] = p[at]
-    return -np.log2(np.maximum(dense, 1e-12)).astype(np.float16)
+        rows = rows.union(t)
+    return rows.groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("back").alias("back"))
+
+
+def keyed(probs: DataFrame, shift: int) -> DataFrame:
+    """shard, key, p, back: the model as scoring joins it; shard: the key without `shift` bits."""
+
+    def run(batches):
+        salts: dict[str, np.uint64] = {}
+        for b in batches:
+            names, size = b.column(0).to_pylist(), np.array([len(x) for x in b.column(1).to_pylist()], np.int64)
+            each = np.array([salts.setdefault(v, salt(v)) for v in names], np.uint64)
+            points = np.frombuffer("".join(b.column(1).to_pylist()).encode("utf-32-le"), np.uint32)
+            start, key = np.cumsum(size) - size, np.zeros(len(size), np.uint64)
+            for k in np.unique(size):
+                at = np.flatnonzero(size == k)
+                key[at] = gram_key(points[start[at][:, None] + np.arange(k)] if k else np.zeros((len(at), 0), np.uint32), each[at])
+            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(shift)).astype(np.int32)), pa.array(key.astype(np.int64)), b.column(2), b.column(3)], names=["shard", "key", "p", "back"])
+
+    return probs.select("lang", "gram", "p", "back").mapInArrow(run, "shard int, key long, p double, back double")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array of numbers as compressed byte planes."""
+    return len(x).to_bytes(4, "little") + pa.Codec("zstd").compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), asbytes=True)
+
+
+def _unpacked(b: bytes, kind) -> np.ndarray:
+    n, kind = int.from_bytes(b[:4], "little"), np.dtype(kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(b[4:], kind.itemsize * n, asbytes=True), np.uint8)
+    return planes.reshape(kind.itemsize, n).T.copy().view(kind).reshape(-1)
+
+
+def _block_grams(t: pa.Table) -> tuple[tuple, np.ndarray]:
+    """A block's different grams, and the sorted keys of all orders that it asks for."""
+    parts = [_light(g) for g, _ in _pieces(t)]
+    grams = merged(parts)
+    ends, contexts = gram_keys(*grams[1:])
+    return grams, np.unique(np.concatenate(ends + contexts))
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str, text: str, lang: str) -> tuple[DataFrame, DataFrame, dict[str, float], DataFrame]:
-    """From all documents that labels call good and not toxic: the spelling's probabilities, the
-    word model's keys, the bits of a word not seen by language, and the trusted keys.
+def _light(g: Grams) -> Grams:
+    del g.at
+    return g
+
+
+def _pieces(t: pa.Table):
+    """Grams of the pieces of a block, with each piece's rows."""
+    salts: dict[str, np.uint64] = {}
+    for batch in t.select(["text", "model"]).combine_chunks().to_batches():
+        for part in chunks(batch, "text", PIECE):
+            each = np.array([salts.setdefault(v, salt(v)) for v in part.column(1).to_pylist()], np.uint64)
+            yield Grams(part.column(0), each), part.num_rows
+
+
+def pack(batches):
+    """Blocks of rows: block, blob (an Arrow stream)."""
+    kept: list = []
+    size = seq = 0
+
+    def out():
+        t = pa.Table.from_batches(kept).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+            w.write_table(t)
+        place = TaskContext.get()
+        name = hashlib.blake2b(f"{place.partitionId() if place else 0} {seq}".encode(), digest_size=8).digest()
+        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little", signed=True)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "blob"])
+
+    for batch in batches:
+        for part in chunks(batch, "text", BLOCK):
+            n = part.nbytes
+            if kept and size + n > BLOCK:
+                yield out()
+                kept, size, seq = [], 0, seq + 1
+            kept.append(part)
+            size += n
+    if kept:
+        yield out()
+    kept = []
+    trim()
+
+
+def _rows_of(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
+def asking(shift: int):
+    """What blocks ask for: block, shard, keys (packed differences of the sorted keys of a shard)."""
+
+    def run(batches):
+        for b in batches:
+            for block, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                _, keys = _block_grams(_rows_of(blob))
+                shard = (keys >> np.uint64(shift)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(shard, prepend=-1))
+                packed = [_packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(starts, [*starts[1:], len(keys)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), block)), pa.array(shard[starts], pa.int32()), pa.array(packed, pa.binary())], names=["block", "shard", "keys"])
+        trim()
+
+    return run
+
+
+def answers(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One shard: for each block, p and back of the keys it asks for, in their order (0 above any p: not seen)."""
+    key = right.column("key").to_numpy().astype(np.uint64)
+    order = np.argsort(key)
+    key = np.append(key[order], np.uint64(1 << 63))
+    nothing = lambda name, other: np.append(np.nan_to_num(right.column(name).to_numpy()[order], nan=other), other).astype(np.float32)
+    p, back = nothing("p", 1.0), nothing("back", 0.0)
+    out = []
+    for blob in left.column("keys"):
+        asked = np.cumsum(_unpacked(blob.as_buffer().to_pybytes(), np.uint64), dtype=np.uint64)
+        at = np.searchsorted(key, asked)
+        at[key[at] != asked] = len(key) - 1
+        out.append(_packed(np.concatenate([p[at], back[at]])))
+    return pa.table({"block": left.column("block"), "shard": left.column("shard"), "values": pa.array(out, pa.binary())})
+
+
+def chain(grams: tuple, keys: np.ndarray, p: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Bits of each of the grams: the longest ending that was seen, lowered for each longer context that was."""
+    ends, contexts = gram_keys(*grams[1:])
+    value = np.full(len(grams[0]), -math.log2(UNIVERSE))
+    for end, context in zip(ends, contexts, strict=True):
+        own = p[np.searchsorted(keys, end)]
+        value = np.where(own <= 0, own, value + back[np.searchsorted(keys, context)])
+    return -value
+
+
+def score(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
+    """One block: its rows with chars and bits (mean for a character; null without text)."""
+    out = []
+    right = right.sort_by("shard")
+    both = [_unpacked(x.as_buffer().to_pybytes(), np.float32) for x in right.column("values")]
+    p = np.concatenate([x[: len(x) // 2] for x in both] or [np.zeros(0, np.float32)])
+    back = np.concatenate([x[len(x) // 2 :] for x in both] or [np.zeros(0, np.float32)])
+    for blob in left.column("blob"):
+        t = _rows_of(blob)
+        grams, keys = _block_grams(t)
+        if len(keys) != len(p):
+            raise RuntimeError("a block's answers don't belong to it")
+        bits = chain(grams, keys, p, back)
+        total, size = [], []
+        for g, n in _pieces(t):
+            each = bits[np.searchsorted(grams[0], g.mark)][g.at] if len(g.at) else np.zeros(0)
+            size.append(g.size)
+            total.append(np.bincount(np.repeat(np.arange(n), g.size), each, n))
+        size = np.concatenate(size) if size else np.zeros(0, np.int64)
+        total = np.concatenate(total) if total else np.zeros(0)
+        mean = pa.array(total / np.maximum(size, 1), pa.float64(), mask=size == 0)
+        out.append(pa.table([*[t.column(c) for c in names], t.column("model"), pa.array(size), mean], names=[*names, "model", "chars", "bits"]))
+    trim()
+    return pa.concat_tables(out) if out else pa.table({})
+
+
+def _unit(x: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("held out"), x), F.lit(FOLD)) == 0
+
+
+def trusted_keys(labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """k, out: keys that labels call good and not toxic, and whether they are held out of the training."""
+    k = labels.groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
+    return scratch.write(k.filter("q = 1 and x = 0 and k is not null").select("k", _unit(F.col("k")).alias("out")), "trusted", rows=16384)
+
+
+def train(rows: DataFrame, trusted: DataFrame, scratch: Scratch, shift: int) -> tuple[DataFrame, DataFrame]:
+    """From all trusted rows (key, lang, text) that aren't held out: the model by key, and the languages that have one.
 
     Texts of other documents are left out by a fixed-size bitmap of the trusted keys before
     the exact join, so only trusted text is shuffled.
     """
-    trusted = labels.groupBy(F.col("doc_id").alias("k")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("q = 1 and x = 0 and k is not null").select("k")
-    trusted = scratch.write(trusted, "trusted")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(trusted))
+    spark = rows.sparkSession
+    learnt = trusted.filter("not out").select("k")
+    bits = spark.sparkContext.broadcast(bitmap(learnt))
 
     def some(batches):
         for batch in batches:
             yield batch.filter(pa.array(held(bits.value, batch.column(3).to_numpy()))).select(["k", "lang", "t"])
+        trim()
 
-    cell = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS)).cast("long")
-    rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), cell.alias("c"))
-    rows = scratch.write(rows.mapInArrow(some, "k long, lang string, t string").join(trusted, "k", "left_semi").select("lang", "t"), "text")
-    probs = scratch.write(probabilities(scratch.write(gram_counts(rows, "lang", "t", scratch), "counts"), scratch), "probabilities")
-    own = [r[0] for r in rows.filter("lang is not null").select("lang").distinct().collect()]
-    alone = docs.filter(~F.coalesce(F.col(lang).cast("string").isin(own), F.lit(False))).limit(1).count()
-    words, unseen = wm.model(wm.counts(rows, POOLED if alone else None), scratch)
-    scratch.drop("text", "words3", "words2", "words1", "contexts2", "contexts3", "wordp1", "wordp2", "wordp3")
-    return probs, words, unseen, trusted
-
-
-def perplexities(docs: DataFrame, trained: tuple, key: str, text: str, lang: str) -> DataFrame:
-    """Per row: key, lang, _hash (of its text), _bytes, _bits (mean for a byte; null without text)."""
-    probs, words, unseen, _ = trained
+    cell = F.pmod(F.xxhash64("key"), F.lit(BITS)).cast("long")
+    taught = rows.filter("key is not null and text is not null").select(F.col("key").alias("k"), "lang", F.col("text").alias("t"), cell.alias("c"))
+    taught = taught.mapInArrow(some, "k long, lang string, t string").join(learnt, "k", "left_semi").select("lang", "t")
+    counts = scratch.write(gram_counts(taught), "counts", rows=16384)
+    bits.destroy()
+    del taught
+    release(spark)
+    own = counts.filter("lang is not null")
+    langs = scratch.write(own.select("lang").distinct(), "langs")
+    pooled = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
+    alone = not rows.select("lang").distinct().join(langs, "lang", "left_anti").isEmpty()
+    probs = scratch.write(probabilities(scratch.write(own.union(pooled), "all") if alone else own, scratch), "probabilities", rows=16384)
+    model = scratch.write(keyed(probs, shift), "model", rows=16384)
+    scratch.drop("counts", "all", "probabilities", *[f"order{k}" for k in range(1, ORDER)], *[f"p{k}" for k in range(1, ORDER + 1)])
+    release(spark)
+    return model, langs
+
+
+def limits(figures: DataFrame, scratch: Scratch) -> DataFrame:
+    """model, middle, high, wide: by model and, as POOLED, of all, from the figures (model, chars, bits) of the documents held out."""
+    own = figures.filter("bits is not null")
+    own = scratch.write(own.filter(F.col("model") != POOLED).unionByName(own.withColumn("model", F.lit(POOLED))), "held")
+
+    def quantile(rows: DataFrame, value: Column, bins: int, q: float, name: str) -> DataFrame:
+        h = rows.groupBy("model", F.floor(value * bins).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        each = Window.partitionBy("model")
+        h = h.withColumns({"upto": F.sum("n").over(each.orderBy("b")), "of": F.sum("n").over(each)})
+        return h.groupBy("model").agg(((F.min(F.when(F.col("upto") >= F.col("of") * q, F.col("b"))) + 1) / bins).alias(name), F.max("of").alias(f"{name}_n"))
+
+    middle = quantile(own, F.col("bits"), BINS, 0.5, "middle")
+    high = quantile(own, F.col("bits"), BINS, QUANTILE, "high")
+    away = own.join(middle, "model").withColumn("z", (F.col("bits") - F.col("middle")) * F.sqrt("chars"))
+    wide = quantile(away, F.col("z"), WIDE_BINS, QUANTILE, "wide")
+    return scratch.write(middle.join(high, "model").join(wide, "model").select("model", "middle", "high", "wide", F.col("high_n").alias("n")), "limits")
+
+
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str], key: str, text: str, lang: str) -> DataFrame:
+    """Per row: c0, c1, ... (the columns in keep), chars, bits, threshold (in bits), kept."""
     spark = docs.sparkSession
-    langs = sorted(r[0] for r in probs.filter("k = 1").select("lang").distinct().collect())
-    own = [v for v in langs if v != POOLED]
-    parts = [own[i : i + LANGS - 1] for i in range(0, len(own), LANGS - 1)] or [[]]
-    kind = docs.schema[key].dataType.simpleString()
-    fields = f"key: {kind}, lang: string, hash: bigint, bytes: bigint, d: int, base: double"
-    out = None
-    for i, names in enumerate(parts):
-        part = docs
-        if len(parts) > 1:
-            here = F.coalesce(F.col(lang).cast("string").isin(names), F.lit(False))
-            part = docs.filter(here if i else here | ~F.coalesce(F.col(lang).cast("string").isin(own), F.lit(False)))
-        table = {}
-        for v in [*names, *[v for v in langs if v == POOLED]]:
-            table[v] = bits_table(probs.filter(F.col("lang") == v).select("k", "gram", "p", "back").toArrow())
-        shared = spark.sparkContext.broadcast(table)
-
-        def run(batches, shared=shared):
-            table = shared.value
-            for seq, t in enumerate(wm.blocks(batches, "_text")):
-                of = [v if v in table else POOLED for v in t.column("_lang").to_pylist()]
-                col = wm._column(t, "_text")
-                spelt, size = [np.zeros(1)], []
-                at = 0
-                batch = pa.RecordBatch.from_arrays([col], names=["t"])
-                for some in chunks(batch, "t"):
-                    code, off = grams(some.column(0))
-                    size.append(np.diff(off))
-                    for j in range(some.num_rows):
-                        c = code[off[j] : off[j + 1]]
-                        spelt.append(table[of[at + j]][c].astype(np.float64) if table else np.zeros(len(c)))
-                    at += some.num_rows
-                bits, size = np.cumsum(np.concatenate(spelt)), np.concatenate(size)
-                number = wm.block_number(seq)
-                rows, n = wm.entries(t, "_text", np.array([wm.salt(v) for v in of], np.uint64), bits, number)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                base = bits[ends[1:]] - bits[ends[:-1]] + n * np.array([unseen.get(v, 0.0) for v in of])
-                docs = pa.StructArray.from_arrays([wm._column(t, "_key"), wm._column(t, "_lang"), wm._column(t, "_hash"), pa.array(size), pa.array(np.arange(len(size)), pa.int32()), pa.array(base)], names=["key", "lang", "hash", "bytes", "d", "base"])
-                lone = mix(np.arange(len(size), dtype=np.uint64) + np.uint64(number << 16)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(lone), pa.array(np.full(len(size), number)), pa.nulls(len(size), pa.binary()), docs], names=["key", "block", "who", "doc"])
-                for j in range(0, rows.num_rows, 1 << 16):
-                    x = rows.slice(j, 1 << 16)
-                    yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, docs.type)], names=["key", "block", "who", "doc"])
-            trim()
-
-        def assemble(number, t):
-            total = wm.assembled(t, None)
-            d = pa.concat_arrays(t.column("doc").drop_null().chunks).flatten()
-            size = d[3].to_numpy()
-            mean = (d[5].to_numpy() - total[d[4].to_numpy()]) / np.maximum(size, 1)
-            return pa.table({"key": d[0], "lang": d[1], "hash": d[2], "bytes": d[3], "bits": pa.array(mean, pa.float64(), mask=size == 0)})
-
-        rows = part.select(F.col(key).alias("_key"), F.col(lang).cast("string").alias("_lang"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("_text"))
-        rows = rows.mapInArrow(run, f"key long, block long, who binary, doc struct<{fields}>")
-        # Rows of documents have keys of their own, so that they are dealt evenly: they match nothing and pass.
-        rows = rows.join(words, "key", "left").filter("gain is not null or doc is not null").select("block", F.when(F.col("doc").isNull(), F.col("who")).alias("who"), F.when(F.col("doc").isNull(), F.col("gain")).alias("gain"), "back", "doc")
-        rows = rows.mapInArrow(wm.gather, f"block long, sums binary, doc struct<{fields}>")
-        rows = rows.groupBy("block").applyInArrow(assemble, f"key {kind}, lang string, hash long, bytes long, bits double")
-        out = rows if out is None else out.unionByName(rows)
-    return out.select(F.col("key").alias(key), F.col("lang").alias(lang), F.col("hash").alias("_hash"), F.col("bytes").alias("_bytes"), F.col("bits").alias("_bits"))
-
-
-def limits(scored: DataFrame, trusted: DataFrame, key: str, lang: str) -> DataFrame:
-    """_l, _limit: by language, from a histogram of bits over the documents with text that the
-    model was not trained on, or all of a language that has no others (quantiles to one bin)."""
-    new = scored.filter(F.col("_bits").isNotNull()).join(trusted.withColumn("_old", F.lit(True)), F.col(key).cast("long") == F.col("k"), "left")
-    h = new.groupBy(F.col(lang).cast("string").alias("_l"), F.floor(F.col("_bits") * BINS).alias("b")).agg(F.count(F.lit(1)).alias("every"), F.count(F.when(F.col("_old").isNull(), 1)).alias("n"))
-    h = h.withColumn("n", F.when(F.sum("n").over(Window.partitionBy("_l")) > 0, F.col("n")).otherwise(F.col("every")))
-    w = Window.partitionBy("_l").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("upto", F.sum("n").over(w)).withColumn("of", F.sum("n").over(Window.partitionBy("_l")))
-    at = lambda q: (F.min(F.when(F.col("upto") >= F.col("of") * q, F.col("b"))) + 0.5) / BINS
-    low, mid = at(LOW), at(MIDDLE)
-    return h.groupBy("_l").agg((mid + F.greatest(F.lit(LEAST), SPREAD * (mid - low))).alias("_limit"))
-
-
-def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """Per row: key, lang, _hash, _bytes, _bits, _limit, _kept."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    trained = train(docs, labels, scratch, key, text, lang)
-    rows = scratch.write(perplexities(docs, trained, key, text, lang), "scored", rows=16384)
-    scratch.drop("words")
-    cut = scratch.write(limits(rows, trained[3], key, lang), "limits")
-    rows = rows.join(F.broadcast(cut), F.col(lang).cast("string").eqNullSafe(F.col("_l")), "left")
-    kept = F.col("_bits").isNotNull() & (F.col("_bits") <= F.col("_limit") + SHORT / F.sqrt("_bytes"))
-    return rows.withColumn("_kept", F.coalesce(kept, F.lit(False)))
+    scratch = Scratch(spark, "quality")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shift = KEY_BITS - min(20, max(6, math.ceil(math.log2(size / (32 << 20) + 1))))
+    field = lambda c: F.col(f"`{c}`")
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[field(c).alias(n) for c, n in zip(keep, names, strict=True)], field(key).cast("long").alias("key"), field(lang).cast("string").alias("lang"), field(text).alias("text"))
+    trusted = trusted_keys(labels, scratch)
+    model, langs = train(rows.select("key", "lang", "text"), trusted, scratch, shift)
+
+    rows = rows.join(langs.select("lang", F.col("lang").alias("own")), "lang", "left").withColumn("model", F.coalesce("own", F.lit(POOLED))).drop("own", "lang")
+    packed = rows.select(*names, "key", "text", "model").mapInArrow(pack, "block long, blob binary")
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = packed.repartition(n, "block")
+    asked = dealt.mapInArrow(asking(shift), "block long, shard int, keys binary")
+    values = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answers, "block long, shard int, values binary")
+    fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)]
+    out = T.StructType([*fields, T.StructField("key", T.LongType()), T.StructField("model", T.StringType()), T.StructField("chars", T.LongType()), T.StructField("bits", T.DoubleType())])
+    wanted = [*names, "key"]
+    empty = pa.schema([])
+
+    def run(left, right):
+        return score(left, right, wanted) if left.num_rows else empty.empty_table()
+
+    scored = dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, out)
+    scored = scratch.write(scored, "scored")
+    scratch.drop("model")
+    del packed, dealt, asked, values, rows
+    release(spark)
+
+    away = scored.select("key", "model", "chars", "bits").join(trusted.filter("out").select(F.col("k").alias("key")), "key", "left_semi")
+    cut = limits(away.select("model", "chars", "bits"), scratch)
+    common = cut.filter(F.col("model") == POOLED).select(F.col("middle").alias("middle0"), F.col("high").alias("high0"), F.col("wide").alias("wide0"))
+    cut = cut.select(F.col("model").alias("m"), "middle", "high", "wide", "n")
+    scored = scored.join(cut, F.col("model") == F.col("m"), "left").join(F.broadcast(common.agg(*[F.max(c).alias(c) for c in common.columns])))
+    limit = F.greatest(F.col("high"), F.col("middle") + F.col("wide") / F.sqrt("chars"))
+    limit0 = F.greatest(F.col("high0"), F.col("middle0") + F.col("wide0") / F.sqrt("chars"))
+    limit = F.when(F.coalesce(F.col("n"), F.lit(0)) >= FEW, limit).otherwise(F.greatest(limit, limit0))
+    scored = scored.withColumn("threshold", F.when(F.col("chars") > 0, limit))
+    return scored.withColumn("kept", (F.col("chars") > 0) & F.coalesce(F.col("bits") <= F.col("threshold"), F.lit(True))).drop("m", "middle", "high", "wide", "n", "middle0", "high0", "wide0", "model")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per row: key, n_bytes, perplexity (for a byte), threshold (its language's), kept."""
-    rows = _judged(docs, labels, key, text, lang)
-    return rows.select(key, F.col("_bytes").alias("n_bytes"), F.pow(F.lit(2.0), "_bits").alias("perplexity"), F.pow(F.lit(2.0), "_limit").alias("threshold"), F.col("_kept").alias("kept"))
+    """Per row: key, n_chars, perplexity (for a character), threshold (its language's, for its length), kept."""
+    rows = judged(docs, labels, [key], key, text, lang)
+    return rows.select(F.col("c0").alias(key), F.col("chars").alias("n_chars"), F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "threshold").alias("threshold"), "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that classify() keeps, with all their columns, by a join with the rejected ones (same key, language and text: same figure)."""
-    bad = _judged(docs, labels, key, text, lang).filter("not _kept").select(F.col(key).alias("_k"), F.col(lang).cast("string").alias("_l2"), F.col("_hash").alias("_h")).distinct()
-    same = F.xxhash64(F.col(text)).eqNullSafe(F.col("_h")) & F.col(key).eqNullSafe(F.col("_k")) & F.col(lang).cast("string").eqNullSafe(F.col("_l2"))
-    return docs.join(bad, same, "left_anti").select(*docs.columns)
+    """The documents that classify() keeps, with all their columns."""
+    rows = judged(docs, labels, docs.columns, key, text, lang).filter("kept")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

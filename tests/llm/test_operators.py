@@ -1,12 +1,14 @@
 """Corpus operators against brute force on small tables: nulls, empty texts, repeats, clashing columns, empty tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clonoframe.llm import decontaminate as leak
@@ -103,68 +105,89 @@ def test_components_of_paths_and_stars(spark):
     assert {got[i] for i in range(1, 31)} == {1} and {got[100 + i] for i in range(20)} == {100} and got[200] == 50
 
 
-def test_quality_classifier(spark, docs, none):
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    junk = spark.createDataFrame([(1000, "@@!!\x01\x02~~`^^" * 40, "en", "a", None, "n", "t", "g", "k")], SCHEMA)
-    got = {r["doc_id"]: r for r in classify(docs.union(junk), labels).collect()}
-    assert not got[1000]["kept"] and all(got[i]["kept"] for i in range(60))
-    assert got[85]["perplexity"] is None and not got[85]["kept"] and not got[86]["kept"]
-    assert {r["doc_id"] for r in keep_good(docs.union(junk), labels).select("doc_id").collect()} == {k for k, r in got.items() if r["kept"]}
-    assert keep_good(docs, labels).columns == docs.columns
-    assert classify(none, labels).count() == 0 and classify(docs, labels.limit(0)).count() == docs.count()
+def kneser_ney(texts):
+    """log2 probability of a character after others, by the recursion over plain counters."""
+    from clonoframe.llm.kneser_ney import ORDER, START, UNIVERSE
 
+    pad = chr(START) * (ORDER - 1)
+    n = {ORDER: Counter(s[i : i + ORDER] for s in (pad + t for t in texts) for i in range(len(s) - ORDER + 1))}
+    for k in range(ORDER - 1, 0, -1):
+        n[k] = Counter(g[1:] for g in n[k + 1])
+    of = {k: {} for k in n}
+    for k, c in n.items():
+        for g, v in c.items():
+            of[k].setdefault(g[:-1], []).append(v)
 
-def test_quality_classifier_reads_words(spark):
+    def cuts(c):
+        c = Counter(c.values())
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
+        return [max(0.05, min(j - 0.05, j - (j + 1) * y * c[j + 1] / c[j] if c[j] else 0.5)) for j in (1, 2, 3)]
+
+    d = {k: cuts(c) for k, c in n.items()}
+
+    def prob(g):
+        k = len(g)
+        under = prob(g[1:]) if k > 1 else 1 / UNIVERSE
+        all_ = of[k].get(g[:-1])
+        if not all_:
+            return under
+        cut = lambda v: d[k][min(v, 3) - 1]
+        v = n[k][g]
+        return ((v - cut(v)) if v else 0) / sum(all_) + sum(map(cut, all_)) / sum(all_) * under
+
+    return lambda t: -sum(math.log2(prob((pad + t)[i : i + ORDER])) for i in range(len(t))) / len(t)
+
+
+def test_quality_classifier_against_brute_force(spark, docs, none):
+    """Perplexities, limits and verdicts by joins are those of the recursion and of sorted lists."""
+    from clonoframe.llm import kneser_ney as kn
+
+    labels = [(i, 1, 0) for i in range(70)] + [(None, 1, 0), (3, 1, 0), (4, 0, 0), (5, 1, 1)]
+    junk = [(1000 + i, t, "en" if i % 2 else "xx", "a", None, "n", "t", "g", "k") for i, t in enumerate(("@@!!\x01\x02~~`^^" * 40, "\U0001f600 漢" * 9, "ab" * 50_000, "the river"))]
+    all_ = docs.union(spark.createDataFrame(junk, SCHEMA))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = [tuple(r) for r in all_.select("doc_id", "text", "lang").collect()]
+    good = set(range(70)) - {4, 5}
+    out = {r[0] for r in spark.createDataFrame([(i,) for i in good], "k long").filter(kn._unit(F.col("k"))).collect()}
+    taught = [r for r in rows if r[0] in good - out and r[1]]
+    models = {v: kneser_ney([t for _, t, lang in taught if lang == v or v is None]) for v in ("en", "de", None)}
+    figure = [(k, t, lang if lang in models else None, models[lang if lang in models else None](t) if t else None) for k, t, lang in rows]
+
+    def quantile(x, q, bins):
+        b = sorted(math.floor(v * bins) for v in x)
+        return (b[math.ceil(len(b) * q - 1e-9) - 1] + 1) / bins
+
+    def cut(v, n):
+        x = [(f, len(t)) for k, t, m, f in figure if k in out and t and (m == v or v is None)]
+        middle = quantile([f for f, _ in x], 0.5, kn.BINS)
+        return max(quantile([f for f, _ in x], kn.QUANTILE, kn.BINS), middle + quantile([(f - middle) * math.sqrt(c) for f, c in x], kn.QUANTILE, kn.WIDE_BINS) / math.sqrt(n))
+
+    got = sorted(classify(all_, table).collect(), key=lambda r: (r["doc_id"], r["n_chars"]))
+    figure.sort(key=lambda r: (r[0], len(r[1] or "")))
+    assert [(r["doc_id"], r["n_chars"]) for r in got] == [(k, len(t or "")) for k, t, _, _ in figure]
+    for r, (_, t, m, f) in zip(got, figure, strict=True):
+        if not t:
+            assert r["perplexity"] is None and r["threshold"] is None and not r["kept"]
+            continue
+        limit = cut(None, len(t)) if m is None else max(cut(m, len(t)), cut(None, len(t)))
+        assert abs(math.log2(r["perplexity"]) - f) < 1e-5 and abs(math.log2(r["threshold"]) - limit) < 1e-3
+        assert r["kept"] == (f <= limit)
+    assert not {1000, 1001} & {r["doc_id"] for r in got if r["kept"]}
+    kept = keep_good(all_, table)
+    assert kept.columns == all_.columns and sorted(map(tuple, kept.select("doc_id", "text", "n", "_key").collect()), key=repr) == sorted([(k, t, "n", "k") for (k, t, _, _), r in zip(figure, got, strict=True) if r["kept"]], key=repr)
+    assert classify(none, table).count() == 0 and keep_good(none, table).columns == none.columns
+    assert classify(docs, table.limit(0)).filter("kept").count() == docs.filter("length(text) > 0").count()
+
+
+def test_quality_classifier_reads_past_a_word(spark):
+    """Words of the trained language in an order that it doesn't have score worse."""
     r = random.Random(7)
-    good = lambda: " ".join(f"{a} {b}" for a, b in (r.choice([(f"{x}ation", f"cont{y}") for x, y in (("red", "sea"), ("blue", "sky"), ("green", "leaf"), ("black", "coal"))]) for _ in range(60)))
-    rows = [(i, good(), "en") for i in range(60)] + [(100 + i, " ".join(f"{a} {b}" for a, b in zip(t.split()[::2], r.sample(t.split()[1::2], 60))), "en") for i, t in enumerate(good() for _ in range(3))]
+    good = lambda: " ".join(f"{a} {b}" for a, b in (r.choice([("a", "sea"), ("an", "oak"), ("the", "tree"), ("to", "go")]) for _ in range(60)))
+    rows = [(i, good(), "en") for i in range(60)] + [(100 + i, " ".join(r.choice(["a", "an", "the", "to"]) + " " + r.choice(["sea", "oak", "tree", "go"]) for _ in range(60)), "en") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {x["doc_id"]: x for x in classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")).collect()}
     assert max(got[i]["perplexity"] for i in range(40, 60)) < min(got[100 + i]["perplexity"] for i in range(3)) / 1.15
-    assert all(got[i]["kept"] for i in range(60))
-
 
-def test_word_model_against_brute_force(spark):
-    """A text's sum by joins is its log-probability by the recursion."""
-    from clonoframe.llm import word_model as wm
-
-    text = "a b c a b d a b c e b c"
-    docs = spark.createDataFrame([("en", text)], "lang string, t string")
-    words, unseen = wm.model(wm.counts(docs, None), Scratch(spark, "test"))
-    table = {x["key"]: (x["gain"], x["back"]) for x in words.collect()}
-    w = ["^", "^", *text.split()]
-    n3 = Counter(zip(w, w[1:], w[2:]))
-    n2 = Counter(g[1:] for g in n3)
-    n1 = Counter(g[1:] for g in n2)
-
-    def cuts(n):
-        c = Counter(n.values())
-        y = c[1] / (c[1] + 2 * c[2])
-        return [max(0.05, min(j - 0.05, j - (j + 1) * y * c[j + 1] / c[j] if c[j] else 0.5)) for j in (1, 2, 3)]
-
-    def prob(g):
-        n = {1: n1, 2: n2, 3: n3}[len(g)]
-        d = cuts(n)
-        cut = lambda v: d[min(v, 3) - 1]
-        of = [v for k, v in n.items() if k[:-1] == g[:-1]]
-        under = prob(g[1:]) if len(g) > 1 else 0.0
-        if not of:
-            return under
-        return (max(0, n[g] - cut(n[g])) if n[g] else 0) / sum(of) + sum(map(cut, of)) / sum(of) * under
-
-    import numpy as np
-    import pyarrow as pa
-
-    for other in (text, "b c a b c", "d e a"):
-        t = pa.table({"t": pa.array([other])})
-        rows, count = wm.entries(t, "t", np.array([wm.salt("en")], np.uint64), np.zeros(len(other) + 1), 0)
-        got = -unseen["en"] * count[0]
-        for k, who in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
-            e = np.frombuffer(who, wm._ENTRY)[0]
-            if k in table:
-                got += int(e["n"]) * table[k][0] + int(e["m"]) * table[k][1]
-        v = ["^", "^", *other.split()]
-        assert abs(got - sum(np.log2(prob(g)) for g in zip(v, v[1:], v[2:]))) < 1e-6
 
 def test_mixing(docs, none):
     got = mix_sources(docs).collect()

@@ -8,6 +8,7 @@ ALLELE = r"((IG[HKL]|TR[ABDG])[VDJADEGMC][A-R0-9\(\)]*[-/\w]*[-\*]*[\.\w]+)"
 GENE = r"((IG[HKL]|TR[ABDG])[VDJADEGMC][A-R0-9\(\)]*[-/\w]*)"
 FAMILY = r"((IG[HKL]|TR[ABDG])[VDJADEGMC][A-R0-9\(\)]*)"
 LOCUS = r"((IG[HLK]|TR[ABDG]))"
+NON_LOCALIZED = r"(IG[HKL]|TR[ABDG])[VDJADEGMC][0-9]+-NL[0-9]"
 
 
 def get_segment(call: Column, pattern: str, first: bool = True, collapse: bool = True, strip_d: bool = True, omit_nl: bool = False, sep: str = ",") -> Column:
@@ -15,7 +16,8 @@ def get_segment(call: Column, pattern: str, first: bool = True, collapse: bool =
     around = f"[^{sep}]*"
     if omit_nl:
         call = F.regexp_replace(call, f"{around}{ALLELE}{around}", "$1")
-        call = F.regexp_replace(call, rf"[^{sep}]*-NL[0-9][^{sep}]*({sep}|$)", "")
+        # Non-localized genes: a gene's name with a number before -NL and its number.
+        call = F.regexp_replace(call, rf"[^{sep}]*{NON_LOCALIZED}[^{sep}]*({sep}|$)", "")
     out = F.regexp_replace(call, f"{around}{pattern}{around}", "$1")
     if strip_d:
         out = F.regexp_replace(out, rf"(?<=[A-Z0-9][0-9])D(?=\*|-|{sep}|$)", "")

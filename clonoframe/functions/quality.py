@@ -10,9 +10,10 @@ def explode_cigar(cigar: Column) -> Column:
     return F.zip_with(ops, n, lambda o, k: F.struct(o.alias("op"), k.cast("int").alias("n")))
 
 
-def mask_by_quality(seq: Column, quality: Column, least: int = 70) -> Column:
+def mask_by_quality(seq: Column, quality: Column, least: float = 70) -> Column:
     """N wherever the comma-separated quality is below least; missing qualities (NA) stay."""
-    return F.array_join(F.zip_with(F.split(seq, ""), F.split(quality, ","), lambda c, q: F.when(F.try_to_number(F.when(q == "NA", None).otherwise(q), F.lit("9999")) < least, F.lit("N")).otherwise(c)), "")
+    low = lambda q: F.coalesce(q.try_cast("double") < least, F.lit(False))
+    return F.array_join(F.zip_with(F.split(seq, ""), F.split(quality, ","), lambda c, q: F.when(low(q), F.lit("N")).otherwise(c)), "")
 
 
 def translate_strings(value: Column, rules: dict[str, list[str]]) -> Column:

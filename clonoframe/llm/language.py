@@ -4,15 +4,17 @@ Each language has a probability for every piece of a fixed public vocabulary, le
 expectation-maximisation over all segmentations of its training words. A word's probability
 in a language is the sum over all its segmentations into pieces, by the forward algorithm;
 a text's is the product over its words. Pieces work on UTF-8 bytes, every single byte is a
-piece, so every word has a probability.
+piece, so every word has a probability. Words are taken whole, however long: a long one is
+divided only where no piece that it holds reaches across, so that every segmentation has a
+break there and the sum is a product; what can't be divided is summed in logarithms.
 
 The classifier is fitted on a bounded sample: about SAMPLE documents of each language, those
 with the lowest hashes of the key among the rows that the caller allows. Prediction reads
 every whole text.
 
 Defined cases: null text, or a text without letters, is `und` with score 0; rows without a
-language teach nothing; without any training row everything is `und`; repeated rows give
-repeated results; an empty table gives no rows; extra columns are ignored.
+language teach nothing; without any training row everything is `und`; of equally likely languages the
+first by name is taken; repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,27 +30,30 @@ from .tokens import Words, mix
 
 #: Training documents of each language, about.
 SAMPLE = 400
-#: Longest piece and longest stretch of a word scored at once, in bytes; longer words are cut.
-PIECE, STRETCH = 10, 32
+#: Longer words are divided where no piece reaches across, and what is longer still is summed in logarithms (both in bytes).
+LONG = 32
+#: Pieces longer than this are looked for only where their first so many bytes occur.
+COMMON = 10
 ROUNDS = 3
-#: Words whose probabilities a worker remembers.
+#: Words, of LONG bytes at most, whose probabilities a worker remembers.
 REMEMBERED = 400_000
 
 NOT_LETTER = np.zeros(256, bool)
 NOT_LETTER[:0x80] = True
 NOT_LETTER[0x41:0x5B] = NOT_LETTER[0x61:0x7B] = False
-_STEP = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(7).integers(1 << 60, 1 << 62, PIECE)]
+_STEP = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(7).integers(1 << 60, 1 << 62, 256)]
 
 
 def public_pieces(path: str) -> list[bytes]:
-    """The vocabulary's pieces as bytes, a word's start as one space: lower-case ASCII or other letters, and every byte."""
+    """The vocabulary's pieces that words can hold, as bytes, a word's start as one space: those of lower-case ASCII letters
+    and bytes from 0x80 (words have nothing else), and every byte."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     kept = {bytes([b]) for b in range(256)}
     for i in range(sp.get_piece_size()):
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
             continue
         p = sp.id_to_piece(i).replace("▁", " ").encode()
-        if len(p) <= PIECE and p == p.lower() and b" " not in p[1:] and all(c >= 0x61 and c <= 0x7A or c >= 0x80 for c in p.lstrip(b" ")):
+        if p == p.lower() and b" " not in p[1:] and all(c >= 0x61 and c <= 0x7A or c >= 0x80 for c in p.lstrip(b" ")):
             kept.add(p)
     return sorted(kept)
 
@@ -59,7 +64,9 @@ class Lattice:
     def __init__(self, pieces: list[bytes]):
         code = np.array([self._one(p) for p in pieces], np.uint64)
         order = np.argsort(code)
-        self.code, self.number = code[order], order
+        self.code, self.number = code[order], order.astype(np.int32)
+        self.longest = max(map(len, pieces))
+        self.heads = np.unique(np.array([self._one(p[:COMMON]) for p in pieces if len(p) > COMMON], np.uint64))
 
     @staticmethod
     def _one(p: bytes) -> np.uint64:
@@ -68,20 +75,55 @@ class Lattice:
             h = h + mix(np.array([b + 1], np.uint64)) * _STEP[k]
         return (h + np.uint64(len(p)))[0]
 
+    def _found(self, code: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[at] == code, self.number[at], np.int32(-1))
+
     def pieces_of(self, rows: np.ndarray) -> list[np.ndarray]:
         """rows [n, length] of bytes -> for each piece length l, an array [n, length - l + 1] of piece numbers, -1 for none."""
         x = mix(rows.astype(np.uint64) + np.uint64(1))
         n, length = rows.shape
-        h, out = np.zeros((n, length + 1), np.uint64), []
-        for k in range(min(PIECE, length)):
+        h, out, some = np.zeros((n, length + 1), np.uint64), [], None
+        for k in range(min(self.longest, length)):
             h = h[:, : length - k] + x[:, k:] * _STEP[k]
-            code = h + np.uint64(k + 1)
-            at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-            out.append(np.where(self.code[at] == code, self.number[at], -1))
+            if k < COMMON:
+                out.append(self._found(h + np.uint64(k + 1)))
+                if k == COMMON - 1:
+                    some = np.isin(h + np.uint64(k + 1), self.heads) if len(self.heads) else np.zeros(h.shape, bool)
+            else:
+                some = some[:, : length - k]
+                if not some.any():
+                    break
+                found = np.full(h.shape, -1, np.int32)
+                found[some] = self._found(h[some] + np.uint64(k + 1))
+                out.append(found)
         return out
 
-
-def forward(ids: list[np.ndarray], p: np.ndarray, length: int) -> np.ndarray:
+    def divided(self, word: bytes) -> list[bytes]:
+        """The parts of a word between places that no piece in it reaches across."""
+        covered = np.zeros(len(word) + 1, np.int64)
+        for k, ids in enumerate(self.pieces_of(np.frombuffer(word, np.uint8).reshape(1, -1)), 1):
+            at = np.flatnonzero(ids[0] >= 0) if k > 1 else ()
+            np.add.at(covered, np.asarray(at, np.int64) + 1, 1)
+            np.add.at(covered, np.asarray(at, np.int64) + k, -1)
+        free = [0, *(np.flatnonzero(np.cumsum(covered[:-1])[1:] == 0) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(free[:-1], free[1:], strict=True)]
+
+    def parts(self, words: list[bytes]):
+        """The words, or their parts, as byte rows of equal length: (indices of the words, rows)."""
+        groups: dict[int, tuple[list, list]] = {}
+        for i, w in enumerate(words):
+            for s in self.divided(w) if len(w) > LONG else (w,):
+                g = groups.setdefault(len(s), ([], []))
+                g[0].append(i)
+                g[1].append(s)
+        for length, (who, rows) in groups.items():
+            step = max(1, 640_000 // max(length, 1))
+            for a in range(0, len(who), step):
+                yield np.array(who[a : a + step]), np.frombuffer(b"".join(rows[a : a + step]), np.uint8).reshape(-1, length)
+
+
+def forward(ids: list[np.ndarray], p: np.ndarray, length: int) -> list[np.ndarray]:
     """Sums over segmentations, for every language: alpha [length + 1][n, languages]. p has a last row of zeros."""
     alpha = [np.ones((ids[0].shape[0], p.shape[1]))]
     for j in range(1, length + 1):
@@ -92,17 +134,15 @@ def forward(ids: list[np.ndarray], p: np.ndarray, length: int) -> np.ndarray:
     return alpha
 
 
-def _by_length(words: list[bytes]):
-    """Words cut into stretches, as byte rows of equal length: (indices of the words, rows)."""
-    groups: dict[int, tuple[list, list]] = {}
-    for i, w in enumerate(words):
-        for a in range(0, len(w), STRETCH):
-            s = w[a : a + STRETCH]
-            g = groups.setdefault(len(s), ([], []))
-            g[0].append(i)
-            g[1].append(s)
-    for length, (who, rows) in groups.items():
-        yield np.array(who), np.frombuffer(b"".join(rows), np.uint8).reshape(-1, length)
+def log_forward(ids: list[np.ndarray], logs: np.ndarray, length: int, keep: bool = False) -> list[np.ndarray]:
+    """The same in logarithms, for any length; only what the next step needs is held, unless keep."""
+    alpha = [np.zeros((ids[0].shape[0], logs.shape[1]))]
+    for j in range(1, length + 1):
+        most = min(j, len(ids))
+        alpha.append(np.logaddexp.reduce([alpha[-k] + logs[ids[k - 1][:, j - k]] for k in range(1, most + 1)], axis=0))
+        if not keep and len(alpha) > len(ids):
+            alpha.pop(0)
+    return alpha
 
 
 class Model:
@@ -113,14 +153,41 @@ class Model:
     def score(self, words: list[bytes]) -> np.ndarray:
         """Log-probability of each word in each language."""
         out = np.zeros((len(words), len(self.langs)))
-        for who, rows in _by_length(words):
-            for a in range(0, len(who), 20_000):
-                part = rows[a : a + 20_000]
-                alpha = forward(self.lattice.pieces_of(part), self.p, part.shape[1])
-                np.add.at(out, who[a : a + 20_000], np.log(np.maximum(alpha[-1], 1e-300)))
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.p)
+        for who, rows in self.lattice.parts(words):
+            ids, length = self.lattice.pieces_of(rows), rows.shape[1]
+            if length <= LONG:
+                made = np.log(np.maximum(forward(ids, self.p, length)[-1], 1e-300))
+            else:
+                made = log_forward(ids, logs, length)[-1]
+            np.add.at(out, who, made)
         return out
 
 
+def _expected(ids: list[np.ndarray], length: int, p: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Expected counts of the pieces (and of none, last) over all segmentations of rows that occur n times."""
+    seen = np.zeros(size)
+    if length <= LONG:
+        alpha = [a[:, 0] for a in forward(ids, p[:, None], length)]
+        beta = [np.ones(len(n))]
+        for j in range(length - 1, -1, -1):
+            beta.insert(0, sum(p[ids[k - 1][:, j]] * beta[k - 1] for k in range(1, min(length - j, len(ids)) + 1)))
+        weight = lambda j, k, at: alpha[j] * p[at] * beta[j + k] / alpha[length]
+    else:
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)[:, None]
+        alpha = log_forward(ids, logs, length, keep=True)
+        back = [x[:, ::-1] for x in ids]
+        beta = log_forward(back, logs, length, keep=True)[::-1]
+        weight = lambda j, k, at: np.exp(alpha[j] + logs[at] + beta[j + k] - alpha[length])[:, 0]
+    for j in range(length):
+        for k in range(1, min(length - j, len(ids)) + 1):
+            at = ids[k - 1][:, j]
+            seen += np.bincount(at % size, weight(j, k, at) * n, size)
+    return seen
+
+
 def learn(pieces: list[bytes], samples: dict[str, tuple[list[bytes], np.ndarray]], rounds: int = ROUNDS) -> Model:
     """samples: for each language, distinct words and their counts. Expected piece counts by forward and backward sums."""
     lattice, langs = Lattice(pieces), sorted(samples)
@@ -128,20 +195,11 @@ def learn(pieces: list[bytes], samples: dict[str, tuple[list[bytes], np.ndarray]
     table = np.zeros((len(pieces), len(langs)))
     for c, lang in enumerate(langs):
         words, count = samples[lang]
-        groups = [(count[who], lattice.pieces_of(rows), rows.shape[1]) for who, rows in _by_length(words)]
+        groups = [(count[who], lattice.pieces_of(rows), rows.shape[1]) for who, rows in lattice.parts(words)]
         p = np.append(np.full(len(pieces), 1.0) * 4.0 ** -(size - 1.0), 0.0)
         p /= p.sum()
         for _ in range(rounds):
-            seen = np.zeros(len(pieces) + 1)
-            for n, ids, length in groups:
-                alpha = [a[:, 0] for a in forward(ids, p[:, None], length)]
-                beta = [np.ones(len(n))]
-                for j in range(length - 1, -1, -1):
-                    beta.insert(0, sum(p[ids[k - 1][:, j]] * beta[k - 1] for k in range(1, min(length - j, len(ids)) + 1)))
-                for j in range(length):
-                    for k in range(1, min(length - j, len(ids)) + 1):
-                        at = ids[k - 1][:, j]
-                        seen += np.bincount(at % (len(pieces) + 1), alpha[j] * p[at] * beta[j + k] / alpha[length] * n, len(pieces) + 1)
+            seen = sum((_expected(ids, length, p, n, len(pieces) + 1) for n, ids, length in groups), np.zeros(len(pieces) + 1))
             p[:-1] = (seen[:-1] + 0.05) / (seen[:-1].sum() + 0.05 * len(pieces))
         table[:, c] = p[:-1]
     return Model(pieces, langs, table)
@@ -200,14 +258,17 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 words = [b" " + data[s:e] for s, e in zip(w.start[at], w.end[at], strict=True)]
                 if len(known) > REMEMBERED:
                     known, table = {}, table[:0]
-                new = [x for x in words if x not in known]
+                new = [x for x in words if len(x) <= LONG and x not in known]
                 if new and m.langs:
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                     table = np.vstack([table, m.score(new)])
+                long = [x for x in words if len(x) > LONG]
+                own = dict(zip(long, range(len(known), len(known) + len(long)), strict=True))
                 first, n = w.first, len(col)
                 total = np.zeros((n, len(m.langs)))
                 if m.langs and len(h):
-                    each = table[np.array([known[x] for x in words])][back.reshape(-1)]
+                    both = np.vstack([table, m.score(long)]) if long else table
+                    each = both[np.array([known[x] if len(x) <= LONG else own[x] for x in words])][back.reshape(-1)]
                     doc = np.repeat(np.arange(n), np.diff(first))
                     for c in range(len(m.langs)):
                         total[:, c] = np.bincount(doc, each[:, c], n)

@@ -3,8 +3,8 @@
 Each document's expected copies are its source's rate, target over size. Within a source
 the expected copies are summed along an order by size, one offset per source is added, and
 a document is emitted once for every integer the running sum crosses. As sizes only grow
-along the order, the words taken differ from the target by at most one longest document; of a few
-offsets drawn by hash the nearest is kept, which leaves far less.
+along the order, the words taken differ from the target by at most one longest document; of
+DRAWS offsets, evenly spread from one drawn by hash, the nearest is kept, which leaves far less.
 
 Defined cases: null or empty text has size 0 and is never emitted with words; a null source
 is a source of its own, last in order; a source without words has target 0; repeated rows
@@ -21,8 +21,8 @@ from .common import SPACES, Scratch, ranked
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
-#: Offsets drawn for each source; the one whose words come nearest the target is taken.
-DRAWS = 16
+#: Offsets tried for each source; the one whose words come nearest the target is taken (the first of equal ones).
+DRAWS = 64
 #: A source gives at most so many times its own size.
 MOST = 3
 
@@ -68,17 +68,18 @@ def mix_sources(docs: DataFrame, seed: str = "mix", key: str = "doc_id", text: s
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sources = sources.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("_rate"))
     on = F.col("source").eqNullSafe(F.col("_source"))
-    draws = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.coalesce("_source", F.lit("\x00none"))), F.lit(1 << 52)) / F.lit(float(1 << 52))) for i in range(DRAWS)]
+    begin = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("_source", F.lit("\x00none"))), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    offset = lambda i: F.pmod(begin + i / F.lit(float(DRAWS)), F.lit(1.0))
 
     def copies(offset: Column) -> Column:
         until = lambda n: F.floor(offset + F.col("_rate") * n)
         return F.least(until(F.col("_rank") + 1) - until(F.col("_rank")), F.lit(MOST)).cast("long")
 
-    tried = rows.join(sources, on).groupBy("_source").agg(F.first("target").alias("_t"), *[F.sum(copies(u) * F.col("size")).alias(f"_d{i}") for i, u in enumerate(draws)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_d{i}") - F.col("_t")).alias("off"), F.lit(i).alias("i")) for i in range(DRAWS)]))
-    best = tried.select(F.col("_source").alias("_b"), nearest["i"].alias("_draw"))
-    sources = sources.join(best, F.col("_source").eqNullSafe(F.col("_b"))).withColumn("_offset", F.element_at(F.array(*draws), F.col("_draw") + 1))
-    sources = scratch.write(sources.drop("_b", "_draw"), "offsets")
+    tried = rows.join(sources, on).select("_source", "target", "size", "_rank", "_rate", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("_i"))
+    tried = tried.groupBy("_source", "_i").agg(F.first("target").alias("_t"), F.sum(copies(offset(F.col("_i"))) * F.col("size")).alias("_w"))
+    best = tried.groupBy(F.col("_source").alias("_b")).agg(F.min(F.struct(F.abs(F.col("_w") - F.col("_t")).alias("off"), F.col("_i").alias("i"))).alias("_best"))
+    sources = sources.join(best, F.col("_source").eqNullSafe(F.col("_b"))).withColumn("_offset", offset(F.col("_best.i")))
+    sources = scratch.write(sources.drop("_b", "_best"), "offsets")
     rows = rows.join(sources, on)
     n = copies(F.col("_offset"))
     return rows.select(

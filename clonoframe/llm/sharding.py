@@ -11,7 +11,8 @@ of a level, to 2**-16 of the dimension's width and then 2**-17 of the tied rows.
 2**20 bins reach the driver, whatever the input.
 
 Defined cases: null text counts as no bytes (size 1, CRC 0) and all null and empty texts are
-one group; null metadata sort first; repeated rows are rows of their own; an empty table
+one group; null metadata sort first; units at one place of a dimension are cut by a hash, and of rows at
+one key the slots go by the text's hash; repeated rows are rows of their own; an empty table
 gives no rows; extra columns are ignored unless named in keep.
 """
 
@@ -29,9 +30,9 @@ _DIM_BITS, _TIE_BITS = 16, 17
 _UNIT = ["crc", "text_hash", "size", "part"]
 
 
-def _code(c: Column) -> Column:
-    """An order-keeping number in [0, 1) of a string's first characters."""
-    return sum((F.coalesce(F.least(F.ascii(F.substring(c, i + 1, 1)), F.lit(255)), F.lit(0)) / F.lit(256.0 ** (i + 1)) for i in range(6)), F.lit(0.0))
+def _places(groups: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """value, place: the different values of a string column in code point order, nulls first, as whole numbers from 0."""
+    return ranked(groups.select(F.col(f"first.{name}").alias("value")).distinct(), scratch, f"values-{name}", [], [F.col("value").asc_nulls_first()], "place")
 
 
 def _quantile_cuts(live: DataFrame, want: dict[int, float], bits: int) -> dict[int, int]:
@@ -98,8 +99,8 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     """Per row: key, size (UTF-8 bytes plus 1), text_crc32, law (`bytes`), shard, slot (gapless
     from 0 in the shard), grown_shard (null under this law), and `keep`.
 
-    The dimensions are source, language and the logarithm of the size, each over its whole
-    width; a group of copies has those of its smallest key. Number of shards: `shards`, or
+    The dimensions are the places of source and language in the order of all their values, and
+    the logarithm of the size, each over its whole width; a group of copies has those of its smallest key. Number of shards: `shards`, or
     else what brings each leaf to target_bytes.
     """
     scratch = Scratch(docs.sparkSession, "shard")
@@ -117,7 +118,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
         rows.groupBy("crc", "text_hash", "size").agg(F.sum("size").alias("weight"), F.min(F.struct("_key", "source", "lang")).alias("first")), "groups"
     )
     most = max(1.0, total / shards / 4)
-    large = groups.filter(F.col("weight") > most).select("crc", "text_hash", F.ceil(F.col("weight") / F.lit(most / 4)).cast("int").alias("parts")).limit(16 * shards)
+    large = groups.filter(F.col("weight") > most).select("crc", "text_hash", F.ceil(F.col("weight") / F.lit(most / 4)).cast("int").alias("parts"))
     # At most four such groups fit in a shard's bytes, so there are at most 4 * shards of them.
     large = F.broadcast(docs.sparkSession.createDataFrame(large.collect(), "crc long, text_hash long, parts int"))
     rows = rows.join(large, ["crc", "text_hash"], "left")
@@ -125,9 +126,11 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     rows = rows.withColumn("part", part).drop("parts")
     whole = groups.join(large, ["crc", "text_hash"], "left")
     whole = whole.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+    for i, name in enumerate(("source", "lang")):
+        at = scratch.write(_places(groups, name, scratch).select(F.col("value").alias(f"_v{i}"), F.col("place").cast("double").alias(f"d{i}")), f"places-{name}")
+        whole = whole.join(at, F.col(f"first.{name}").eqNullSafe(F.col(f"_v{i}"))).drop(f"_v{i}")
     units = whole.select(
-        "crc", "text_hash", "size", "part", (F.col("weight") / F.coalesce("parts", F.lit(1))).alias("weight"),
-        _code(F.col("first.source")).alias("d0"), _code(F.col("first.lang")).alias("d1"), (F.log2(F.col("size") + F.lit(1.0)) / 40).alias("d2"),
+        "crc", "text_hash", "size", "part", (F.col("weight") / F.coalesce("parts", F.lit(1))).alias("weight"), "d0", "d1", F.log2(F.col("size") + F.lit(1.0)).alias("d2"),
         F.pmod(F.xxhash64(F.lit("tie"), "crc", "text_hash", "part"), F.lit(1 << _TIE_BITS)).cast("long").alias("tie"),
     )
     span = units.agg(*[f(d).alias(f"{x}{d}") for d in _DIMS for x, f in (("lo", F.min), ("hi", F.max))]).first()

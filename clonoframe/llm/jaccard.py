@@ -19,8 +19,8 @@ document's component. The steps:
 Shingles are compared by 58-bit hashes within a pair of sets, and classes of equal sets by
 128-bit ones. Defined cases: null text, or text without words, has an empty set and links
 with nothing; rows with a null key link with nothing and get a null component; repeated rows
-are equal sets; rows of one key and different texts are held to be linked; an empty table
-gives no rows; extra columns are ignored. Memory in a worker is bounded by one batch, or by
+are equal sets; rows of one key and different texts (with words) are linked, so that a key has one component;
+ties of rarity go by hash; an empty table gives no rows; extra columns are ignored. Memory in a worker is bounded by one batch, or by
 the longest text.
 """
 
@@ -314,10 +314,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     del lists
     release(spark)
 
+    # Rows of one key: the classes of its texts are linked, whatever their similarity.
+    several = full.groupBy("doc").agg(F.min(F.struct("f1", "f2", "n")).alias("lo"), F.max(F.struct("f1", "f2", "n")).alias("hi")).filter("lo <> hi").select("doc")
+    texts = full.select("doc", "f1", "f2", "n").join(several, "doc", "left_semi").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
+    ends = texts.groupBy("doc").agg(F.min("rep").alias("v"))
+    links = scratch.write(texts.join(ends, "doc").select(F.col("rep").alias("u"), "v").filter("u <> v").distinct(), "same-key")
+    del several, texts, ends
+
     # Stars: each group with centres of its lists, each class with its group's first, until no more components meet.
     lead = groups.select("grp", "lead")
     sides = lead.withColumn("comp", F.col("lead"))
-    links = None
     near = post.filter(F.col("rest") * DEN >= F.col("n") * NUM)
     several = classes.groupBy("grp").count().filter("count > 1").select("grp")
     taken = classes.join(near.select("grp").union(several).distinct(), "grp", "left_semi").select("rep")
@@ -334,7 +340,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         pairs = scratch.write(pairs, f"pairs-{i}")
         release(spark)
         new = _verified(pairs, pool, scratch, f"star-{i}")
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         release(spark)
         comp = components(links, scratch, f"cc{i}")
         member = classes.join(comp, F.col("rep") == F.col("node"), "left").select("grp", "rep", "n", F.coalesce("comp", "rep").alias("comp"))

@@ -10,8 +10,8 @@ words are compared.
 The item side is a stated query set: it is read in blocks of at most BLOCK windows, each
 broadcast (its size is bounded by the block), whatever the table's size.
 
-Defined cases: null or empty text has no words, and items without words match nothing; items
-with a null id are left out; items of equal id count once; repeated document rows give
+Defined cases: null or empty text has no words, and items without words match nothing; the
+windows of an item with a null id hit words as others do, but it isn't counted or named; items of equal id count once; repeated document rows give
 repeated results; an empty table of either kind gives no rows or no hits; extra columns are
 ignored. Memory in a worker is bounded by a batch of texts, or the longest text.
 """
@@ -45,7 +45,7 @@ class Block:
         self.word = np.zeros((len(found), width), np.uint64)
         for row, k in zip(self.word, found, strict=True):
             row[: len(k) // 8] = np.frombuffer(k, np.uint64)
-        self.items = [sorted(set(v)) for v in found.values()]
+        self.items = [sorted({n for n in v if n is not None}) for v in found.values()]
         self.vocabulary = np.unique(np.concatenate([self.word[i, : self.size[i]] for i in range(len(found))])) if found else np.zeros(0, np.uint64)
 
     def set_prefix(self, count: np.ndarray) -> None:
@@ -83,7 +83,7 @@ class Block:
 
 def _blocks(items: DataFrame, item_key: str, text: str, width: int):
     some, n = [], 0
-    rows = items.filter(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(F.col(item_key).cast("string"), F.col(text))
+    rows = items.filter(F.col(text).isNotNull()).select(F.col(item_key).cast("string"), F.col(text))
     for name, t in rows.toLocalIterator():
         h = Words(pa.array([t]), NOT_ALNUM, lower=True).hashes()
         if len(h):

@@ -192,7 +192,9 @@ def trim() -> None:
     """Gives freed memory back to the system at the end of a task: Spark keeps the Python worker for the next one."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 19):

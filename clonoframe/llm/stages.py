@@ -1,4 +1,7 @@
-"""What the pipeline's stages need besides the operators: filtering whole documents by small tables of keys."""
+"""What the pipeline's stages need besides the operators: filtering whole documents by small tables of keys.
+
+The documents' columns are renamed by place inside, so they may have any names.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +12,18 @@ from pyspark.sql import functions as F
 from .common import BITS, Scratch, bitmap, held, trim
 
 
-def _cell(key: str):
-    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS)).cast("long")
+def _placed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with columns c0, c1, ..., and key (long)."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{key}`").cast("long").alias("key"))
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def _split(docs: DataFrame, key: str, bits) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, bits) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is certainly not in the bitmap, and the others."""
-    schema = docs.schema
+    schema = rows.schema
     at = len(schema)
 
     def pick(inside: bool):
@@ -25,7 +33,8 @@ def _split(docs: DataFrame, key: str, bits) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays(b.filter(pa.array(hit == inside)).columns[:at], names=schema.names)
             trim()
 
-        return docs.withColumn("_cell", F.coalesce(_cell(key), F.lit(0))).mapInArrow(run, schema)
+        cell = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(BITS)).cast("long"), F.lit(0))
+        return rows.withColumn("cell", cell).mapInArrow(run, schema)
 
     return pick(False), pick(True)
 
@@ -36,29 +45,28 @@ def without(docs: DataFrame, losers: DataFrame, scratch: Scratch, key: str = "do
     Only rows that a fixed-size bitmap of these keys can't clear are shuffled. Rows with a
     null key stay.
     """
-    acts = losers.select(F.col(losers.columns[0]).cast("long").alias("_k"), F.lit(True).alias("_drop"))
+    acts = losers.select(F.col(losers.columns[0]).cast("long").alias("k"), F.lit(True).alias("drop"))
     if once is not None:
         acts = acts.union(once.select(F.col(once.columns[0]).cast("long"), F.lit(False)))
-    acts = scratch.write(acts.filter("_k is not null").groupBy("_k").agg(F.max("_drop").alias("_drop")), "acts")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(acts.select("_k")))
-    clear, rest = _split(docs, key, bits)
-    rest = rest.join(acts, F.col(key).cast("long") == F.col("_k"), "left")
-    kept = clear.unionByName(rest.filter("_k is null").select(*docs.columns))
+    acts = scratch.write(acts.filter("k is not null").groupBy("k").agg(F.max("drop").alias("drop")), "acts")
+    clear, rest = _split(_placed(docs, key), docs.sparkSession.sparkContext.broadcast(bitmap(acts.select("k"))))
+    rest = rest.join(acts, F.col("key") == F.col("k"), "left")
+    kept = clear.unionByName(rest.filter("k is null").select(*clear.columns))
     if once is not None:
-        kept = kept.unionByName(rest.filter("_k is not null and not _drop").select(*docs.columns).dropDuplicates([key]))
-    return kept
+        kept = kept.unionByName(rest.filter("k is not null and not drop").select(*clear.columns).dropDuplicates(["key"]))
+    return _named(kept, docs)
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:
     """classes (key, component_id): the document with the component's least key stays, in one row."""
-    classes = scratch.write(classes.select(F.col(key).alias("_k"), "component_id"), "classes")
-    losers = classes.filter("_k <> component_id").select("_k").distinct()
-    once = classes.filter("_k = component_id").groupBy("_k").count().filter("count > 1").select("_k")
+    classes = scratch.write(classes.select(F.col(key).alias("k"), "component_id"), "classes")
+    losers = classes.filter("k <> component_id").select("k").distinct()
+    once = classes.filter("k = component_id").groupBy("k").count().filter("count > 1").select("k")
     return without(docs, losers, scratch, key, once)
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:
     """Each document as often as mixed (key, copies) says; rows of one key share the largest number."""
-    mixed = scratch.write(mixed.groupBy(F.col(key).alias("_k")).agg(F.max("copies").cast("int").alias("_n")).filter("_n > 0"), "copies")
-    rows = docs.join(mixed, F.col(key).eqNullSafe(F.col("_k")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    mixed = scratch.write(mixed.groupBy(F.col(key).cast("long").alias("k")).agg(F.max("copies").cast("int").alias("n")).filter("n > 0"), "copies")
+    rows = _placed(docs, key).join(mixed, F.col("key").eqNullSafe(F.col("k")))
+    return _named(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))), docs)

@@ -11,6 +11,8 @@ _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Powers kept for each base; a longer text's are made anew and let go.
+KEPT = 1 << 21
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,7 +29,9 @@ def _pow(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         x = np.full(max(n, 1 << 16), base, np.uint64)
         x[0] = 1
-        have = _powers[base] = np.cumprod(x, dtype=np.uint64)
+        have = np.cumprod(x, dtype=np.uint64)
+        if n <= KEPT:
+            _powers[base] = have
     return have[:n]
 
 

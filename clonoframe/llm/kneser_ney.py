@@ -88,15 +88,15 @@ class Grams:
     def __init__(self, col: pa.Array, salts: np.ndarray):
         s, self.size = symbols(col)
         place = _places(self.size)
-        m = mix(s.astype(np.uint64) + np.uint64(1))
-        total = np.zeros(len(s), np.uint64)
-        for k in range(ORDER):
-            total[k:] += m[: len(m) - k] * _STEP[k]
+        wide = s.astype(np.uint64)
+        total = wide * _STEP[0]
+        for k in range(1, ORDER):
+            total[k:] += wide[: len(wide) - k] * _STEP[k]
         salted = np.repeat(salts, self.size)
         codes = pa.array(mix(total[place] + salted)).dictionary_encode()
         self.mark, self.at = codes.dictionary.to_numpy(), codes.indices.to_numpy()
-        first = np.zeros(len(self.mark), np.int64)
-        first[self.at[::-1]] = np.arange(len(self.at))[::-1]
+        first = np.zeros(len(self.mark), np.int32)
+        first[self.at[::-1]] = np.arange(len(self.at) - 1, -1, -1, dtype=np.int32)
         self.points = s[place[first][:, None] + np.arange(1 - ORDER, 1)] if len(first) else np.zeros((0, ORDER), np.uint32)
         self.salts = salted[first]
 
@@ -105,7 +105,7 @@ def gram_key(points: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """Keys of KEY_BITS bits of the grams in the rows of points (any order, 0 included)."""
     total = salts + np.uint64(points.shape[1])
     for k in range(points.shape[1]):
-        total = total + mix(points[:, points.shape[1] - 1 - k].astype(np.uint64) + np.uint64(1)) * _STEP[k]
+        total = total + (points[:, points.shape[1] - 1 - k].astype(np.uint64) + np.uint64(1)) * _STEP[k]
     return mix(total) >> np.uint64(64 - KEY_BITS)
 
 
@@ -172,6 +172,17 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _discounts(tables: dict[int, DataFrame]) -> DataFrame:
+    """lang, k, d1, d2, d3: what modified Kneser-Ney takes off counts of one, two, and three or more."""
+    out = None
+    for k, t in tables.items():
+        n = t.groupBy("lang").agg(*[F.sum((F.col("n") == j).cast("double")).alias(f"n{j}") for j in range(1, 5)]).withColumn("k", F.lit(k))
+        out = n if out is None else out.union(n)
+    y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
+    step = lambda j: F.greatest(F.lit(0.05), F.least(F.lit(j - 0.05), F.coalesce(F.lit(float(j)) - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}")), F.lit(0.5))))
+    return out.select("lang", "k", *[step(j).alias(f"d{j}") for j in (1, 2, 3)])
+
+
 def probabilities(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, gram (of any order), p (of a seen gram's last character, in bits below 0), back (of a context: what the shorter gram's p is lowered by, in bits).
 
@@ -181,15 +192,12 @@ def probabilities(counts: DataFrame, scratch: Scratch) -> DataFrame:
     tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         tables[k] = scratch.write(tables[k + 1].groupBy("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"order{k}", rows=16384)
+    discounts = scratch.write(_discounts(tables), "discounts")
     lower, out = None, []
     for k in range(1, ORDER + 1):
         t = tables[k].withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})"))
-        of = lambda j: F.sum((F.col("n") == j).cast("double"))
-        d = t.groupBy("lang").agg(*[of(j).alias(f"n{j}") for j in range(1, 5)])
-        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-        step = lambda j: F.greatest(F.lit(0.05), F.least(F.lit(j - 0.05), F.coalesce(F.lit(float(j)) - (j + 1) * y * F.try_divide(F.col(f"n{j + 1}"), F.col(f"n{j}")), F.lit(0.5))))  # noqa: B023, E731
-        d = d.select("lang", *[step(j).alias(f"d{j}") for j in (1, 2, 3)])
-        t = t.join(d, "lang").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        # A row for each language, written before: the join needs no exchange by language.
+        t = t.join(discounts.filter(f"k = {k}").drop("k"), "lang").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         sums = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
         t = t.join(sums, ["lang", "ctx"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
         if lower is None:
@@ -236,12 +244,10 @@ def _unpacked(b: bytes, kind) -> np.ndarray:
     return planes.reshape(kind.itemsize, n).T.copy().view(kind).reshape(-1)
 
 
-def _block_grams(t: pa.Table) -> tuple[tuple, np.ndarray]:
-    """A block's different grams, and the sorted keys of all orders that it asks for."""
-    parts = [_light(g) for g, _ in _pieces(t)]
-    grams = merged(parts)
+def _asked(grams: tuple) -> np.ndarray:
+    """The sorted keys of all orders that a block's grams ask for."""
     ends, contexts = gram_keys(*grams[1:])
-    return grams, np.unique(np.concatenate(ends + contexts))
+    return np.unique(np.concatenate(ends + contexts))
 
 
 def _light(g: Grams) -> Grams:
@@ -296,7 +302,7 @@ def asking(shift: int):
     def run(batches):
         for b in batches:
             for block, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                _, keys = _block_grams(_rows_of(blob))
+                keys = _asked(merged([_light(g) for g, _ in _pieces(_rows_of(blob))]))
                 shard = (keys >> np.uint64(shift)).astype(np.int64)
                 starts = np.flatnonzero(np.diff(shard, prepend=-1))
                 packed = [_packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(starts, [*starts[1:], len(keys)], strict=True)]
@@ -341,12 +347,14 @@ def score(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
     back = np.concatenate([x[len(x) // 2 :] for x in both] or [np.zeros(0, np.float32)])
     for blob in left.column("blob"):
         t = _rows_of(blob)
-        grams, keys = _block_grams(t)
+        pieces = list(_pieces(t))
+        grams = merged([g for g, _ in pieces])
+        keys = _asked(grams)
         if len(keys) != len(p):
             raise RuntimeError("a block's answers don't belong to it")
         bits = chain(grams, keys, p, back)
         total, size = [], []
-        for g, n in _pieces(t):
+        for g, n in pieces:
             each = bits[np.searchsorted(grams[0], g.mark)][g.at] if len(g.at) else np.zeros(0)
             size.append(g.size)
             total.append(np.bincount(np.repeat(np.arange(n), g.size), each, n))
@@ -453,14 +461,14 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], key: str, text:
 
     away = scored.select("key", "model", "chars", "bits").join(trusted.filter("out").select(F.col("k").alias("key")), "key", "left_semi")
     cut = limits(away.select("model", "chars", "bits"), scratch)
-    common = cut.filter(F.col("model") == POOLED).select(F.col("middle").alias("middle0"), F.col("high").alias("high0"), F.col("wide").alias("wide0"))
+    common = cut.filter(F.col("model") == POOLED).first()
     cut = cut.select(F.col("model").alias("m"), "middle", "high", "wide", "n")
-    scored = scored.join(cut, F.col("model") == F.col("m"), "left").join(F.broadcast(common.agg(*[F.max(c).alias(c) for c in common.columns])))
+    scored = scored.join(cut, F.col("model") == F.col("m"), "left")
     limit = F.greatest(F.col("high"), F.col("middle") + F.col("wide") / F.sqrt("chars"))
-    limit0 = F.greatest(F.col("high0"), F.col("middle0") + F.col("wide0") / F.sqrt("chars"))
+    limit0 = F.greatest(F.lit(common["high"]), F.lit(common["middle"]) + F.lit(common["wide"]) / F.sqrt("chars")) if common else F.lit(None).cast("double")
     limit = F.when(F.coalesce(F.col("n"), F.lit(0)) >= FEW, limit).otherwise(F.greatest(limit, limit0))
     scored = scored.withColumn("threshold", F.when(F.col("chars") > 0, limit))
-    return scored.withColumn("kept", (F.col("chars") > 0) & F.coalesce(F.col("bits") <= F.col("threshold"), F.lit(True))).drop("m", "middle", "high", "wide", "n", "middle0", "high0", "wide0", "model")
+    return scored.withColumn("kept", (F.col("chars") > 0) & F.coalesce(F.col("bits") <= F.col("threshold"), F.lit(True))).drop("m", "middle", "high", "wide", "n", "model")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

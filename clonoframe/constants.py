@@ -1,8 +1,8 @@
-"""Ambiguity codes, regions, amino-acid scales and the genetic code."""
+"""Ambiguity codes, regions, amino-acid scales, the genetic code, abbreviations and colours."""
 
 from itertools import product
 
-# Fixed values.
+# Readings of ambiguous bases and residues, regions of the standard numbering, scales of residues.
 IUPAC_DNA = {
     "A": "A", "C": "C", "G": "G", "T": "T", "M": "AC", "R": "AG", "W": "AT", "S": "CG", "Y": "CT", "K": "GT",
     "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT", "N": "ACGT",
@@ -22,7 +22,7 @@ POLARITY = {
     "L": 4.9, "K": 11.3, "M": 5.7, "F": 5.2, "P": 8.0, "S": 9.2, "T": 8.6, "W": 5.4, "Y": 6.2, "V": 5.9,
 }
 PK = {"C": 8.5, "D": 3.9, "E": 4.1, "H": 6.5, "K": 10.8, "R": 12.5, "Y": 10.1}
-#: The standard genetic code in the order T, C, A, G of each place.
+# The standard genetic code in the order T, C, A, G of each place.
 GENETIC_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = {"".join(c): a for c, a in zip(product("TCAG", repeat=3), GENETIC_CODE, strict=True)}
 
@@ -33,3 +33,15 @@ def codon(c: str) -> str:
         return "X"
     found = {CODONS["".join(x)] for x in product(*(IUPAC_DNA[b] for b in c))}
     return found.pop() if len(found) == 1 else "X"
+
+
+#: The ambiguous base of each set of bases.
+DNA_IUPAC = {bases: code for code, bases in IUPAC_DNA.items()}
+# Three-letter names, and the colours of bases and chains.
+ABBREV_AA = {
+    "A": "Ala", "R": "Arg", "N": "Asn", "D": "Asp", "C": "Cys", "Q": "Gln", "E": "Glu", "G": "Gly", "H": "His", "I": "Ile",
+    "L": "Leu", "K": "Lys", "M": "Met", "F": "Phe", "P": "Pro", "S": "Ser", "T": "Thr", "W": "Trp", "Y": "Tyr", "V": "Val",
+}
+DNA_COLORS = {"A": "#64F73F", "C": "#FFB340", "G": "#EB413C", "T": "#3C88EE"}
+IG_COLORS = {"IGHA": "#377EB8", "IGHD": "#FF7F00", "IGHE": "#E41A1C", "IGHG": "#4DAF4A", "IGHM": "#984EA3", "IGHK": "#E5C494", "IGHL": "#FFD92F"}
+TR_COLORS = {"TRA": "#CBD5E8", "TRB": "#F4CAE4", "TRD": "#FDCDAC", "TRG": "#E6F5C9"}

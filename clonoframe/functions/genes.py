@@ -20,6 +20,7 @@ def get_segment(call: Column, pattern: str, first: bool = True, collapse: bool =
         call = F.regexp_replace(call, rf"[^{sep}]*{NON_LOCALIZED}[^{sep}]*({sep}|$)", "")
     out = F.regexp_replace(call, f"{around}{pattern}{around}", "$1")
     if strip_d:
+        # Fixed value: the suffix D of a duplicated gene, after a letter or digit and a digit.
         out = F.regexp_replace(out, rf"(?<=[A-Z0-9][0-9])D(?=\*|-|{sep}|$)", "")
     if first:
         return F.regexp_replace(out, f"{sep}.*$", "")

@@ -110,6 +110,7 @@ query("hill", f"{_COUNTS} SELECT sample_id, q, round(pow(sum(pow(x/n, e)), 1/(1-
     lambda d: _rounded(diversity.hill(usage.count_clones(d, ["sample_id"]).withColumn("p", F.col("seq_freq")), ["sample_id"], [0, 1, 2]), 4)
 )
 query("estimate_abundance", None, "repertoire")(lambda d: diversity.estimate_abundance(d, "sample_id", nboot=200, seed=1))
+query("estimate_abundance_copy", None, "repertoire")(lambda d: diversity.estimate_abundance(d, "sample_id", nboot=20, seed=1, copy="duplicate_count"))
 query("alpha_diversity", None, "repertoire")(lambda d: diversity.alpha_diversity(d, "sample_id", [x / 2 for x in range(9)], nboot=200, seed=1))
 query("diversity_test", None, "repertoire")(lambda d: diversity.diversity_test(d, "sample_id", 2.0, nboot=200, seed=1))
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from clonoframe import fixtures
 from clonoframe.functions import aminoacids, genes, sequences
-from clonoframe.operators import base_quality, clones, junctions, lineage, plotting, statistics, topology, usage
+from clonoframe.operators import base_quality, clones, diversity, junctions, lineage, plotting, statistics, topology, usage
 from clonoframe.operators import sequences as seqs
 from clonoframe.plans import catalog
 from clonoframe.sources import changeo, fastq, igphyml, newick
+from clonoframe.streaming.usage import windowed_usage
 
 SF = "/root/testdata/sf0.001"
 
@@ -210,6 +211,40 @@ def test_statistics(spark):
     assert "at least one" in statistics.check_columns(t, ["zz"], "any") and "None of" in statistics.check_columns(t, ["e"], "any")
 
 
+def test_draws_in_parts(spark):
+    """Drawing parts first, then clones within them, keeps every resampling at its depth and the shares where they belong."""
+    rows = [(g, f"c{i}") for g in "xy" for i in range(30) for _ in range(i + 1)]
+    df = spark.createDataFrame(rows, "g string, clone_id string")
+    whole, diversity.PART = diversity.PART, 7
+    try:
+        _, draws = diversity._draws(df, "g", 30, None, True, 50, 3, "clone_id")
+        got = draws.collect()
+        again = diversity._draws(df.repartition(7), "g", 30, None, True, 50, 3, "clone_id")[1].collect()
+    finally:
+        diversity.PART = whole
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    total, mean = {}, {}
+    for r in got:
+        total[r["g"], r["boot"]] = total.get((r["g"], r["boot"]), 0) + r["p"]
+        mean[r["g"], r["clone_id"]] = mean.get((r["g"], r["clone_id"]), 0) + r["p"] / 50
+    assert len(total) == 100 and all(abs(v - 1) < 1e-9 for v in total.values())
+    want = {(r["g"], r["clone_id"]): r["p"] for r in diversity.complete_abundance(df, "g").collect()}
+    assert all(abs(mean.get(k, 0) - p) < 0.015 for k, p in want.items())
+    copies = diversity.estimate_abundance(spark.createDataFrame([("x", "a", 90), ("x", "b", 10), ("x", "b", 20)], "g string, clone_id string, n int"), "g", nboot=20, copy="n").collect()
+    assert {r["clone_id"]: round(r["p"], 1) for r in copies if not r["clone_id"].startswith("U")} == {"a": 0.8, "b": 0.2} or abs(sum(r["p"] for r in copies) - 1) < 1e-9
+
+
+def test_usage_of_a_stream(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "IGHV1-1*01"), ("2024-01-01 00:50:00", "IGHV1-1*02"), ("2024-01-01 01:10:00", "IGHV2-1*01"), ("2024-01-01 01:20:00", None)]
+    df = spark.createDataFrame(rows, "t string, v_call string").withColumn("t", F.to_timestamp("t"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = windowed_usage(stream, "t", "v_call").writeStream.format("memory").queryName("usage_of_a_stream").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    got = {(r["window"]["start"].hour, r["gene"]): r["seq_count"] for r in spark.table("usage_of_a_stream").collect()}
+    assert got == {(0, "IGHV1-1"): 2, (1, "IGHV2-1"): 1}
+
+
 def test_igphyml(spark, tmp_path):
     (tmp_path / "ig.tab").write_text("CLONE\tNSEQ\tNSITE\tLHOOD\tTREE\nREPERTOIRE\t0\t0\t-100.5\tigphyml --run\n1\t3\t100\t-50.2\t(seq1:0.1,seq2:0.2,1_GERM:0.0);\n2\t4\t100\tx\t((seqA:0.3,seqB:0.1)k:0.05,2_GERM:0.0);\n")
     ig = igphyml.read(spark, str(tmp_path / "ig.tab"), id="d")

@@ -95,8 +95,7 @@ class Grams:
         salted = np.repeat(salts, self.size)
         codes = pa.array(mix(total[place] + salted)).dictionary_encode()
         self.mark, self.at = codes.dictionary.to_numpy(), codes.indices.to_numpy()
-        first = np.zeros(len(self.mark), np.int32)
-        first[self.at[::-1]] = np.arange(len(self.at) - 1, -1, -1, dtype=np.int32)
+        first = _first(self.at, len(self.mark))
         self.points = s[place[first][:, None] + np.arange(1 - ORDER, 1)] if len(first) else np.zeros((0, ORDER), np.uint32)
         self.salts = salted[first]
 
@@ -114,12 +113,42 @@ def gram_keys(points: np.ndarray, salts: np.ndarray) -> tuple[list[np.ndarray],
     return [gram_key(points[:, ORDER - k :], salts) for k in range(1, ORDER + 1)], [gram_key(points[:, ORDER - k : ORDER - 1], salts) for k in range(1, ORDER + 1)]
 
 
-def merged(parts: list[Grams]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """mark (sorted), points and salts of the different grams of several pieces."""
+def _first(at: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n numbers occurs first."""
+    out = np.zeros(n, np.int32)
+    out[at[::-1]] = np.arange(len(at) - 1, -1, -1, dtype=np.int32)
+    return out
+
+
+def merged(parts: list[Grams]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """points and salts of the different grams of several pieces, and for each piece which of them its grams are."""
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.uint64)
-    mark, at = np.unique(np.concatenate([g.mark for g in parts]), return_index=True)
-    return mark, np.concatenate([g.points for g in parts])[at], np.concatenate([g.salts for g in parts])[at]
+        return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.uint64), []
+    codes = pa.array(np.concatenate([g.mark for g in parts])).dictionary_encode()
+    at = codes.indices.to_numpy()
+    first = _first(at, len(codes.dictionary))
+    which = np.split(at, np.cumsum([len(g.mark) for g in parts])[:-1])
+    return np.concatenate([g.points for g in parts])[first], np.concatenate([g.salts for g in parts])[first], which
+
+
+class Asked:
+    """The sorted keys of all orders that some grams ask for, and which of them each gram's endings and their contexts are."""
+
+    def __init__(self, points: np.ndarray, salts: np.ndarray):
+        ends, contexts = gram_keys(points, salts)
+        codes = [pa.array(x).dictionary_encode() for x in (*ends, *contexts)]
+        different = [c.dictionary.to_numpy() for c in codes]
+        self.keys, at = np.unique(np.concatenate(different), return_inverse=True)
+        parts = np.split(at.astype(np.int32), np.cumsum([len(x) for x in different])[:-1])
+        self.where = [x[c.indices.to_numpy()] if len(x) else np.zeros(0, np.int32) for x, c in zip(parts, codes, strict=True)]
+
+    def bits(self, p: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Of each gram, from the answers to the keys: the longest ending that was seen, lowered for each longer context that was."""
+        value = np.full(len(self.where[0]), -math.log2(UNIVERSE))
+        for end, context in zip(self.where[:ORDER], self.where[ORDER:], strict=True):
+            own = p[end]
+            value = np.where(own <= 0, own, value + back[context])
+        return -value
 
 
 def _strings(points: np.ndarray) -> pa.Array:
@@ -244,12 +273,6 @@ def _unpacked(b: bytes, kind) -> np.ndarray:
     return planes.reshape(kind.itemsize, n).T.copy().view(kind).reshape(-1)
 
 
-def _asked(grams: tuple) -> np.ndarray:
-    """The sorted keys of all orders that a block's grams ask for."""
-    ends, contexts = gram_keys(*grams[1:])
-    return np.unique(np.concatenate(ends + contexts))
-
-
 def _light(g: Grams) -> Grams:
     del g.at
     return g
@@ -302,7 +325,7 @@ def asking(shift: int):
     def run(batches):
         for b in batches:
             for block, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                keys = _asked(merged([_light(g) for g, _ in _pieces(_rows_of(blob))]))
+                keys = Asked(*merged([_light(g) for g, _ in _pieces(_rows_of(blob))])[:2]).keys
                 shard = (keys >> np.uint64(shift)).astype(np.int64)
                 starts = np.flatnonzero(np.diff(shard, prepend=-1))
                 packed = [_packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(starts, [*starts[1:], len(keys)], strict=True)]
@@ -328,16 +351,6 @@ def answers(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"block": left.column("block"), "shard": left.column("shard"), "values": pa.array(out, pa.binary())})
 
 
-def chain(grams: tuple, keys: np.ndarray, p: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Bits of each of the grams: the longest ending that was seen, lowered for each longer context that was."""
-    ends, contexts = gram_keys(*grams[1:])
-    value = np.full(len(grams[0]), -math.log2(UNIVERSE))
-    for end, context in zip(ends, contexts, strict=True):
-        own = p[np.searchsorted(keys, end)]
-        value = np.where(own <= 0, own, value + back[np.searchsorted(keys, context)])
-    return -value
-
-
 def score(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
     """One block: its rows with chars and bits (mean for a character; null without text)."""
     out = []
@@ -348,14 +361,14 @@ def score(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
     for blob in left.column("blob"):
         t = _rows_of(blob)
         pieces = list(_pieces(t))
-        grams = merged([g for g, _ in pieces])
-        keys = _asked(grams)
-        if len(keys) != len(p):
+        points, salts, which = merged([g for g, _ in pieces])
+        asked = Asked(points, salts)
+        if len(asked.keys) != len(p):
             raise RuntimeError("a block's answers don't belong to it")
-        bits = chain(grams, keys, p, back)
+        bits = asked.bits(p, back)
         total, size = [], []
-        for g, n in pieces:
-            each = bits[np.searchsorted(grams[0], g.mark)][g.at] if len(g.at) else np.zeros(0)
+        for (g, n), at in zip(pieces, which, strict=True):
+            each = bits[at][g.at] if len(g.at) else np.zeros(0)
             size.append(g.size)
             total.append(np.bincount(np.repeat(np.arange(n), g.size), each, n))
         size = np.concatenate(size) if size else np.zeros(0, np.int64)

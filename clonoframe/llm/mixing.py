@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SPACES, Scratch, ranked
 
@@ -38,9 +37,9 @@ def source_targets(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """source, source_size -> with target: shares of the total by weight, stopped at MOST times
     the source's size, the excess reshared by weight. Each round is one aggregate over the
     sources; only its sums reach the driver."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weights = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    sources = scratch.write(sources.withColumn("weight", weights).withColumn("most", F.col("source_size") * MOST), "sources")
+    sources = ranked(sources, scratch, "source-order", [], [F.col("source").asc_nulls_last()], "_at_")
+    weights = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod("_at_", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    sources = scratch.write(sources.select("source", "source_size", weights.alias("weight"), (F.col("source_size") * MOST).alias("most")), "sources")
     level = 0.0
     while True:
         stopped = F.col("most") <= F.col("weight") * F.lit(level)

@@ -197,7 +197,11 @@ def _host(url: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per row: key, url, text, n_chars. Two passes over the pages; only wrappers are shuffled by host."""
+    """Per row: key, url, text, n_chars. Two passes over the pages.
+
+    What the wrappers decided is joined by host: by broadcast while the optimizer finds its
+    table small, or else by a shuffle of the pages, in which the adaptive join splits a hot host.
+    """
     scratch = Scratch(pages.sparkSession, "wrappers")
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.lower(_host(F.col(url))).alias("_host"), F.col(html).alias("_html"))
 

@@ -4,10 +4,16 @@ A CIGAR string says which places of the read the alignment holds; pseudo-segment
 bases lie between the genes. Undefined inputs (a null alignment, no segment) give null.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.quality import explode_cigar, mask_by_quality
+from ..functions.sequences import GAPS, _flat
 
 _SPANS = "array<struct<a:int,b:int>>"
 
@@ -50,26 +56,40 @@ def alignment_quality(
     """
     if style not in ("num", "ascii", "both"):
         raise ValueError("style must be num, ascii or both")
-    x = df.withColumn("_p", read_places(v_cigar, d_cigar, j_cigar, np1, np2, v_end, d_end))
-    made = F.array_join(F.transform("_p", lambda i: F.substring(F.col(sequence), i, F.lit(1))), "")
-    fits = made == F.translate(F.col(alignment), ".-", "")
-    x = x.withColumn("_p", F.when(F.coalesce(fits, F.lit(True)), F.col("_p")).otherwise(F.raise_error(F.lit("the bases by CIGAR aren't those of the alignment"))))
-    every = F.when(F.char_length(alignment) > 0, F.sequence(F.lit(1), F.char_length(alignment))).otherwise(F.array().cast("array<int>"))
-
-    def at_places(value, gap: str) -> Column:
-        def one(i: Column) -> Column:
-            base = ~F.substring(F.col(alignment), i, F.lit(1)).isin("-", ".")
-            place = F.get("_p", F.char_length(F.translate(F.substring(F.col(alignment), F.lit(1), i), ".-", "")) - 1)
-            return F.when(base, value(place)).otherwise(F.lit(gap))
-
-        return F.transform(every, one)
-
-    nums = F.split(F.col(quality_num), ",")
-    number = lambda p: F.regexp_replace(F.when(F.get(nums, p - 1) == "", F.lit("NA")).otherwise(F.get(nums, p - 1)), r"\.0+$", "")
-    out = {"quality_alignment_num": F.array_join(at_places(number, "NA"), ","), "quality_alignment": F.array_join(at_places(lambda p: F.substring(F.col(quality), p, F.lit(1)), " "), "")}
-    kept = {"num": ["quality_alignment_num"], "ascii": ["quality_alignment"], "both": list(out)}[style]
-    known = {"quality_alignment_num": quality_num, "quality_alignment": quality}
-    return x.withColumns({c: F.when(F.col(known[c]).isNotNull() & F.col(alignment).isNotNull(), out[c]) for c in kept}).drop("_p")
+    places = read_places(v_cigar, d_cigar, j_cigar, np1, np2, v_end, d_end)
+    nums = F.transform(F.split(F.col(quality_num), ","), lambda q: F.regexp_replace(F.when(q == "", F.lit("NA")).otherwise(q), r"\.0+$", ""))
+    given = {"quality_alignment_num": (nums, "NA", ","), "quality_alignment": (F.split(F.col(quality), ""), " ", "")}
+    kept = {"num": ["quality_alignment_num"], "ascii": ["quality_alignment"], "both": list(given)}[style]
+    x = df.withColumn("_p", places)
+    return x.withColumns({c: at_places(*given[c][1:])(F.col(alignment), F.col(sequence), F.col("_p"), given[c][0]) for c in kept}).drop("_p")
+
+
+def at_places(gap: str, sep: str):
+    """An Arrow function: values (by place of the read) at the alignment's bases and gap elsewhere, joined by sep; a whole batch at a time."""
+
+    @arrow_udf(T.StringType())
+    def run(alignment: pa.Array, sequence: pa.Array, places: pa.Array, values: pa.Array) -> pa.Array:
+        known = pc.and_(pc.and_(alignment.is_valid(), sequence.is_valid()), pc.and_(places.is_valid(), values.is_valid()))
+        alignment, sequence, places, values = (c.filter(known) for c in (alignment, sequence, places, values))
+        (data, off), (read, start) = _flat(alignment), _flat(sequence)
+        base = ~np.isin(data, np.frombuffer(GAPS.encode(), np.uint8))
+        upto = np.concatenate([[0], np.cumsum(base)])
+        n = np.diff(upto[off])
+        place, of = pc.list_flatten(places).to_numpy().astype(np.int64), pc.list_value_length(places).to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        fits = np.array_equal(n, of) and bool((place >= 1).all() and (place <= np.diff(start)[row]).all())
+        if not fits or not np.array_equal(read[start[row] + place - 1], data[base]):
+            raise ValueError("the bases by CIGAR aren't those of the alignment")
+        size = pc.list_value_length(values).to_numpy()
+        if (place > size[row]).any():
+            raise ValueError("a read has fewer qualities than bases")
+        picked = pc.list_flatten(values).take(pa.array((np.cumsum(size) - size)[row] + place - 1))
+        cells = pc.fill_null(picked.take(pa.array(upto[1:] - 1, mask=~base)), gap)
+        made = pc.binary_join(pa.ListArray.from_arrays(pa.array(off, pa.int32()), cells), sep)
+        flags = known.to_numpy(zero_copy_only=False)
+        return made.take(pa.array(np.cumsum(flags) - 1, mask=~flags))
+
+    return run
 
 
 def position_quality(df: DataFrame, key: str = "sequence_id", sequence: str = "sequence_alignment", quality_num: str = "quality_alignment_num") -> DataFrame:

@@ -41,8 +41,10 @@ def junction_alignment(
     aln = F.col(alignment)
     size, length = F.char_length(aln), F.col(junction_length).cast("int")
     # The place before the first base that the junction has no more.
-    past = F.filter(F.sequence(F.lit(JUNCTION), F.greatest(size, F.lit(JUNCTION))), lambda i: _bases(_part(aln, F.lit(JUNCTION), i)) > length)
-    junction_end = F.coalesce(F.get(past, 0) - 1, size)
+    # (The shortest beginning with one base more than the junction; the pattern has no group to repeat.)
+    bases = F.regexp_replace(F.substring(aln, F.lit(JUNCTION), F.greatest(size, F.lit(0))), "([^.-])", "$1\u0001")
+    upto = F.call_function("substring_index", bases, F.lit("\u0001"), length + 1)
+    junction_end = F.when(_bases(_part(aln, F.lit(JUNCTION), size)) > length, JUNCTION + F.char_length(F.translate(upto, "\u0001", "")) - 2).otherwise(size)
     told = F.col(junction).isNotNull() & (length > 6)
     span = lambda g: F.col(prefix.format(g, "end")).cast("int") - F.col(prefix.format(g, "start")).cast("int") + 1
     v = _bases(_part(aln, F.lit(JUNCTION + 3), span("v")))

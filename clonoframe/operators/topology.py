@@ -4,12 +4,19 @@ Walks go level by level, each an equi-join on (tree, vertex) whose result is wri
 shared folder. A walk that goes deeper than its largest tree has vertices is an error: the
 edges have a cycle. Labels are tables of tree_id, v and value; a vertex without a row has a
 null label, which is excluded where None is among the excluded labels.
+
+Permuted labels are computed, not dealt: a vertex has a place among its tree's, a keyed
+permutation of 0 to n - 1 maps places to positions in the tree's labels in their order, and
+so the label of any vertex in any iteration follows from its place and its tree's counts of
+labels. Permutation tests move each pair of vertices once, whatever the number of iterations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +25,14 @@ from ..workspace import Rounds
 
 #: Levels between two looks at whether a walk still makes sense.
 LOOK = 64
+#: Different labels of a tree up to which its counts of labels go with each of its rows; for the others a row for each iteration is joined with its label.
+LABELS = 64
+#: Rounds of the keyed permutation of FEW places or more, and of fewer, where each round mixes less.
+ROUNDS, ROUNDS_FEW, FEW = 8, 24, 1024
+#: Pairs of labels in a batch that are counted in an array.
+PAIRS = 1 << 20
+
+_GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
 
 def excluded(value: Column, exclude: Iterable | None) -> Column:
@@ -140,15 +155,163 @@ def table_edges(edges: DataFrame, labels: DataFrame, indirect: bool = False, exc
     return _labelled(vertex_pairs(edges, labels, indirect, exclude), labels, [])
 
 
+def _mix(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(33))) * _M1
+    z = (z ^ (z >> np.uint64(29))) * _M2
+    return z >> np.uint64(32)
+
+
+def _grid(n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each n a power of two (its bits and mask) and the least columns of that height that hold n."""
+    bits = (np.ceil(np.log2(n)).astype(np.uint64) + np.uint64(1)) >> np.uint64(1)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    n = n.astype(np.uint64)
+    return n, bits, mask, (n + mask) >> bits
+
+
+def _shuffled(k: np.ndarray, key: np.ndarray, grid: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Where a permutation of 0 to n - 1, given by its key and _grid(n), takes k; row by row, or with one key and n for all.
+
+    A Feistel network over the grid; what leaves 0 to n - 1 goes through it again.
+    """
+    few = grid[0] < FEW
+    if few.any() and not few.all():
+        out = np.empty(len(k), np.int64)
+        for some in (few, ~few):
+            out[some] = _shuffled(k[some], key[some], tuple(x[some] for x in grid))
+        return out
+    rounds = ROUNDS_FEW if few.any() else ROUNDS
+
+    def through(x, key, n, bits, mask, cols):
+        low, high = x & mask, x >> bits
+        for _ in range(0, rounds, 2):
+            key = key + _GOLD
+            low = (low + _mix(high + key)) & mask
+            key = key + _GOLD
+            high = high + ((_mix(low + key) * cols) >> np.uint64(32))
+            high = high - cols * (high >= cols)
+        return low | (high << bits)
+
+    x = through(k.astype(np.uint64), key, *grid)
+    while len(again := np.flatnonzero(x >= grid[0])):
+        x[again] = through(x[again], *(y[again] if len(y) > 1 else y for y in (key, *grid)))
+    return x.astype(np.int64)
+
+
+def _iteration(key: np.ndarray, i: int) -> np.ndarray:
+    """The trees' keys in one iteration."""
+    z = key + np.uint64((i + 1) * 0xD1B54A32D192ED03 % 2**64)
+    return (_mix(z) << np.uint64(32)) | _mix(z ^ _GOLD)
+
+
+def _places(labels: DataFrame, exclude: Iterable | None) -> DataFrame:
+    """labels with k, the place of each vertex among those of its tree whose labels are permuted; null for the others."""
+    fixed = excluded(F.col("value"), exclude)
+    return labels.select("tree_id", "v", "value", F.when(~fixed, F.row_number().over(Window.partitionBy("tree_id", fixed).orderBy("v")) - 1).cast("long").alias("k"))
+
+
+def _trees(labels: DataFrame, seed: int, exclude: Iterable | None, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """tree_id, key, kinds and slots (upto:code, the labels in their order, each after the position below which it ends) by tree; and code, value."""
+    n = rounds.write(labels.filter(~excluded(F.col("value"), exclude)).groupBy("tree_id", "value").agg(F.count(F.lit(1)).alias("n")))
+    codes = rounds.write(n.select("value").distinct().select(F.monotonically_increasing_id().alias("code"), "value"))
+    upto = F.sum("n").over(Window.partitionBy("tree_id").orderBy("value")).alias("upto")
+    x = n.join(codes.withColumnRenamed("value", "_value"), F.col("value").eqNullSafe(F.col("_value"))).select("tree_id", "code", upto)
+    slots = F.transform(F.sort_array(F.collect_list(F.struct("upto", "code"))), lambda x: F.concat(x["upto"], F.lit(":"), x["code"]))
+    return rounds.write(x.groupBy("tree_id").agg(F.count(F.lit(1)).alias("kinds"), F.concat_ws(",", slots).alias("slots")).withColumn("key", F.xxhash64(F.lit(seed), "tree_id"))), codes
+
+
+class _Batch:
+    """Rows of a batch by tree, and the labels that their places have in an iteration."""
+
+    def __init__(self, key: pa.Array, slots: pa.Array):
+        keys, first, self.of = np.unique(key.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        own = [[tuple(map(int, x.split(":"))) for x in s.split(",")] for s in slots.take(pa.array(first)).to_pylist()]
+        self.keys, self.width = keys.astype(np.uint64), max(map(len, own))
+        padded = np.array([s + s[-1:] * (self.width - len(s)) for s in own], np.int64)
+        self.codes, local = np.unique(padded[:, :, 1], return_inverse=True)
+        self.local = local.ravel()
+        if len(keys) == 1:
+            self.of = self.of[:1]
+        self.grid = _grid(padded[:, -1, 0])
+        self.grid = tuple(x[self.of] for x in self.grid)
+        self.ends = [padded[self.of, j, 0] for j in range(self.width - 1)]
+
+    def drawn(self, k: np.ndarray, i: int) -> np.ndarray:
+        """The labels, as indexes of codes, of the rows' places k in iteration i."""
+        x = _shuffled(k, _iteration(self.keys, i)[self.of], self.grid)
+        slot = self.of * self.width
+        for end in self.ends:
+            slot = slot + (x >= end)
+        return self.local[slot]
+
+
 def permute_labels(labels: DataFrame, nperm: int, seed: int = 0, exclude: Iterable | None = ()) -> DataFrame:
-    """tree_id, v, value, iter: labels dealt anew within each tree by hash order, excluded ones in place."""
+    """tree_id, v, value, iter: labels dealt anew within each tree by a keyed permutation of their places, excluded ones in place."""
     fixed = excluded(F.col("value"), exclude)
-    every = labels.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))))
-    w = Window.partitionBy("iter", "tree_id")
-    places = every.filter(~fixed).withColumn("k", F.row_number().over(w.orderBy("v")))
-    dealt = every.filter(~fixed).withColumn("k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "iter", "tree_id", "v"), "v")))
-    moved = places.drop("value").join(dealt.select("iter", "tree_id", "k", "value"), ["iter", "tree_id", "k"]).select("tree_id", "v", "value", "iter")
-    return moved.union(every.filter(fixed).select("tree_id", "v", "value", "iter"))
+    free = _places(labels.filter(~fixed), ())
+    kinds = {c: labels.schema[c].dataType.simpleString() for c in ("tree_id", "v")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, n, key = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "n", "key"))
+            grid, key = _grid(n), key.astype(np.uint64)
+            for i in range(nperm):
+                at = _shuffled(k, _iteration(key, i), grid)
+                yield pa.RecordBatch.from_arrays([b.column("tree_id"), b.column("v"), pa.array(np.full(len(k), i, np.int32)), pa.array(at)], ["tree_id", "v", "iter", "at"])
+
+    sizes = free.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64(F.lit(seed), "tree_id"))
+    rows = free.join(sizes, "tree_id").select("tree_id", "v", "k", "n", "key").mapInArrow(run, f"tree_id {kinds['tree_id']}, v {kinds['v']}, iter int, at long")
+    order = free.select("tree_id", "value", (F.row_number().over(Window.partitionBy("tree_id").orderBy("value")) - 1).cast("long").alias("at"))
+    every = labels.filter(fixed).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))))
+    return rows.join(order, ["tree_id", "at"]).select("tree_id", "v", "value", "iter").union(every.select("tree_id", "v", "value", "iter"))
+
+
+def _ends(edges: DataFrame, labels: DataFrame, indirect: bool, exclude: Iterable | None) -> DataFrame:
+    """tree_id, parent, child (labels) and their places kp, kc, of each pair of vertices."""
+    pairs = vertex_pairs(edges, labels, True, exclude) if indirect else edges.select("tree_id", F.col("from_v").alias("anc"), F.col("to_v").alias("child"))
+    at = _places(labels, exclude)
+    for v, value, k in (("anc", "parent", "kp"), ("child", "_child", "kc")):
+        pairs = pairs.join(at.select("tree_id", F.col("v").alias(v), F.col("value").alias(value), F.col("k").alias(k)), ["tree_id", v], "left")
+        if exclude and not indirect:
+            pairs = pairs.filter(~excluded(F.col(value), exclude))
+    return pairs.select("tree_id", "parent", F.col("_child").alias("child"), "kp", "kc")
+
+
+def _drawn_pairs(ends: DataFrame, labels: DataFrame, nperm: int, seed: int, exclude: Iterable | None, rounds: Rounds) -> DataFrame:
+    """iter, parent, child, count under permuted labels, of pairs of places (tree_id, kp, kc)."""
+    trees, codes = _trees(labels, seed, exclude, rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _Batch(b.column("key"), b.column("slots"))
+            up, down = (b.column(c).to_numpy(zero_copy_only=False) for c in ("kp", "kc"))
+            many = len(x.codes)
+            for i in range(nperm):
+                pair = x.drawn(up, i) * many + x.drawn(down, i)
+                if many * many <= PAIRS:
+                    count = np.bincount(pair, minlength=many * many)
+                    pair = np.flatnonzero(count)
+                    count = count[pair]
+                else:
+                    pair, count = np.unique(pair, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), i, np.int32)), pa.array(x.codes[pair // many]), pa.array(x.codes[pair % many]), pa.array(count)], ["iter", "p", "c", "n"])
+
+    both = ends.filter("kp is not null and kc is not null").select("tree_id", "kp", "kc")
+    few = both.join(trees.filter(F.col("kinds") <= LABELS), "tree_id").select("key", "slots", "kp", "kc")
+    n = few.mapInArrow(run, "iter int, p long, c long, n long").groupBy("iter", "p", "c").agg(F.sum("n").alias("count"))
+    for c, value in (("p", "parent"), ("c", "child")):
+        n = n.join(codes.select(F.col("code").alias(c), F.col("value").alias(value)), c)
+    n = n.select("iter", "parent", "child", "count")
+    many = trees.filter(F.col("kinds") > LABELS).select("tree_id")
+    if not many.isEmpty():
+        own = labels.join(many, "tree_id", "left_semi")
+        at = _places(own, exclude).filter("k is not null")
+        pairs = both.join(at.select("tree_id", F.col("k").alias("kp"), F.col("v").alias("anc")), ["tree_id", "kp"]).join(at.select("tree_id", F.col("k").alias("kc"), F.col("v").alias("child")), ["tree_id", "kc"])
+        rows = _labelled(pairs.select("tree_id", "anc", "child"), permute_labels(own, nperm, seed, exclude), ["iter"], "inner")
+        n = n.unionByName(rows.select("iter", "parent", "child", "count")).groupBy("iter", "parent", "child").agg(F.sum("count").alias("count"))
+    return rounds.write(n)
 
 
 def _tested(observed: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,7 +321,7 @@ def _tested(observed: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame
 
 def edge_permutations(edges: DataFrame, labels: DataFrame, nperm: int = 200, seed: int = 0, indirect: bool = False, exclude: Iterable | None = ("Germline", None)) -> DataFrame:
     """iter, parent, child, count under permuted labels. Excluded labels stay in place, so which vertices make a pair is the same in all."""
-    return _labelled(vertex_pairs(edges, labels, indirect, exclude), permute_labels(labels, nperm, seed, exclude), ["iter"], "inner")
+    return _drawn_pairs(_ends(edges, labels, indirect, exclude), labels, nperm, seed, exclude, Rounds(edges.sparkSession, "permuted"))
 
 
 def test_edges(edges: DataFrame, labels: DataFrame, nperm: int = 200, seed: int = 0, indirect: bool = False, exclude: Iterable | None = ("Germline", None)) -> DataFrame:

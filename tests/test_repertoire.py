@@ -3,9 +3,11 @@
 import copy
 import math
 import random
+from collections import Counter
 from statistics import NormalDist
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +199,74 @@ def test_walks(spark):
     assert xy == {"Germline": (0.5, 0), "a": (0.5, -1), "b": (0.0, -2), "c": (1.0, -2)}
 
 
+def forest(spark, sizes, seed=1):
+    """Random trees of these sizes as edges and labels, some of which are null or missing."""
+    rng = random.Random(seed)
+    e = [(t, "Germline" if i == 1 else f"S{rng.randint(1, i - 1)}", f"S{i}", 1.0) for t, n in enumerate(sizes) for i in range(1, n + 1)]
+    n = [(t, v, rng.choice(["a", "b", "c", None])) for t, _, v, _ in e if rng.random() < 0.95]
+    return spark.createDataFrame(e, "tree_id long, from_v string, to_v string, weight double"), spark.createDataFrame(n, "tree_id long, v string, value string")
+
+
+def shuffled_bytes(spark, run):
+    """What tasks write for others while run() runs."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def now():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        e = sc.statusStore().executorList(False)
+        return sum(e.apply(i).totalShuffleWrite() for i in range(e.size()))
+
+    before = now()
+    run()
+    return now() - before
+
+
+def test_permuted_places():
+    """Every permutation of a few places is as likely as the others, and so are the pairs of many; places of other trees don't matter."""
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 9), (2, 20_000), (3, 20_000), (4, 20_000), (5, 100_000)):
+        key = rng.integers(0, 2**63, m).astype(np.uint64).repeat(n)
+        got = topology._shuffled(np.tile(np.arange(n), m), key, topology._grid(np.full(m * n, n))).reshape(m, n)
+        assert (np.sort(got, axis=1) == np.arange(n)).all()
+        seen, k = np.unique(got, axis=0, return_counts=True)[1], math.factorial(n)
+        assert len(seen) == k and (seen == m if k == 1 else ((seen - m / k) ** 2 / (m / k)).sum() < k - 1 + 5 * math.sqrt(2 * (k - 1)))
+    for n in (topology.FEW - 1, topology.FEW, 5000):
+        keys = topology._iteration(np.full(400, 7, np.uint64) + np.arange(400, dtype=np.uint64), 3)
+        got = topology._shuffled(np.tile(np.arange(n), 400), keys.repeat(n), topology._grid(np.full(400 * n, n))).reshape(400, n)
+        assert (np.sort(got, axis=1) == np.arange(n)).all()
+        seen = np.bincount(((got[:, 1:] - got[:, :-1]) % n * 16 // n).ravel(), minlength=16)
+        assert ((seen - seen.mean()) ** 2 / seen.mean()).sum() < 100
+    n = np.array([5, 5000, 3, 3, 2000])
+    key, k = np.arange(5, dtype=np.uint64), np.array([4, 17, 0, 1, 1999])
+    assert [int(topology._shuffled(k[[i]], key[[i]], topology._grid(n[[i]]))[0]) for i in range(5)] == topology._shuffled(k, key, topology._grid(n)).tolist()
+
+
+@pytest.mark.parametrize("exclude", [("Germline", None), ("b",), ()])
+def test_permuted_pairs(spark, exclude):
+    """The counts of pairs are those that the permuted labels give, however many labels a tree may have before its rows are joined."""
+    edges, labels = forest(spark, [1, 3, 8, 40, 300])
+    rows = [tuple(r) for r in topology.permute_labels(labels, 4, 3, exclude).collect()]
+    own = sorted((t, str(x)) for t, _, x in labels.collect())
+    assert all(sorted((t, str(x)) for t, _, x, j in rows if j == i) == own for i in range(4))
+    drawn, limit = {(i, t, v): x for t, v, x, i in rows}, topology.LABELS
+    for indirect in (False, True):
+        want = Counter()
+        for t, a, c in topology.vertex_pairs(edges, labels, indirect, exclude).collect():
+            want.update((i, drawn[i, t, a], drawn[i, t, c]) for i in range(4) if (i, t, a) in drawn and (i, t, c) in drawn)
+        try:
+            for topology.LABELS in (limit, 2, 0):
+                assert {tuple(r)[:3]: r[3] for r in topology.edge_permutations(edges, labels, 4, 3, indirect, exclude).collect()} == want
+        finally:
+            topology.LABELS = limit
+
+
+def test_histogram_of_many_permutations(spark):
+    """What is shuffled doesn't grow with the iterations."""
+    edges, labels = forest(spark, [3000, 3000])
+    few, many = (shuffled_bytes(spark, lambda n=n: plotting.histogram(topology.edge_permutations(edges, labels, n, 1), "count").collect()) for n in (5, 100))
+    assert 0 < many < 3 * few
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("g", 0.1, 5.0), ("g", 0.05, 10.0), ("g", 0.3, 1.0), ("g", None, 1.0), ("h", 0.5, 1.0)], "k string, p double, w double")
     n = NormalDist()

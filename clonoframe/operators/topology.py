@@ -326,7 +326,10 @@ def edge_permutations(edges: DataFrame, labels: DataFrame, nperm: int = 200, see
 
 def test_edges(edges: DataFrame, labels: DataFrame, nperm: int = 200, seed: int = 0, indirect: bool = False, exclude: Iterable | None = ("Germline", None)) -> DataFrame:
     """Observed counts of label pairs against label permutations within trees."""
-    return _tested(table_edges(edges, labels, indirect, exclude), edge_permutations(edges, labels, nperm, seed, indirect, exclude), ["parent", "child"])
+    rounds = Rounds(edges.sparkSession, "permuted")
+    ends = rounds.write(_ends(edges, labels, indirect, exclude))
+    seen = ends.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("count"))
+    return _tested(seen, _drawn_pairs(ends, labels, nperm, seed, exclude, rounds), ["parent", "child"])
 
 
 def _founders(top: DataFrame, by: list[str]) -> DataFrame:

@@ -267,6 +267,16 @@ def test_histogram_of_many_permutations(spark):
     assert 0 < many < 3 * few
 
 
+def test_many_permutations_of_edges(spark):
+    """What is shuffled doesn't grow with the iterations, and what is seen is what table_edges counts."""
+    edges, labels = forest(spark, [3000, 3000])
+    few, many = (shuffled_bytes(spark, lambda n=n: topology.test_edges(edges, labels, n, 1).collect()) for n in (5, 100))
+    assert 0 < many < 3 * few
+    for exclude in (("b",), ()):
+        seen = {(r["parent"], r["child"]): r["count"] for r in topology.test_edges(edges, labels, 2, 1, exclude=exclude).collect()}
+        assert seen == {(r["parent"], r["child"]): r["count"] for r in topology.table_edges(edges, labels, exclude=exclude).collect()}
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("g", 0.1, 5.0), ("g", 0.05, 10.0), ("g", 0.3, 1.0), ("g", None, 1.0), ("h", 0.5, 1.0)], "k string, p double, w double")
     n = NormalDist()

@@ -55,8 +55,8 @@ def _marked(edges: DataFrame, labels: DataFrame | None, exclude: Iterable | None
     return e.join(value, ["tree_id", "to_v"], "left").select("tree_id", "from_v", "to_v", "w", excluded(F.col("_value"), exclude).alias("skip"))
 
 
-def _levels(edges: DataFrame, level: DataFrame, step, name: str) -> list[DataFrame]:
-    """The levels of a walk: step makes the next one from the last (column desc) joined with the edges."""
+def _levels(edges: DataFrame, level: DataFrame, step, name: str, narrow=None) -> list[DataFrame]:
+    """The levels of a walk: step makes the next one from the last (column desc) joined with the edges; narrow takes the rows of a level from which the walk goes on."""
     rounds = Rounds(edges.sparkSession, name)
     edges = rounds.write(edges)
     out = []
@@ -68,7 +68,8 @@ def _levels(edges: DataFrame, level: DataFrame, step, name: str) -> list[DataFra
         if len(out) % LOOK == 0 and len(out) > (edges.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0) + 1:
             raise ValueError("the edges have a cycle")
         e = edges.withColumnsRenamed({"tree_id": "_t", "from_v": "_f"})
-        level = step(level.join(e, (F.col("tree_id") == F.col("_t")) & (F.col("desc") == F.col("_f"))))
+        front = narrow(level, rounds) if narrow else level
+        level = step(front.join(e, (F.col("tree_id") == F.col("_t")) & (F.col("desc") == F.col("_f"))))
 
 
 def _all(levels: list[DataFrame]) -> DataFrame:
@@ -93,9 +94,28 @@ def path_lengths(edges: DataFrame, root: str = "Germline", labels: DataFrame | N
     return _vertices(edges).withColumnRenamed("v", "name").join(c, ["tree_id", "name"], "left")
 
 
+def _nearest(edges: DataFrame, path: str, root: str, labels: DataFrame | None, exclude: Iterable | None) -> DataFrame:
+    """tree_id, name, steps, distance: a walk from the root that holds every vertex that can be an MRCA.
+
+    It doesn't go on below what is farther than the nearest candidate so far, unless weights below zero may lead nearer again.
+    """
+    if path == "distance" and not edges.filter("weight < 0").isEmpty():
+        return path_lengths(edges, root, labels, exclude)
+    best = []
+
+    def narrow(level: DataFrame, rounds: Rounds) -> DataFrame:
+        near = level.filter((F.col("desc") != root) & ~F.col("skip")).select("tree_id", F.col(path).alias("_best"))
+        best[:] = [rounds.write((near.union(best[0]) if best else near).groupBy("tree_id").agg(F.min("_best").alias("_best")))]
+        return level.join(best[0], "tree_id", "left").filter(F.col("_best").isNull() | (F.col(path) <= F.col("_best"))).withColumnRenamed("skip", "_skip")
+
+    level = edges.select("tree_id").distinct().select("tree_id", F.lit(root).alias("desc"), F.lit(0).alias("steps"), F.lit(0.0).alias("distance"), F.lit(False).alias("skip"))
+    step = lambda x: x.select("tree_id", F.col("to_v").alias("desc"), (F.col("steps") + (~F.col("skip")).cast("int")).alias("steps"), (F.col("distance") + F.col("w")).alias("distance"), "skip")
+    return _all(_levels(_marked(edges, labels, exclude), level, step, "nearest", narrow)).select("tree_id", F.col("desc").alias("name"), "steps", "distance")
+
+
 def mrca(edges: DataFrame, path: str = "distance", root: str = "Germline", labels: DataFrame | None = None, exclude: Iterable | None = None) -> DataFrame:
     """The vertices nearest the root in each tree, all ties, without the root and excluded labels; with labels, their value."""
-    p = path_lengths(edges, root, labels, exclude).filter((F.col("name") != root) & F.col(path).isNotNull())
+    p = _nearest(edges, path, root, labels, exclude).filter((F.col("name") != root) & F.col(path).isNotNull())
     if labels is not None:
         p = p.join(labels.select("tree_id", F.col("v").alias("name"), "value"), ["tree_id", "name"], "left").filter(~excluded(F.col("value"), exclude))
     return p.withColumn("r", F.rank().over(Window.partitionBy("tree_id").orderBy(path))).filter("r = 1").drop("r")
@@ -226,7 +246,7 @@ class _Batch:
     def __init__(self, key: pa.Array, slots: pa.Array):
         keys, first, self.of = np.unique(key.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
         own = [[tuple(map(int, x.split(":"))) for x in s.split(",")] for s in slots.take(pa.array(first)).to_pylist()]
-        self.keys, self.width = keys.astype(np.uint64), max(map(len, own))
+        self.keys, self.width, self.first = keys.astype(np.uint64), max(map(len, own)), pa.array(first)
         padded = np.array([s + s[-1:] * (self.width - len(s)) for s in own], np.int64)
         self.codes, local = np.unique(padded[:, :, 1], return_inverse=True)
         self.local = local.ravel()
@@ -339,8 +359,28 @@ def _founders(top: DataFrame, by: list[str]) -> DataFrame:
 
 def mrca_permutations(edges: DataFrame, labels: DataFrame, root: str = "Germline", nperm: int = 200, seed: int = 0, exclude: Iterable | None = ("Germline", None)) -> DataFrame:
     """iter, value, count: the trees whose nearest vertices have one label only, under permuted labels."""
-    top = mrca(edges, "distance", root, labels, exclude).select("tree_id", F.col("name").alias("v"))
-    return _founders(top.join(permute_labels(labels, nperm, seed, exclude), ["tree_id", "v"]), ["iter"])
+    rounds = Rounds(edges.sparkSession, "permuted")
+    trees, codes = _trees(labels, seed, exclude, rounds)
+    at = mrca(edges, "distance", root, labels, exclude).select("tree_id", F.col("name").alias("v")).join(_places(labels, exclude).filter("k is not null").select("tree_id", "v", "k"), ["tree_id", "v"])
+    at = rounds.write(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _Batch(b.column("key"), b.column("slots"))
+            k, tree, many = b.column("k").to_numpy(zero_copy_only=False), b.column("tree_id").take(x.first), len(x.codes)
+            for i in range(nperm):
+                own = np.unique(x.of * many + x.drawn(k, i))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), tree.take(pa.array(own // many)), pa.array(x.codes[own % many])], ["iter", "tree_id", "code"])
+
+    few = at.join(trees.filter(F.col("kinds") <= LABELS), "tree_id").select("tree_id", "key", "slots", "k")
+    top = few.mapInArrow(run, f"iter int, tree_id {labels.schema['tree_id'].dataType.simpleString()}, code long").join(codes, "code").select("iter", "tree_id", "value")
+    many = trees.filter(F.col("kinds") > LABELS).select("tree_id")
+    if not many.isEmpty():
+        rows = permute_labels(labels.join(many, "tree_id", "left_semi"), nperm, seed, exclude)
+        top = top.unionByName(at.join(rows, ["tree_id", "v"]).select("iter", "tree_id", "value"))
+    return rounds.write(_founders(top, ["iter"]))
 
 
 def test_mrca(edges: DataFrame, labels: DataFrame, root: str = "Germline", nperm: int = 200, seed: int = 0, exclude: Iterable | None = ("Germline", None)) -> DataFrame:

@@ -277,6 +277,54 @@ def test_many_permutations_of_edges(spark):
         assert seen == {(r["parent"], r["child"]): r["count"] for r in topology.table_edges(edges, labels, exclude=exclude).collect()}
 
 
+@pytest.mark.parametrize("exclude", [("Germline", None), ("b",)])
+def test_permuted_founders(spark, exclude):
+    """The labels that are the only ones among a tree's nearest vertices are those that the permuted labels give."""
+    edges, labels = forest(spark, [1, 3, 8, 40, 300])
+    edges = edges.withColumn("weight", F.when(F.expr("tree_id = 3"), F.lit(0.0)).otherwise(F.col("weight")))
+    labels = labels.fillna("d")
+    drawn, limit = {}, topology.LABELS
+    for t, v, x, i in topology.permute_labels(labels, 4, 3, exclude).collect():
+        drawn[i, t, v] = x
+    of = {}
+    for r in topology.mrca(edges, "distance", "Germline", labels, exclude).collect():
+        for i in range(4):
+            if (i, r["tree_id"], r["name"]) in drawn:
+                of.setdefault((i, r["tree_id"]), set()).add(drawn[i, r["tree_id"], r["name"]])
+    want = Counter((i, *x) for (i, _), x in of.items() if len(x) == 1)
+    try:
+        for topology.LABELS in (limit, 2):
+            assert {tuple(r)[:2]: r[2] for r in topology.mrca_permutations(edges, labels, nperm=4, seed=3, exclude=exclude).collect()} == want
+    finally:
+        topology.LABELS = limit
+
+
+def test_nearest(spark, monkeypatch):
+    """The walk for the nearest vertices ends early, but for weights below zero, and finds what a whole walk finds."""
+    edges, labels = forest(spark, [1, 3, 8, 40, 60], 2)
+    some, below = F.expr("case crc32(to_v) % 4 when 0 then 0.0 when 1 then null else 1.0 end"), F.expr("crc32(to_v) % 5 - 2.0")
+    for w, path, exclude in ((some, "distance", ("Germline", None)), (some, "steps", ("b",)), (below, "distance", ("b",))):
+        e = edges.withColumn("weight", w)
+        got = {(r["tree_id"], r["name"], r["steps"], r["distance"]) for r in topology.mrca(e, path, "Germline", labels, exclude).collect()}
+        value, best = {(r["tree_id"], r["v"]): r["value"] for r in labels.collect()}, {}
+        for r in topology.path_lengths(e, "Germline", labels, exclude).collect():
+            x = value.get((r["tree_id"], r["name"]))
+            if r["name"] != "Germline" and x not in exclude:
+                best.setdefault(r["tree_id"], []).append((r[path], (r["tree_id"], r["name"], r["steps"], r["distance"])))
+        assert got == {x for rows in best.values() for p, x in rows if p == min(rows)[0]}
+    chain = spark.createDataFrame([(1, "Germline" if i == 1 else f"S{i - 1}", f"S{i}", 1.0) for i in range(1, 41)], "tree_id long, from_v string, to_v string, weight double")
+    walked, levels = [], topology._levels
+    monkeypatch.setattr(topology, "_levels", lambda *a: walked.append(levels(*a)) or walked[-1])
+    assert [r["name"] for r in topology.mrca(chain).collect()] == ["S1"] and len(walked[0]) <= 3
+
+
+def test_many_permutations_of_founders(spark):
+    """What is shuffled doesn't grow with the iterations."""
+    edges, labels = forest(spark, [3000, 3000])
+    few, many = (shuffled_bytes(spark, lambda n=n: topology.mrca_permutations(edges, labels, nperm=n, seed=1).collect()) for n in (5, 100))
+    assert 0 < many < 3 * few
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("g", 0.1, 5.0), ("g", 0.05, 10.0), ("g", 0.3, 1.0), ("g", None, 1.0), ("h", 0.5, 1.0)], "k string, p double, w double")
     n = NormalDist()

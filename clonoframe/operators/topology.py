@@ -157,7 +157,12 @@ def vertex_pairs(edges: DataFrame, labels: DataFrame, indirect: bool = False, ex
     kept = lambda x: x.join(up, ["tree_id", "anc"], "left").filter(~excluded(F.col("_value"), exclude)).drop("_value") if exclude else x
     if not indirect:
         return kept(e.filter("not skip").select("tree_id", F.col("from_v").alias("anc"), F.col("to_v").alias("child")))
-    level = kept(_vertices(edges).withColumnRenamed("v", "anc")).select("tree_id", "anc", F.col("anc").alias("desc"), F.lit(None).cast(edges.schema["to_v"].dataType).alias("child"))
+    value = labels.select("tree_id", F.col("v").alias("from_v"), F.col("value").alias("_value"))
+    e = e.select("tree_id", "from_v", "to_v", "skip").join(value, ["tree_id", "from_v"], "left").select("tree_id", "from_v", "to_v", "skip", excluded(F.col("_value"), exclude).alias("below"))
+    e = Rounds(edges.sparkSession, "ends").write(e)
+    level = e.filter("not below").select("tree_id", F.col("from_v").alias("anc"), F.col("to_v").alias("desc"), F.when(~F.col("skip"), F.col("to_v")).alias("child"))
+    # Longer paths go on only into skipped vertices or out of them.
+    e = e.filter("skip or below").drop("below")
     # A path with two such vertices can't become one with one again.
     step = lambda x: x.filter(F.col("skip") | F.col("child").isNull()).select("tree_id", "anc", F.col("to_v").alias("desc"), F.when(F.col("skip"), F.col("child")).otherwise(F.col("to_v")).alias("child"))
     return _all(_levels(e, level, step, "indirect")).filter("child is not null").select("tree_id", "anc", "child")

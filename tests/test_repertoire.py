@@ -325,6 +325,28 @@ def test_many_permutations_of_founders(spark):
     assert 0 < many < 3 * few
 
 
+def test_many_permutations_of_indirect_edges(spark):
+    """Pairs over skipped vertices are those of a plain search, and what is shuffled doesn't grow with the iterations."""
+    edges, labels = forest(spark, [1, 3, 40, 400], 3)
+    value, kids = {(t, v): x for t, v, x in labels.collect()}, {}
+    for t, a, b, _ in edges.collect():
+        kids.setdefault((t, a), []).append(b)
+    for exclude in (("b", None), ("b", "c"), ()):
+        skipped, want = lambda t, v, x=exclude: value.get((t, v)) in x, Counter()
+        for t, a in kids:
+            todo = [] if skipped(t, a) else [(b, None) for b in kids[t, a]]
+            while todo:
+                v, child = todo.pop()
+                if skipped(t, v) or child is None:
+                    child = child if skipped(t, v) else v
+                    want[t, a, child] += child is not None
+                    todo += [(b, child) for b in kids.get((t, v), [])]
+        assert Counter(map(tuple, topology.vertex_pairs(edges, labels, True, exclude).collect())) == +want
+    edges, labels = forest(spark, [3000, 3000])
+    few, many = (shuffled_bytes(spark, lambda n=n: topology.test_edges(edges, labels, n, 1, True, ("c", None)).collect()) for n in (5, 100))
+    assert 0 < many < 3 * few
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("g", 0.1, 5.0), ("g", 0.05, 10.0), ("g", 0.3, 1.0), ("g", None, 1.0), ("h", 0.5, 1.0)], "k string, p double, w double")
     n = NormalDist()

@@ -267,6 +267,16 @@ def test_histogram_of_many_permutations(spark):
     assert 0 < many < 3 * few
 
 
+def test_ecdf_of_many_permutations(spark):
+    """What is shuffled doesn't grow with the iterations, and the shares are those of the counts."""
+    edges, labels = forest(spark, [3000, 3000])
+    few, many = (shuffled_bytes(spark, lambda n=n: plotting.ecdf(topology.edge_permutations(edges, labels, n, 1), "count").collect()) for n in (5, 100))
+    assert 0 < many < 3 * few
+    counts = sorted(r["count"] for r in topology.edge_permutations(edges, labels, 10, 1).collect())
+    got = {r["count"]: r["ecdf"] for r in plotting.ecdf(topology.edge_permutations(edges, labels, 10, 1), "count").collect()}
+    assert got.keys() == set(counts) and all(abs(y - sum(c <= x for c in counts) / len(counts)) < 1e-12 for x, y in got.items())
+
+
 def test_many_permutations_of_edges(spark):
     """What is shuffled doesn't grow with the iterations, and what is seen is what table_edges counts."""
     edges, labels = forest(spark, [3000, 3000])

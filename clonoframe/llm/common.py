@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Characters that separate words in the contracts: space and U+0009 to U+000D.
@@ -58,6 +60,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table, by Arrow: from tuples Spark would start Python workers on the executors only to pass them on."""
+    kind = T.StructType.fromDDL(schema)
+    columns = [[r[i] for r in rows] for i in range(len(kind))]
+    return spark.createDataFrame(pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, kind, strict=True)], names=kind.names), kind)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; in local mode only, a temp folder if unset."""
     conf = spark.sparkContext.getConf()

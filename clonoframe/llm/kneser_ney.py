@@ -108,9 +108,11 @@ def gram_key(points: np.ndarray, salts: np.ndarray) -> np.ndarray:
     return mix(total) >> np.uint64(64 - KEY_BITS)
 
 
-def gram_keys(points: np.ndarray, salts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For grams of the highest order: keys of their endings by order from 1, and of the contexts of these."""
-    return [gram_key(points[:, ORDER - k :], salts) for k in range(1, ORDER + 1)], [gram_key(points[:, ORDER - k : ORDER - 1], salts) for k in range(1, ORDER + 1)]
+def each_key(points: np.ndarray, salts: np.ndarray):
+    """For grams of the highest order: keys of their endings by order from 1, then of the contexts of these; one array at a time."""
+    for end in (ORDER, ORDER - 1):
+        for k in range(1, ORDER + 1):
+            yield gram_key(points[:, ORDER - k : end], salts)
 
 
 def _first(at: np.ndarray, n: int) -> np.ndarray:
@@ -135,12 +137,21 @@ class Asked:
     """The sorted keys of all orders that some grams ask for, and which of them each gram's endings and their contexts are."""
 
     def __init__(self, points: np.ndarray, salts: np.ndarray):
-        ends, contexts = gram_keys(points, salts)
-        codes = [pa.array(x).dictionary_encode() for x in (*ends, *contexts)]
-        different = [c.dictionary.to_numpy() for c in codes]
-        self.keys, at = np.unique(np.concatenate(different), return_inverse=True)
-        parts = np.split(at.astype(np.int32), np.cumsum([len(x) for x in different])[:-1])
-        self.where = [x[c.indices.to_numpy()] if len(x) else np.zeros(0, np.int32) for x, c in zip(parts, codes, strict=True)]
+        different, at = [], []
+        for x in each_key(points, salts):
+            codes = pa.array(x).dictionary_encode()
+            different.append(codes.dictionary.to_numpy())
+            at.append(codes.indices.to_numpy())
+        del x, codes
+        ends = np.cumsum([len(x) for x in different])[:-1]
+        different = np.concatenate(different)
+        self.keys, which = np.unique(different, return_inverse=True)
+        del different
+        which = np.split(which.astype(np.int32), ends)
+        self.where = []
+        for x in which:
+            i = at.pop(0)
+            self.where.append(x[i] if len(x) else np.zeros(0, np.int32))
 
     def bits(self, p: np.ndarray, back: np.ndarray) -> np.ndarray:
         """Of each gram, from the answers to the keys: the longest ending that was seen, lowered for each longer context that was."""
@@ -273,8 +284,10 @@ def _unpacked(b: bytes, kind) -> np.ndarray:
     return planes.reshape(kind.itemsize, n).T.copy().view(kind).reshape(-1)
 
 
-def _light(g: Grams) -> Grams:
-    del g.at
+def _light(g: Grams, *names: str) -> Grams:
+    """g without the arrays of these names: those of a block's pieces add up."""
+    for name in names:
+        delattr(g, name)
     return g
 
 
@@ -325,7 +338,9 @@ def asking(shift: int):
     def run(batches):
         for b in batches:
             for block, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                keys = Asked(*merged([_light(g) for g, _ in _pieces(_rows_of(blob))])[:2]).keys
+                grams = merged([_light(g, "at") for g, _ in _pieces(_rows_of(blob))])[:2]
+                keys = np.unique(np.concatenate([pa.array(x).unique().to_numpy() for x in each_key(*grams)]))
+                del grams
                 shard = (keys >> np.uint64(shift)).astype(np.int64)
                 starts = np.flatnonzero(np.diff(shard, prepend=-1))
                 packed = [_packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(starts, [*starts[1:], len(keys)], strict=True)]
@@ -361,8 +376,11 @@ def score(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
     for blob in left.column("blob"):
         t = _rows_of(blob)
         pieces = list(_pieces(t))
-        points, salts, which = merged([g for g, _ in pieces])
-        asked = Asked(points, salts)
+        *grams, which = merged([g for g, _ in pieces])
+        for g, _ in pieces:
+            _light(g, "mark", "points", "salts")
+        asked = Asked(*grams)
+        del grams
         if len(asked.keys) != len(p):
             raise RuntimeError("a block's answers don't belong to it")
         bits = asked.bits(p, back)
@@ -406,8 +424,10 @@ def train(rows: DataFrame, trusted: DataFrame, scratch: Scratch, shift: int) ->
 
     cell = F.pmod(F.xxhash64("key"), F.lit(BITS)).cast("long")
     taught = rows.filter("key is not null and text is not null").select(F.col("key").alias("k"), "lang", F.col("text").alias("t"), cell.alias("c"))
-    taught = taught.mapInArrow(some, "k long, lang string, t string").join(learnt, "k", "left_semi").select("lang", "t")
+    # Written, for the two steps in Python in one stage would take twice the workers, and these stay with their memory.
+    taught = scratch.write(taught.mapInArrow(some, "k long, lang string, t string").join(learnt, "k", "left_semi").select("lang", "t"), "taught")
     counts = scratch.write(gram_counts(taught), "counts", rows=16384)
+    scratch.drop("taught")
     bits.destroy()
     del taught
     release(spark)

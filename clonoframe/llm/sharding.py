@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import Scratch, ranked, small_table
 
 _DIMS = ("d0", "d1", "d2")
 _DIM_BITS, _TIE_BITS = 16, 17
@@ -43,7 +43,7 @@ def _quantile_cuts(live: DataFrame, want: dict[int, float], bits: int) -> dict[i
     each = max(4, min(11, 20 - math.ceil(math.log2(len(want) + 1))))
     while left:
         step = max(0, left - each)
-        low = F.broadcast(spark.createDataFrame([(k, int(v)) for k, v in base.items()], "node int, low long"))
+        low = F.broadcast(small_table(spark, [(k, int(v)) for k, v in base.items()], "node int, low long"))
         bins = live.join(low, "node").withColumn("bin", F.shiftright(F.col("place") - F.col("low"), step))
         bins = bins.filter((F.col("place") >= F.col("low")) & (F.col("bin") < (1 << (left - step)))).groupBy("node", "bin").agg(F.sum("weight").alias("w"))
         found: dict[int, list] = {}
@@ -77,13 +77,13 @@ def _leaves(units: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
             d = max(_DIMS, key=lambda d: r[f"hi_{d}"] - r[f"lo_{d}"])  # noqa: B023
             rows.append((k, _DIMS.index(d), float(r[f"lo_{d}"]), float(max(r[f"hi_{d}"] - r[f"lo_{d}"], 1e-12))))
             want[k] = float(r["w"]) * (nodes[k] // 2) / nodes[k]
-        axis = F.broadcast(spark.createDataFrame(rows, "node int, dim int, lo double, width double"))
+        axis = F.broadcast(small_table(spark, rows, "node int, dim int, lo double, width double"))
         along = (F.element_at(F.array(*_DIMS), F.col("dim") + 1) - F.col("lo")) / F.col("width") * F.lit(float(1 << _DIM_BITS))
         place = F.shiftleft(F.least(F.floor(along), F.lit((1 << _DIM_BITS) - 1)).cast("long"), _TIE_BITS) + F.col("tie")
         live = state.join(axis, "node").select("node", "weight", place.alias("place"))
         cuts = _quantile_cuts(live, want, _DIM_BITS + _TIE_BITS)
         rows = [(*r, int(cuts[r[0]]), r[0] + nodes[r[0]] // 2) for r in rows]
-        axis = F.broadcast(spark.createDataFrame(rows, "node int, dim int, lo double, width double, cut long, upper int"))
+        axis = F.broadcast(small_table(spark, rows, "node int, dim int, lo double, width double, cut long, upper int"))
         moved = F.when(place >= F.col("cut"), F.col("upper")).otherwise(F.col("node"))
         state = state.join(axis, "node", "left").withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(moved)).drop("dim", "lo", "width", "cut", "upper")
         for k in active:
@@ -120,7 +120,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     most = max(1.0, total / shards / 4)
     large = groups.filter(F.col("weight") > most).select("crc", "text_hash", F.ceil(F.col("weight") / F.lit(most / 4)).cast("int").alias("parts"))
     # At most four such groups fit in a shard's bytes, so there are at most 4 * shards of them.
-    large = F.broadcast(docs.sparkSession.createDataFrame(large.collect(), "crc long, text_hash long, parts int"))
+    large = F.broadcast(small_table(docs.sparkSession, large.collect(), "crc long, text_hash long, parts int"))
     rows = rows.join(large, ["crc", "text_hash"], "left")
     part = F.coalesce(F.pmod(F.xxhash64(F.lit("part"), F.col("_key")), F.col("parts")), F.lit(0)).cast("int")
     rows = rows.withColumn("part", part).drop("parts")

@@ -13,7 +13,8 @@ broadcast (its size is bounded by the block), whatever the table's size.
 Defined cases: null or empty text has no words, and items without words match nothing; the
 windows of an item with a null id hit words as others do, but it isn't counted or named; items of equal id count once; repeated document rows give
 repeated results; an empty table of either kind gives no rows or no hits; extra columns are
-ignored. Memory in a worker is bounded by a batch of texts, or the longest text.
+ignored. Memory in a worker is bounded by a batch of texts, or the longest text, and by PAIRS,
+however many windows share their rarest word.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .tokens import NOT_ALNUM, Words
 WINDOW = 10
 #: Windows of one broadcast block (about 100 bytes each).
 BLOCK = 500_000
+#: Pairs of a document word and a window that are compared at once (more only if one word is the prefix of more windows).
+PAIRS = 1 << 18
 
 
 class Block:
@@ -65,11 +68,15 @@ class Block:
         at = np.minimum(np.searchsorted(self.token, h), len(self.token) - 1)
         word = np.flatnonzero(self.token[at] == h)
         many = self.start[at[word] + 1] - self.start[at[word]]
+        ends = np.cumsum(many)
         out_w, out_s = [], []
-        for a in range(0, len(word), 1 << 16):
-            n = many[a : a + (1 << 16)]
-            pos = np.repeat(word[a : a + (1 << 16)], n)
-            w = self.by[np.repeat(self.start[at[word[a : a + (1 << 16)]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        a = 0
+        while a < len(word):
+            to = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+            n = many[a:to]
+            pos = np.repeat(word[a:to], n)
+            w = self.by[np.repeat(self.start[at[word[a:to]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            a = to
             s = pos - self.place[w]
             fits = (s >= lo[pos]) & (s + self.size[w] <= hi[pos])
             w, s = w[fits], s[fits]

@@ -3,10 +3,11 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from clonoframe.llm import kneser_ney
+from clonoframe.llm import decontaminate, kneser_ney
 from clonoframe.llm.sharding import kd_shards
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -49,3 +50,19 @@ def test_sharding_starts_no_python_worker(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "parallelize", None)
     rows = kd_shards(docs, shards=4).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(120)) and {r["shard"] for r in rows} == {0, 1, 2, 3}
+
+
+def test_windows_of_few_words_are_compared_in_little_memory():
+    """Hundreds of windows share their rarest word, and each second word of the text is that word."""
+    r = np.random.default_rng(5)
+    item, text = r.integers(1, 3, 4000).astype(np.uint64), r.integers(1, 3, 40_000).astype(np.uint64)
+    block = decontaminate.Block([("a", item)], 10)
+    block.set_prefix(np.array([(text == w).sum() for w in block.vocabulary]))
+    tracemalloc.start()
+    win, start = block.matches(text, np.zeros(len(text), np.int64), np.full(len(text), len(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    of = {w.tobytes(): i for i, w in enumerate(block.word)}
+    right = {(of[k], s) for s in range(len(text) - 9) if (k := text[s : s + 10].tobytes()) in of}
+    assert len(win) == len(right) and set(zip(win.tolist(), start.tolist(), strict=True)) == right
+    assert peak < 40_000_000
